@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import mixing, urls
+from evidara.llm import licences, media, mixing, quality, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,9 +97,33 @@ from p left join b on p.verdict is null and p.host = b.host and p.path = b.path
 """
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.media_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op5_licence_scan": op5_licence_scan,
+        "op6_media_columns": op6_media_columns,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_token_counts": op8_token_counts,
         "op10_url_filters": op10_url_filters,
     }
 
