@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import licences, media, mixing, quality, token_counts, urls
+from evidara.llm import jaccard, licences, media, mixing, near_vectors, quality, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,29 @@ from b join m on b.source is not distinct from m.source
 """
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
+
+
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (
+  select doc_id, list_distinct(case when len(words) = 0 then []
+    when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as shingles from w),
+n as (select doc_id, len(shingles) as n_shingles from s),
+x as (select doc_id, unnest(shingles) as g from s),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (
+  select a, b from p join n i on a = i.doc_id join n j on b = j.doc_id
+  where 100 * shared >= 85 * (i.n_shingles + j.n_shingles - shared)),
+c(a, b) as (select doc_id, doc_id from s union select c.a, l.b from c join l on c.b = l.a)
+select n.doc_id, n_shingles, min(b) as component_id from n join c on n.doc_id = c.a group by all
+"""
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -97,6 +120,27 @@ from p left join b on p.verdict is null and p.host = b.host and p.path = b.path
 """
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = r"""
+with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+n as (
+  select r, vec_id, label, e, sqrt(list_inner_product(e, e)) as size from v
+  where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+c(a, b) as (select vec_id, vec_id from v union select c.a, l.b from c join l on c.b = l.a),
+m as (select a as vec_id, min(b) as component_id from c group by a),
+k as (select a as vec_id, count(*) as n_links from l group by a)
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept
+from v left join k on v.vec_id = k.vec_id left join m on v.vec_id = m.vec_id
+"""
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -120,13 +164,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_near_vectors": op3_near_vectors,
         "op5_licence_scan": op5_licence_scan,
         "op6_media_columns": op6_media_columns,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_token_counts": op8_token_counts,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_near_vectors": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL}
