@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import jaccard, licences, media, mixing, near_vectors, quality, token_counts, urls
+from evidara.llm import jaccard, licences, media, mixing, near_vectors, packing, quality, sharding, token_counts, urls
+from evidara.llm.workspace import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +121,41 @@ from p left join b on p.verdict is null and p.host = b.host and p.path = b.path
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def _op2_sql(buckets: int = 8, budget: int = 16384, longest: int = 2048) -> str:
+    steps = "".join(
+        f"""k{t + 1} as (
+  select j, arg_min(ends, (cost, i)) as ends, min(cost) as cost from (
+    select j, cost, -1 as i, ends from k{t} union all
+    select d.j, k.cost + d.n_words * (d.p - e.p) - (d.w - e.w), k.j, list_append(k.ends, d.n_words)
+    from k{t} k join d e on e.j = k.j join d on d.j > k.j) group by j),
+"""
+        for t in range(buckets - 1)
+    )
+    return rf"""
+with s as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words from documents),
+c as (select doc_id, words, unnest(range(0, greatest(1, ceil(words / {longest}.0)::bigint)))::int as piece from s),
+p as (
+  select doc_id, piece, piece::bigint * {longest} as first_word, least({longest}, words - piece::bigint * {longest})::int as n_words,
+    ('0x' || substr(md5(concat('7:', coalesce(doc_id::varchar, 'null'), ':', piece)), 1, 6))::bigint as lot from c),
+h as (select n_words, count(*) as n from p group by n_words),
+d as (
+  select n_words::bigint as n_words, row_number() over (order by n_words) as j, sum(n) over (order by n_words)::bigint as p,
+    sum(n * n_words) over (order by n_words)::bigint as w from h),
+k0 as (select j, n_words * p - w as cost, [n_words] as ends from d),
+{steps}b as (select unnest(ends) as bucket from k{buckets - 1} where j = (select max(j) from d)),
+q as (
+  select p.*, (select min(bucket) from b where bucket >= p.n_words)::int as bucket from p),
+r as (
+  select *, row_number() over (partition by bucket order by lot, doc_id nulls first, piece, n_words) - 1 as number,
+    greatest(1, {budget} // greatest(bucket, 1)) as each from q)
+select doc_id, piece, first_word, n_words, bucket, (number // each)::bigint as batch, (number % each)::int as slot from r
+"""
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -141,6 +177,18 @@ from v left join k on v.vec_id = k.vec_id left join m on v.vec_id = m.vec_id
 """
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store's last version holds, read back: all rows, with the digest of each text."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharding.shard(docs, Workspace(spark, "shards").path("store"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP4_SQL = """
+select doc_id, lang, source, n_chars, strlen(text)::bigint as n_bytes, sha256(text) as text_sha256 from documents
+"""
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -164,7 +212,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_packing": op2_packing,
         "op3_near_vectors": op3_near_vectors,
+        "op4_sharding": op4_sharding,
         "op5_licence_scan": op5_licence_scan,
         "op6_media_columns": op6_media_columns,
         "op7_quality_classifier": op7_quality_classifier,
@@ -175,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_near_vectors": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_packing": _op2_sql(), "op3_near_vectors": OP3_SQL, "op4_sharding": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL}
