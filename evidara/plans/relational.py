@@ -1 +1,373 @@
-"""Relational queries."""
+"""Relational queries: validation, merging, joins and aggregates over the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidara.operators import corpus, joins, merge, validate
+from evidara.plans.registry import query
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("record_validity_cascade", """
+select reason, count(*) as n_rows, sum(o_totalprice) as price from (
+  select o_totalprice, case when o_orderstatus not in ('F', 'O') then 'status' when o_totalprice < 50000 then 'price'
+    when o_orderpriority = '5-LOW' then 'priority' end as reason from orders) group by reason""")
+def record_validity_cascade(spark, sf_dir):
+    rules = {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice") >= 50000, "priority": F.col("o_orderpriority") != "5-LOW"}
+    checked = validate.cascade(table(spark, sf_dir, "orders"), rules)
+    return checked.groupBy("reason").agg(F.count("*").alias("n_rows"), F.sum("o_totalprice").alias("price"))
+
+
+@query("drop_counts", """
+select count_if(o_orderstatus in ('F', 'O') and o_totalprice >= 50000)::bigint as kept, count_if(o_orderstatus not in ('F', 'O'))::bigint as status,
+  count_if(o_orderstatus in ('F', 'O') and o_totalprice < 50000)::bigint as price from orders""")
+def drop_counts(spark, sf_dir):
+    rules = {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice") >= 50000}
+    return validate.drop_counts(validate.cascade(table(spark, sf_dir, "orders"), rules), rules)
+
+
+@query("dedup_first_by_priority", """
+select o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) as o_orderkey, arg_min(o_totalprice, (o_orderpriority, o_orderkey)) as o_totalprice
+from orders group by o_custkey""")
+def dedup_first_by_priority(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
+    return merge.first_by(rows, ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderkey")]).drop("o_orderpriority")
+
+
+@query("conflict_quarantine", """
+select l_partkey, string_agg(distinct l_returnflag, '|' order by l_returnflag) as labels, count(*) as n_rows
+from lineitem group by l_partkey having count(distinct l_returnflag) > 1""")
+def conflict_quarantine(spark, sf_dir):
+    found = merge.conflicts(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_returnflag")
+    return found.select("l_partkey", F.array_join("labels", "|").alias("labels"), "n_rows")
+
+
+@query("resolve_binary", """
+select l_partkey, l_suppkey, arg_min(l_linestatus, (l_orderkey, l_linenumber)) as l_linestatus, min(l_orderkey) as l_orderkey
+from lineitem group by all having count(distinct l_linestatus) = 1""")
+def resolve_binary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber")
+    kept, _ = merge.resolve_binary(rows, ["l_partkey", "l_suppkey"], "l_linestatus", [F.col("l_orderkey"), F.col("l_linenumber")])
+    return kept.drop("l_linenumber")
+
+
+@query("precedence_coalesce_pivot", """
+with r as (
+  select o_orderkey as k, (o_totalprice > 150000)::int::double as label, 'orders' as s, 1 as p, o_orderkey as ordinal, null::double as f from orders where o_orderkey % 3 <> 0
+  union all
+  select l_orderkey, (l_quantity > 25)::int::double, 'items', 2, l_linenumber * 1000000000::bigint + l_partkey * 1000 + (l_quantity * 10 + l_discount * 100)::bigint, l_discount from lineitem where l_returnflag <> 'N'),
+a as (
+  select k, arg_min(label, (p, ordinal)) as l, arg_min(s, (p, ordinal)) as src, count(distinct label) > 1 as quarantined,
+    arg_min(f, (p, ordinal)) filter (where f is not null) as discount,
+    arg_min(label, ordinal) filter (where s = 'orders') as label__orders, arg_min(label, ordinal) filter (where s = 'items') as label__items
+  from r group by k)
+select k, case when not quarantined then l end as label, case when not quarantined then src end as label_source, quarantined, discount, label__orders, label__items from a""")
+def precedence_coalesce_pivot(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 != 0")
+    items = table(spark, sf_dir, "lineitem").filter("l_returnflag != 'N'")
+    rows = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") > 150000).cast("double").alias("label"), F.lit("orders").alias("label_source"), F.col("o_orderkey").alias("ordinal"), F.lit(None).cast("double").alias("discount"))
+    rows = rows.union(items.select("l_orderkey", (F.col("l_quantity") > 25).cast("double"), F.lit("items"), F.expr("l_linenumber * 1000000000L + l_partkey * 1000 + cast(round(l_quantity * 10 + l_discount * 100) as bigint)"), "l_discount"))
+    return merge.merge_labels(rows, ["k"], {"orders": 1, "items": 2}, ["orders", "items"], ["discount"])
+
+
+@query("many_to_one_left_join", """
+select r_name, p_brand, count(*) as n, sum(l_quantity) as quantity from lineitem join part on l_partkey = p_partkey
+join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""")
+def many_to_one_left_join(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"), "l_quantity")
+    rows = joins.many_to_one(rows, table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_partkey"])
+    rows = joins.many_to_one(rows, table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), ["s_suppkey"])
+    rows = joins.many_to_one(rows, table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey")), ["n_nationkey"])
+    rows = joins.many_to_one(rows, table(spark, sf_dir, "region").select("r_regionkey", "r_name"), ["r_regionkey"])
+    return rows.groupBy("r_name", "p_brand").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("join_with_defaults", """
+select c_custkey, coalesce(n, 0) as n_orders, coalesce(spent, -1.0::double) as spent from customer
+left join (select o_custkey, count(*) as n, sum(o_totalprice) as spent from orders where o_orderstatus = 'P' group by 1) on c_custkey = o_custkey""")
+def join_with_defaults(spark, sf_dir):
+    side = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("spent"))
+    return joins.many_to_one(table(spark, sf_dir, "customer").select("c_custkey"), side, ["c_custkey"], {"n_orders": 0, "spent": -1.0})
+
+
+_BANDS = "(values ('a', 0, 10000), ('b', 8000, 60000), ('c', 60000, 150000), ('d', 100000, 1000000)) as bands(band, low, high)"
+
+
+@query("range_join_bands", f"""
+select o_orderstatus, band, count(*) as n, sum(floor(o_totalprice))::bigint as price from orders
+join {_BANDS} on floor(o_totalprice)::bigint between low and high group by all""")
+def range_join_bands(spark, sf_dir):
+    bands = spark.sql(f"select cast(band as string) as band, cast(low as bigint) as low, cast(high as bigint) as high, 1 as one from {_BANDS}")
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", F.floor("o_totalprice").cast("bigint").alias("price"), F.lit(1).alias("one"))
+    found = joins.interval_join(rows, bands, "one", "price", "low", "high", width=10000)
+    return found.groupBy("o_orderstatus", "band").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+
+
+@query("attach_intervals", """
+with i as (select l_suppkey as k, l_linestatus as name, min(l_partkey) as a, min(l_partkey) + 40 as b from lineitem group by all),
+p as (select distinct l_suppkey as k, l_partkey as place from lineitem),
+j as (select k, place, case when place between a and b then name end as name from p left join i using (k))
+select k, place, coalesce(string_agg(distinct name, '|' order by name), '') as status, (count(name) > 0)::int as in_status from j group by k, place""")
+def attach_intervals(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    spans = items.groupBy(F.col("l_suppkey").alias("k"), F.col("l_linestatus").alias("name")).agg(F.min("l_partkey").alias("start")).withColumn("end", F.col("start") + 40)
+    points = items.select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("place")).distinct()
+    return joins.attach_intervals(points, spans, "k", "place", "name", "status")
+
+
+@query("semi_anti_exclusions", """
+select lang, count(*) as n, sum(n_chars)::bigint as chars from documents
+where doc_id in (select doc_id from labels where quality = 1) and doc_id not in (select doc_id from labels where toxic = 1) group by lang""")
+def semi_anti_exclusions(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    rows = joins.only_in(table(spark, sf_dir, "documents"), labels.filter("quality = 1"), ["doc_id"])
+    return joins.not_in(rows, labels.filter("toxic = 1"), ["doc_id"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("set_difference_two_sided", """
+with c as (select distinct c_custkey as k from customer where c_mktsegment <> 'BUILDING'), o as (select distinct o_custkey as k from orders where o_orderstatus = 'P')
+select (select count(*) from c where k in (select k from o)) as in_both, (select count(*) from c where k not in (select k from o)) as left_only,
+  (select count(*) from o where k not in (select k from c)) as right_only""")
+def set_difference_two_sided(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").filter("c_mktsegment != 'BUILDING'").select(F.col("c_custkey").alias("k"))
+    return validate.key_difference(left, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("cardinality_check", """
+select (select count(*) from (select o_custkey from orders group by 1 having count(*) > 1)) as left_duplicates,
+  (select count(*) from (select c_custkey from customer group by 1 having count(*) > 1)) as right_duplicates, 'many_to_one' as kind""")
+def cardinality_check(spark, sf_dir):
+    return validate.cardinality(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), ["k"])
+
+
+@query("duplicate_keys", "select l_partkey, l_suppkey, count(*) as n_rows from lineitem group by all having count(*) > 1 order by n_rows desc, l_partkey, l_suppkey limit 20")
+def duplicate_keys(spark, sf_dir):
+    return validate.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@query("missing_shares", """
+select 'value' as "column", avg((value is null)::int::double) as missing_share from events union all
+select 'props', avg((props is null)::int::double) from events union all select 'big', avg((case when value > 50 then value end is null)::int::double) from events""")
+def missing_shares(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("big", F.when(F.col("value") > 50, F.col("value")))
+    return validate.missing_shares(rows, ["value", "props", "big"])
+
+
+@query("class_shares", "select o_orderstatus, count(*) as n, count(*) / (select count(*)::double from orders) as share from orders group by 1")
+def class_shares(spark, sf_dir):
+    return validate.class_shares(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("audit_checks", """
+select 'quantity' as "check", count_if(not (l_quantity between 1 and 50))::bigint as n_violations from lineitem union all
+select 'discount', count_if(not (l_discount < 0.05))::bigint from lineitem union all select 'tax', count_if(l_tax < 0)::bigint from lineitem union all
+select 'flag', count_if(l_returnflag not in ('A', 'N', 'R'))::bigint from lineitem""")
+def audit_checks(spark, sf_dir):
+    return validate.violations(table(spark, sf_dir, "lineitem"), {
+        "quantity": F.col("l_quantity").between(1, 50), "discount": F.col("l_discount") < 0.05, "tax": F.col("l_tax") >= 0, "flag": F.col("l_returnflag").isin("A", "N", "R"),
+    })
+
+
+@query("group_constant_columns", """
+with s as (select l_returnflag, max(l_linenumber) - min(l_linenumber) as a, max(l_quantity * 0 + 3) - min(l_quantity * 0 + 3) as b from lineitem group by 1)
+select 'line' as "column", max(a)::double as widest, max(a) <= 1e-12 as constant from s union all select 'three', max(b)::double, max(b) <= 1e-12 from s""")
+def group_constant_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_linenumber").alias("line"), (F.col("l_quantity") * 0 + 3).alias("three"))
+    return validate.gene_constant_columns(rows, ["line", "three"], "l_returnflag")
+
+
+@query("groups_absent", "select 'XX' as lang")
+def groups_absent(spark, sf_dir):
+    return validate.groups_absent(table(spark, sf_dir, "documents"), "lang", spark.createDataFrame([("en",), ("XX",)], "lang string"))
+
+
+@query("multi_breakdown", """
+select 'lang' as dimension, lang as value, count(*) as n_rows, sum(n_chars)::bigint as size, count(distinct doc_id) as n_distinct from documents group by lang union all
+select 'source', source, count(*), sum(n_chars)::bigint, count(distinct doc_id) from documents group by source""")
+def multi_breakdown(spark, sf_dir):
+    return corpus.breakdowns(table(spark, sf_dir, "documents"), ["lang", "source"], "n_chars", "doc_id")
+
+
+@query("grouping_sets_rollup", """
+select lang, source, count(*) as n, sum(n_chars)::bigint as chars from documents group by grouping sets ((lang), (source), (lang, source), ())""")
+def grouping_sets_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupingSets([["lang"], ["source"], ["lang", "source"], []], "lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("length_percentiles", """
+select lang, count(n_chars) as n, sum(n_chars)::bigint as total, quantile_cont(n_chars, 0.25) as p25, quantile_cont(n_chars, 0.5) as median, quantile_cont(n_chars, 0.75) as p75,
+  max(n_chars) as max, avg(n_chars) as mean from documents group by lang""")
+def length_percentiles(spark, sf_dir):
+    return corpus.lengths(table(spark, sf_dir, "documents"), "n_chars", ["lang"])
+
+
+@query("inventory_counts", """
+select 'event_type' as dimension, event_type as value, count(*) as n from events group by 2 union all
+select 'user_band', (user_id % 5)::varchar, count(*) from events group by 2 union all
+select 'words', w, count(*) from (select unnest(string_split(o_orderpriority, '-')) as w from orders) group by 2""")
+def inventory_counts(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("user_band", F.col("user_id") % 5)
+    words = table(spark, sf_dir, "orders").select(F.split("o_orderpriority", "-").alias("words"))
+    return corpus.inventory(events, ["event_type", "user_band"]).union(corpus.items(words, "words"))
+
+
+@query("group_size_histogram", """
+select floor(log2(n))::int as log2_size, count(*) as n_groups, sum(n)::bigint as n_rows from (select l_orderkey, count(*) as n from lineitem group by 1) group by 1""")
+def group_size_histogram(spark, sf_dir):
+    return corpus.group_size_histogram(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("protein_labels", """
+with r as (
+  select l_returnflag as gene, l_partkey % 50 as position, l_linestatus as wt_aa, 'X' as mut_aa, l_linenumber % 4 as stars, case when l_quantity > 30 then 1.0 when l_quantity < 20 then 0.0 end::double as label,
+    l_orderkey as variation_id, l_orderkey * 10 + l_linenumber as ordinal, l_linestatus || l_linenumber as review_status from lineitem)
+select gene, position, wt_aa, mut_aa,
+  case when count(distinct label) filter (where stars >= 2) = 1 then max(label) filter (where stars >= 2) end as label, count(distinct label) filter (where stars >= 2) > 1 as discordant,
+  case when count(distinct label) filter (where stars >= 3) = 1 then max(label) filter (where stars >= 3) end as expert_label,
+  arg_max(review_status, (stars, -ordinal)) as review_status, max(stars) as stars, count(*) as n_records from r group by all""")
+def protein_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("gene"), (F.col("l_partkey") % 50).alias("position"), F.col("l_linestatus").alias("wt_aa"), F.lit("X").alias("mut_aa"), (F.col("l_linenumber") % 4).alias("stars"),
+        F.when(F.col("l_quantity") > 30, 1.0).when(F.col("l_quantity") < 20, 0.0).alias("label"), F.col("l_orderkey").alias("variation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
+        F.concat("l_linestatus", "l_linenumber").alias("review_status"), F.col("l_returnflag").alias("significance"),
+    )
+    return merge.protein_labels(rows).drop("variation_ids", "significances")
+
+
+@query("allele_frequencies", """
+select l_returnflag as gene, l_partkey % 20 as position, l_linestatus as wt_aa, 'X' as mut_aa, sum(l_tax) as af, sum(l_linenumber)::bigint as ac, max(l_orderkey) as an, count(*) as n_alleles from lineitem group by all""")
+def allele_frequencies(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("gene"), (F.col("l_partkey") % 20).alias("position"), F.col("l_linestatus").alias("wt_aa"), F.lit("X").alias("mut_aa"), F.col("l_tax").alias("af"), F.col("l_linenumber").alias("ac"), F.col("l_orderkey").alias("an"))
+    return merge.protein_frequencies(rows)
+
+
+@query("one_per_key", "select l_suppkey, case when count(distinct l_linestatus) = 1 then max(l_linestatus) end as l_linestatus from lineitem where l_linenumber = 7 group by 1")
+def one_per_key(spark, sf_dir):
+    return merge.one_per_key(table(spark, sf_dir, "lineitem").filter("l_linenumber = 7"), ["l_suppkey"], "l_linestatus")
+
+
+@query("average_duplicates", """
+select l_partkey, avg(l_quantity) as l_quantity, case when avg((l_tax > 0.04)::int::double) in (0, 1) then avg((l_tax > 0.04)::int::double) end as taxed, arg_min(l_shipdate, l_orderkey * 10 + l_linenumber) as l_shipdate
+from lineitem group by 1""")
+def average_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("taxed", (F.col("l_tax") > 0.04).cast("double")).withColumn("ordinal", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return merge.average_duplicates(rows, ["l_partkey"], ["l_quantity"], ["taxed"], ["l_shipdate"])
+
+
+@query("gate_region", """
+select n_name, c_custkey, c_custkey between 20 and 60 and n_name = 'FRANCE' and c_custkey % 4 <> 0 and c_acctbal is not null as gated,
+  case when not (c_custkey between 20 and 60 and n_name = 'FRANCE' and c_custkey % 4 <> 0) then c_acctbal end as label from customer join nation on c_nationkey = n_nationkey""")
+def gate_region(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("n_name", F.col("c_custkey").alias("position"), F.lit("A").alias("wt_aa"), F.lit("C").alias("mut_aa"), F.col("c_acctbal").alias("label"))
+    confirmed = rows.filter("position % 4 = 0").select("n_name", "position", "wt_aa", "mut_aa")
+    return merge.gate_region(rows, "n_name", "FRANCE", 20, 60, confirmed).select("n_name", F.col("position").alias("c_custkey"), "gated", "label")
+
+
+@query("row_label_by_precedence", """
+select doc_id, case when len(list_distinct(list_filter([case when doc_id % 3 = 0 then quality end, case when doc_id % 2 = 0 then toxic end], lambda x: x is not null))) = 1
+  then list_filter([case when doc_id % 3 = 0 then quality end, case when doc_id % 2 = 0 then toxic end], lambda x: x is not null)[1] end::int as label from labels""")
+def row_label_by_precedence(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").withColumns({"label__a": F.when(F.col("doc_id") % 3 == 0, F.col("quality")), "label__b": F.when(F.col("doc_id") % 2 == 0, F.col("toxic"))})
+    return rows.select("doc_id", merge.row_label(["label__a", "label__b"]).cast("int").alias("label"))
+
+
+@query("pivot_first", """
+select o_custkey, arg_min(o_totalprice, o_orderkey) filter (where o_orderstatus = 'F') as F, arg_min(o_totalprice, o_orderkey) filter (where o_orderstatus = 'O') as O from orders group by 1""")
+def pivot_first(spark, sf_dir):
+    return merge.pivot_first(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O"], "o_totalprice", "o_orderkey")
+
+
+@query("master_left_joins", """
+select c_custkey, array_to_string(list_filter([case when n is not null then 'orders' end, case when b is not null then 'balance' end], lambda x: x is not null), '|') as sources, n, b from customer
+left join (select o_custkey as k, count(*) as n from orders group by 1) on k = c_custkey left join (select c_custkey as j, c_acctbal as b from customer where c_acctbal > 5000) on j = c_custkey""")
+def master_left_joins(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    sides = {
+        "orders": table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")),
+        "balance": customers.filter("c_acctbal > 5000").select("c_custkey", F.col("c_acctbal").alias("b")),
+    }
+    return merge.master(customers.select("c_custkey"), sides, ["c_custkey"])
+
+
+@query("label_with_weight", """
+select l_orderkey, l_linenumber, case when l_returnflag = 'A' then l_tax when l_linestatus = 'F' then l_discount else l_quantity end as label,
+  case when l_returnflag = 'A' then 'tax' when l_linestatus = 'F' then 'discount' else 'quantity' end as label_source,
+  case when l_returnflag = 'A' then 1.0 when l_linestatus = 'F' then 0.75 else 0.5 end::double as weight from lineitem""")
+def label_with_weight(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumns({"t": F.when(F.col("l_returnflag") == "A", F.col("l_tax")), "d": F.when(F.col("l_linestatus") == "F", F.col("l_discount"))})
+    return rows.select("l_orderkey", "l_linenumber", merge.label_with_weight([("t", "tax", 1.0), ("d", "discount", 0.75), ("l_quantity", "quantity", 0.5)]).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+
+
+@query("exon_table", """
+select l_orderkey as transcript, l_linenumber as exon, (sum(l_quantity) over w - l_quantity + 1)::bigint as cds_start, (sum(l_quantity) over w)::bigint as cds_end from lineitem
+window w as (partition by l_orderkey order by l_linenumber)""")
+def exon_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("transcript"), F.col("l_linenumber").alias("exon"), F.col("l_quantity").cast("bigint").alias("length"))
+    return merge.exon_table(rows).select("transcript", "exon", "cds_start", "cds_end")
+
+
+@query("edges_union", """
+select distinct o_orderkey::varchar as subject, 'placed_by' as predicate, o_custkey::varchar as object, 'sales' as source_id from orders union all
+select distinct l_orderkey::varchar, 'contains', l_partkey::varchar, 'sales' from lineitem union all
+select distinct c_custkey::varchar, 'lives_in', c_nationkey::varchar, 'sales' from customer""")
+def edges_union(spark, sf_dir):
+    return joins.edges({
+        "placed_by": (table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey"), "contains": (table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), "lives_in": (table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey"),
+    }, "sales")
+
+
+@query("conversation_view", """
+select conv_id, count(*) as n_turns, string_agg(role || ':' || length(text), ',' order by turn, role, text) as shape from conversations group by 1""")
+def conversation_view(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nested = joins.nested_view(turns.select("conv_id").distinct(), "conv_id", {"turns": (turns, "turn")})
+    return nested.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), F.length(t["text"]).cast("string"))), ",").alias("shape"))
+
+
+@query("exploded_ids", """
+with e as (select unnest(string_split(p_type, ' ')) as id, p_partkey, p_brand from part)
+select id, arg_min(p_brand, p_partkey) as p_brand, count(distinct p_brand) - 1 as n_conflicts from e group by id""")
+def exploded_ids(spark, sf_dir):
+    return joins.exploded_ids(table(spark, sf_dir, "part"), "p_type", "id", ["p_brand"], "p_partkey", sep=" ")
+
+
+@query("join_by_sequence", "select a.doc_id, count(*) as n from documents a join documents b on a.text = b.text group by 1")
+def join_by_sequence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sequence"))
+    return joins.join_by_sequence(docs, docs.select("sequence")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("reclassified", """
+select doc_id, case when n.c in ('pathogenic', 'likely_pathogenic') then 1.0 when n.c in ('benign', 'likely_benign') then 0.0 end::double as outcome from labels
+left join (select doc_id as d, case when quality = 1 then 'benign' when toxic = 1 then 'pathogenic' else 'vus' end as c from labels where doc_id % 3 > 0) n on d = doc_id where doc_id % 2 = 0""")
+def reclassified(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    old = labels.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "vus").otherwise("benign").alias("label5"))
+    new = labels.filter("doc_id % 3 > 0").select("doc_id", F.when(F.col("quality") == 1, "benign").when(F.col("toxic") == 1, "pathogenic").otherwise("vus").alias("label5"))
+    return joins.reclassified(old, new, "doc_id").select("doc_id", "outcome")
+
+
+@query("compare_wide", """
+with j as (select 'size' as model, p_size::double as a, p_retailprice / 50 as b from part union all select 'retailprice', p_retailprice / 50, p_size::double from part)
+select model, corr(a, b) as pearson, avg(abs(a - b)) as mean_abs_diff, avg((abs(a - b) <= 0.01)::int::double) as share_within, count(*) as n from j group by model""")
+def compare_wide(spark, sf_dir):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice") / 50
+    parts = table(spark, sf_dir, "part")
+    return joins.compare_wide(parts.select("p_partkey", size.alias("Size"), price.alias("Retail-price")), parts.select("p_partkey", price.alias("size"), size.alias("retailprice")), "p_partkey", ["Size", "Retail-price"])
+
+
+@query("orphan_reasons", """
+select reason, count(*) as n from (
+  select case when p_partkey is null then 'unknown_accession' when l_linenumber > length(p_name) then 'outside_sequence' when substr(p_name, l_linenumber, 1) <> 'a' then 'residue_differs' else 'not_in_table' end as reason
+  from lineitem left join (select p_partkey, p_name from part where p_partkey % 2 = 0) on l_partkey = p_partkey where l_quantity > 10) group by 1""")
+def orphan_reasons(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("uniprot_id"), F.col("l_linenumber").alias("position"), F.lit("a").alias("wt_aa"), F.lit("c").alias("mut_aa"), "l_quantity")
+    known = rows.filter("l_quantity <= 0").select("uniprot_id", "position", "wt_aa", "mut_aa")
+    parts = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("uniprot_id"), F.col("p_name").alias("sequence"))
+    return merge.orphans(rows.filter("l_quantity > 10"), known, parts).groupBy("reason").agg(F.count("*").alias("n"))
