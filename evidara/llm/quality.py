@@ -5,7 +5,7 @@ document is cut into chunks of 256 bytes that start every 192, each filter's lar
 0), and the means of these maxima over all chunks are combined by a logistic unit into one probability. Two filter bytes are
 summed in a table of byte pairs, so a response is the sum of two rows of tables that a task builds once.
 
-Learning: log loss, Adam, on at most ``SAMPLE`` labelled documents (those whose seeded digest of doc_id is smallest) and at
+Learning: log loss, Adam, ``EPOCHS`` rounds or as many as make ``STEPS`` steps, on at most ``SAMPLE`` labelled documents (those whose seeded digest of doc_id is smallest) and at
 most ``CHUNKS`` chunks of each, evenly spaced over the whole text; both bounds are parameters, and the sample is all that
 reaches the driver. Only the text's bytes are inputs. Rows held out (crc32 of doc_id as text, modulo 5, is 0) are never
 learned from. With one class or no labelled rows, scores are the share of label 1 (0.5 without any).
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 FILTERS, WIDTH, DIM = 24, 4, 6
 BLOCK, SPAN, STEP = 64, 4, 3  # a chunk is four blocks of 64 bytes; the next one starts three blocks further
-SAMPLE, CHUNKS, EPOCHS, BATCH, SEED = 3000, 10, 12, 64, 5
+SAMPLE, CHUNKS, EPOCHS, STEPS, BATCH, SEED = 3000, 10, 12, 300, 64, 5
 STRIP = 1 << 15
 
 
@@ -84,8 +84,8 @@ class Net:
         """Probability of label 1 of each whole text."""
         _, _, bias, weight, offset = self.parts
         means = np.zeros((len(texts), FILTERS), np.float64)
-        # blocks of all texts lie behind each other, with three blank bytes at least after each text
-        sizes = [-(-(len(t) + WIDTH - 1) // BLOCK) if t else 0 for t in texts]
+        # blocks of all texts lie behind each other, with a blank block after each, so that no filter sees two texts
+        sizes = [-(-len(t) // BLOCK) + 1 if t else 0 for t in texts]
         raw = np.zeros(sum(sizes) * BLOCK + WIDTH - 1, np.uint8)
         at = 0
         for text, size in zip(texts, sizes, strict=True):
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chunks: int =
         net.parts[3][:] = 0
         net.parts[4] = np.float32(np.log(share / (1 - share)))
         return net
-    net.learn([d for _, d in found], y, epochs, BATCH, SEED)
+    net.learn([d for _, d in found], y, max(epochs, -(-STEPS // -(-len(found) // BATCH))), BATCH, SEED)
     return net
 
 

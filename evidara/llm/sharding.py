@@ -90,9 +90,11 @@ class Store:
         at = f"{self.root}/{name}"
         writer = rows.write.mode("error")
         (writer.partitionBy(split) if split else writer).parquet(at)
+        if not self._files(at):
+            return []
         back = self.spark.read.parquet(at) if split else self.spark.read.schema(self.schema).parquet(at)
         group = [split] if split else [F.lit(0).alias("__one")]
-        sizes = back.groupBy(*group).agg(F.count("*").alias("n"), F.sum(self._bytes()).alias("b")).collect() if self._files(at) else []  # one row for each run
+        sizes = back.groupBy(*group).agg(F.count("*").alias("n"), F.sum(self._bytes()).alias("b")).collect()  # one row for each run
         found = []
         for row in sorted(sizes, key=lambda r: r[0]):
             run = f"{name}/{split}={row[0]}" if split else name
