@@ -70,7 +70,7 @@ def normalized_change(text: Column) -> Column:
 
 def mutant_tokens(text: Column) -> Column:
     """``A2V:Q4L`` as an array of changes, each null where its token is none."""
-    return F.transform(F.split(text, ":"), one_letter_change)
+    return F.transform(F.split(text, ":"), lambda x: one_letter_change(x))
 
 
 def variant_name(name: Column) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evidara.functions.hashing import derived_seed
 
@@ -24,6 +26,16 @@ def auc(y: np.ndarray, s: np.ndarray) -> float:
     return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
 
 
+def renewed(rows: DataFrame) -> DataFrame:
+    """The same rows with columns of their own, so that they can be grouped beside others of the same origin."""
+    named = rows.toDF(*[f"__{c}" for c in rows.columns])
+    return named.toDF(*rows.columns)
+
+
+def with_double(rows: DataFrame, name: str) -> StructType:
+    return StructType([*rows.schema.fields, StructField(name, DoubleType())])
+
+
 def _none(x: float) -> float | None:
     return None if x is None or not math.isfinite(x) else float(x)
 
@@ -84,9 +96,8 @@ def paired_table(predictions: DataFrame, reference: str, n: int = 1000, seed: in
         return pd.DataFrame(out, columns=columns)
 
     cols = ["arm", "gene", "seed", "variant_key", "label", "score"]
-    left = predictions.select(cols).filter(predictions.arm != reference).groupBy("gene")
-    right = predictions.select(cols).filter(predictions.arm == reference).groupBy("gene")
-    return left.cogroup(right).applyInPandas(one, "arm string, gene string, n long, delta double, ci_low double, ci_high double")
+    left, right = predictions.select(cols).filter(F.col("arm") != reference), renewed(predictions.select(cols).filter(F.col("arm") == reference))
+    return left.groupBy("gene").cogroup(right.groupBy("gene")).applyInPandas(one, "arm string, gene string, n long, delta double, ci_low double, ci_high double")
 
 
 def isotonic(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +169,7 @@ def calibrate(validation: DataFrame, test: DataFrame, cell: str, label: str, sco
             out = 1 / (1 + np.exp(-logit(s) / temperature(y, p)))
         return rows.assign(calibrated=out)
 
-    return validation.groupBy(cell).cogroup(test.groupBy(cell)).applyInPandas(one, test.schema.add("calibrated", "double"))
+    return renewed(validation).groupBy(cell).cogroup(test.groupBy(cell)).applyInPandas(one, with_double(test, "calibrated"))
 
 
 def calibration_slope(rows: DataFrame, group: str, label: str, score: str) -> DataFrame:
@@ -200,7 +211,7 @@ def out_of_fold_ridge(rows: DataFrame, assay: str, features: Sequence[str], targ
                 out[~train] = x[~train] @ w + b
         return pdf.assign(predicted=out)
 
-    return rows.groupBy(assay).applyInPandas(one, rows.schema.add("predicted", "double"))
+    return rows.groupBy(assay).applyInPandas(one, with_double(rows, "predicted"))
 
 
 def match_spans(predicted: DataFrame, gold: DataFrame, document: str, least: float = 0.5) -> DataFrame:
@@ -226,8 +237,6 @@ def match_spans(predicted: DataFrame, gold: DataFrame, document: str, least: flo
 
 
 def span_f1(matched: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     sums = matched.agg(*[F.sum(c).cast("double").alias(c) for c in ("tp", "n_predicted", "n_gold")])
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, p, g = F.col("tp"), F.col("n_predicted"), F.col("n_gold")

@@ -24,6 +24,9 @@ def _load() -> None:
     from evidara.plans import (  # noqa: F401  importing registers
         evaluation,
         relational,
+        splitting,
+        streams,
+        texts,
     )
 
 
