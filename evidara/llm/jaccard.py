@@ -12,7 +12,8 @@ Documents with equal sets are one class; a row of the incidence matrix is a clas
    of each of the heavy columns that a partner would have to share (its first h - l + 1 of h).
 3. Components of these candidate pairs hold every pair that can link. Each is a block of rows, and its full incidence matrix
    is multiplied in one task; one of more than ``BLOCK`` rows or
-   ``ENTRIES`` entries is cut into chunks of rows, and each pair of chunks is a task. Overlaps
+   ``ENTRIES`` entries is cut into chunks. Up to ``DIRECT`` chunks, each pair of them is a task; beyond, rows are dealt at random
+   twice, which joins what is dense, and only rows outside the largest component so far then meet all rows, chunk by chunk. Overlaps
    below the bound from the two sizes are dropped, the rest link, and tasks give a spanning forest of the links.
 
 Copies, near copies and frequent passages thus cost rows, not pairs of rows, between tasks; nothing is capped, so the result
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from evidara.llm.graph import components, merge
 from evidara.llm.workspace import Workspace
 
-HEAVY, BLOCK, ENTRIES, BROADCAST_ROWS, WORDS_HELD = 32, 2048, 2_000_000, 1_000_000, 1_000_000
+HEAVY, BLOCK, ENTRIES, DIRECT, BROADCAST_ROWS, WORDS_HELD = 32, 2048, 2_000_000, 3, 1_000_000, 250_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<i4")])  # a hash, its row (class) and the row's size
 SETS = "doc_id long, text_key long, cid long, n long, head binary"
@@ -236,26 +237,53 @@ def full_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return texts.select("data").mapInArrow(read, "cid long, hashes binary").join(wanted.drop("text_key"), "cid")
 
 
-def block_product(sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links as a spanning forest (a, b) within each block or pair of chunks of ``sets`` (cid, hashes, block, chunks)."""
-    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks"))
-    dealt = sets.withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "hashes")
-
-    def multiply(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cid")
-        cids = table.column("cid").to_numpy()
-        each = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        sizes = np.array([len(x) for x in each], np.int64)
-        roots = np.arange(len(cids))
-        for a, b, shared in overlaps(each, sizes):
-            # shared * (num + den) >= num * (n_a + n_b) is shared / union >= num / den
-            links = shared * (rule.num + rule.den) >= rule.num * (sizes[a] + sizes[b])
-            merge(roots, a[links], b[links])
-        moved = np.flatnonzero(roots != np.arange(len(cids)))
-        return pa.table({"a": cids[moved], "b": cids[roots[moved]]})
-
-    return dealt.groupBy("block", "i", "j").applyInArrow(multiply, "a long, b long")
+def multiply_rows(table: pa.Table, rule: Rule) -> pa.Table:
+    """Links among the rows (cid, hashes) of a table, as a spanning forest (a, b); a row that is there twice counts once."""
+    cids, first = np.unique(table.column("cid").to_numpy(), return_index=True)
+    blobs = table.column("hashes").to_pylist()
+    each = [np.frombuffer(blobs[i], np.uint64) for i in first]
+    sizes = np.array([len(x) for x in each], np.int64)
+    roots = np.arange(len(cids))
+    for a, b, shared in overlaps(each, sizes):
+        # shared * (num + den) >= num * (n_a + n_b) is shared / union >= num / den
+        links = shared * (rule.num + rule.den) >= rule.num * (sizes[a] + sizes[b])
+        merge(roots, a[links], b[links])
+    moved = np.flatnonzero(roots != np.arange(len(cids)))
+    return pa.table({"a": cids[moved], "b": cids[roots[moved]]})
+
+
+def block_links(sets: DataFrame, rule: Rule, space: Workspace) -> DataFrame:
+    """Links (a, b) whose components are those of all links within each block of ``sets`` (cid, hashes, block, chunks)."""
+
+    def product(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.select(*keys, "cid", "hashes").groupBy(*keys).applyInArrow(lambda table: multiply_rows(table, rule), "a long, b long")
+
+    def part(of: str, seed: int = 0):
+        return F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(of))
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    few = sets.filter(f"chunks <= {DIRECT}").withColumn("own", part("chunks")).withColumn("other", every("chunks"))
+    found = product(few.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")), "block", "i", "j")
+    many = sets.filter(f"chunks > {DIRECT}")
+    if many.isEmpty():
+        return space.save(found, "links")
+    # rows of large blocks meet in two random deals into chunks, which join what is dense
+    for seed in (1, 2):
+        found = found.union(product(many.withColumn("i", part("chunks", seed)), "block", "i"))
+    dealt = space.save(found, "dealt")
+    roots = components(dealt, space).withColumnRenamed("node", "cid")
+    member = many.select("cid", "block").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    largest = member.groupBy("block", "root").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
+    # a link that is still open has an end outside the block's largest component: those rows meet all others
+    rest = space.save(member.join(largest, "block").filter("root != top").select("cid", "block"), "rest")
+    parts = rest.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    opened = many.join(parts, "block")
+    rows = opened.join(rest.select("cid"), "cid", "left_semi").withColumn("i", part("parts")).withColumn("j", every("chunks"))
+    columns = opened.withColumn("j", part("chunks")).withColumn("i", every("parts"))
+    keys = ["block", "i", "j", "cid", "hashes"]
+    return space.save(dealt.union(product(rows.select(keys).union(columns.select(keys)), "block", "i", "j")), "links")
 
 
 def overlaps(each: list[np.ndarray], sizes: np.ndarray, dense: int = 48, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -307,7 +335,9 @@ def link(docs: DataFrame, size: int, num: int, den: int, space: Workspace) -> Da
     members = space.save(blocks.withColumnRenamed("node", "cid").join(one, "cid"), "members")
     sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ENTRIES)).alias("chunks"))
     wanted = space.save(members.join(sizes, "block").select("cid", "text_key", "block", "chunks"), "wanted")
-    links = space.save(block_product(full_sets(docs, wanted, rule), rule), "links")
+    full = space.save(full_sets(docs, wanted, rule), "full")
+    links = block_links(full, rule, space)
+    space.drop("full", "members")
     linked = components(links, space).select(F.col("node").alias("cid"), "root")
     firsts = found.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
     rooted = firsts.join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
