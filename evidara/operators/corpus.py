@@ -32,6 +32,25 @@ def examples(documents: DataFrame, split: DataFrame, task: str = "classify", lea
     return out.filter((F.length("input_text") >= least) & F.col("target_label").isNotNull())
 
 
+def unit_examples(units: DataFrame, documents: DataFrame, split: DataFrame, task: str) -> DataFrame:
+    """Sentence-level examples: evidence_type (one row for each kind of a sentence) or polarity; sentences that state a verdict
+    are no inputs."""
+    rows = units.filter("sentence_role != 'conclusion'").join(documents.select("document_id", "variant_id", "gene"), "document_id").join(split.select("document_id", "split"), "document_id")
+    if task == "evidence_type":
+        rows = rows.withColumn("target_label", F.explode("evidence_types"))
+    elif task == "polarity":
+        rows = rows.filter("sentence_role = 'evidence'").withColumn("target_label", F.col("evidence_polarity"))
+    else:
+        raise ValueError(f"unknown task {task}")
+    return rows.select(F.concat_ws("/", F.lit(task), "evidence_id", "target_label").alias("example_id"), "document_id", "variant_id", "gene", "split", F.col("text_span").alias("input_text"), "target_label")
+
+
+def code_examples(criteria: DataFrame, documents: DataFrame, split: DataFrame) -> DataFrame:
+    """Class from criteria codes alone: the codes met, sorted, as the input."""
+    rows = criteria.filter(F.size("codes_met") > 0).join(documents.select("document_id", "variant_id", "gene", "label5"), "document_id").join(split.select("document_id", "split"), "document_id")
+    return rows.filter("label5 is not null").select(F.concat_ws("/", F.lit("from_codes"), "document_id").alias("example_id"), "document_id", "variant_id", "gene", "split", F.array_join(F.array_sort("codes_met"), " ").alias("input_text"), F.col("label5").alias("target_label"))
+
+
 def masking_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_examples"), F.sum("n_sentences").alias("n_sentences"), F.sum("n_masked").alias("n_masked"), F.sum("n_codes_masked").alias("n_codes_masked"))
 

@@ -252,3 +252,33 @@ def report(rows: DataFrame, groups: Sequence[str], label: str, share: str, thres
 def rounded(table: DataFrame, columns: Mapping[str, int]) -> DataFrame:
     """Numbers as text with so many decimals (half to even), n/a for null."""
     return table.withColumns({c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string(f"%.{d}f", F.bround(c, d))) for c, d in columns.items()})
+
+
+def auc_by_condition(rows: DataFrame, groups: Sequence[str], label: str, score: str, condition: Column) -> DataFrame:
+    """AUC over all rows of a group, over those that meet a condition, and over the others: what a shortcut would need to differ."""
+    met = F.coalesce(condition, F.lit(False))
+    long = rows.withColumn("slice", F.explode(F.array(F.lit("all"), F.when(met, "met").otherwise("not_met"))))
+    return roc_auc(long, [*groups, "slice"], label, score)
+
+
+def auc_gap(validation: DataFrame, test: DataFrame, groups: Sequence[str], label: str, score: str) -> DataFrame:
+    """AUC inside the training groups less that on held-out rows, by cell."""
+    inner = roc_auc(validation, groups, label, score).select(*groups, F.col("auc").alias("validation_auc"))
+    outer = roc_auc(test, groups, label, score).select(*groups, F.col("auc").alias("test_auc"))
+    return inner.join(outer, list(groups)).withColumn("gap", F.col("validation_auc") - F.col("test_auc"))
+
+
+def centroid_accuracy(rows: DataFrame, group: str, columns: Sequence[str], fold: str) -> DataFrame:
+    """How often a row's group is the nearest centroid of the other folds: whether features alone tell the groups apart. Rows with
+    a missing feature are left out; groups are few by contract, and a fold carries the centroids of all."""
+    full = rows.dropna(subset=[group, fold, *columns])
+    sums = lambda t, by, p: t.groupBy(*by).agg(F.count("*").alias(f"{p}n"), *[F.sum(F.col(c).cast("double")).alias(f"{p}{c}") for c in columns])
+    total, part = sums(full, [group], "t_"), sums(full, [group, fold], "f_")
+    grid = total.join(full.select(fold).distinct().withColumn("__one", F.lit(1)).join(total.select(group).withColumn("__one", F.lit(1)), "__one").drop("__one"), group).join(part, [group, fold], "left")
+    n = F.col("t_n") - F.coalesce("f_n", F.lit(0))
+    centre = F.array(*[(F.col(f"t_{c}") - F.coalesce(F.col(f"f_{c}"), F.lit(0.0))) / n for c in columns])
+    centres = grid.filter(n > 0).groupBy(fold).agg(F.collect_list(F.struct(F.col(group).alias("g"), centre.alias("c"))).alias("centres"))
+    own = F.array(*[F.col(c).cast("double") for c in columns])
+    far = F.transform("centres", lambda x: F.struct(F.aggregate(F.zip_with(x["c"], own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d).alias("d"), x["g"].alias("g")))
+    guessed = full.join(centres, fold).withColumn("nearest", F.array_min(far)["g"])
+    return guessed.agg(F.avg((F.col("nearest") == F.col(group)).cast("double")).alias("accuracy"), F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"))

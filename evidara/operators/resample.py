@@ -241,3 +241,49 @@ def span_f1(matched: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, p, g = F.col("tp"), F.col("n_predicted"), F.col("n_gold")
     return sums.select(share(tp, p).alias("precision"), share(tp, g).alias("recall"), share(2 * tp, p + g).alias("f1"))
+
+
+def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
+    """Share of pairs in which x is larger (ties half) and a two-sided p-value by the normal approximation with tie correction."""
+    n, m = len(x), len(y)
+    if not n or not m:
+        return None, None
+    both = pd.Series(np.r_[x, y])
+    u = both.rank()[:n].sum() - n * (n + 1) / 2
+    ties = both.value_counts().to_numpy()
+    variance = n * m / 12 * (n + m + 1 - (ties**3 - ties).sum() / max(1, (n + m) * (n + m - 1)))
+    if variance <= 0:
+        return u / (n * m), 1.0
+    z = max(0.0, abs(u - n * m / 2) - 0.5) / math.sqrt(variance)
+    return float(u / (n * m)), math.erfc(z / math.sqrt(2))
+
+
+def fisher_exact(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided p-value of a table of two by two counts: the total of tables that are no likelier."""
+    row, column, n = a + b, a + c, a + b + c + d
+    log = lambda k: math.lgamma(k + 1)
+
+    def chance(k: int) -> float:
+        return math.exp(log(row) + log(n - row) + log(column) + log(n - column) - log(n) - log(k) - log(row - k) - log(column - k) - log(n - row - column + k))
+
+    seen = chance(a)
+    return min(1.0, sum(p for k in range(max(0, row + column - n), min(row, column) + 1) if (p := chance(k)) <= seen * (1 + 1e-9)))
+
+
+def covariate_tests(rows: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
+    """How each covariate differs between rows with and without an outcome: an exact test for 0/1 columns, else ranks; with
+    p-values adjusted for the number of covariates. ``rows`` are the errors of one evaluation."""
+    from evidara.operators.metrics import benjamini_hochberg
+
+    long = rows.select(F.col(outcome).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in covariates]).unpivot(["y"], list(covariates), "covariate", "value").dropna()
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf.y == 1].value.to_numpy(), pdf[pdf.y == 0].value.to_numpy()
+        if set(pdf.value) <= {0.0, 1.0}:
+            a, c = int(x.sum()), int(y.sum())
+            effect = (a / len(x) if len(x) else 0.0) - (c / len(y) if len(y) else 0.0)
+            return pd.DataFrame([(key[0], "exact", len(pdf), effect, fisher_exact(a, len(x) - a, c, len(y) - c))])
+        effect, p = mann_whitney(x, y)
+        return pd.DataFrame([(key[0], "ranks", len(pdf), effect, p)])
+
+    return benjamini_hochberg(long.groupBy("covariate").applyInPandas(one, "covariate string, test string, n long, effect double, p double"), "p")

@@ -44,12 +44,12 @@ def search_all_then_any(scored: DataFrame, queries: DataFrame, k: int, key: str,
     return top_k_by_group(ranked, [query], "order", key, k).drop("order", "n_all")
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", query: str = "query_id") -> DataFrame:
-    """The k vectors of largest positive cosine with each query vector, ties by key. ``queries`` is a stated set: it is joined
-    to all rows by a common key, in as many blocks as the rows have tasks."""
-    q = queries.select(query, F.col(vector).alias("__q"))
-    scored = vectors.withColumn("__one", F.lit(1)).join(F.broadcast(q.withColumn("__one", F.lit(1))) if queries.limit(1001).count() <= 1000 else q.withColumn("__one", F.lit(1)), "__one")
-    scored = scored.select(query, key, cosine(F.col("__q"), F.col(vector)).alias("score")).filter("score > 0")
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", query: str = "query_id", blocks: int = 64) -> DataFrame:
+    """The k vectors of largest positive cosine with each query vector, ties by key. ``queries`` is a stated set that is held
+    against all rows in blocks: rows are dealt to blocks by key and every block gets the queries."""
+    q = queries.select(query, F.col(vector).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    dealt = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block"))
+    scored = dealt.join(q, "__block").select(query, key, cosine(F.col("__q"), F.col(vector)).alias("score")).filter("score > 0")
     return top_k_by_group(scored, [query], "score", key, k)
 
 

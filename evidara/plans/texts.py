@@ -150,13 +150,13 @@ def normalized_classification(spark, sf_dir):
 
 
 @query("variant_name_parts", r"""
-with t as (select o_orderkey as k, 'NM_000249.4(MLH1):c.' || o_custkey || 'G>A (p.Gly' || ((o_custkey - 1) // 3 + 1) || case when o_orderkey % 4 = 0 then 'Argfs' when o_orderkey % 4 = 1 then 'Gly' else 'Arg' end || ')' as name from orders)
+with t as (select o_orderkey as k, 'NM_000249.4(MLH1):c.' || (o_custkey + 1) || 'G>A (p.Gly' || (o_custkey // 3 + 1) || case when o_orderkey % 4 = 0 then 'Argfs' when o_orderkey % 4 = 1 then 'Gly' else 'Arg' end || ')' as name from orders)
 select k, 'NM_000249.4' as transcript, 'MLH1' as gene, regexp_extract(name, '(c\.[^ ]+)', 1) as change, case when k % 4 > 1 then 'G' end as wt_aa, case when k % 4 > 1 then regexp_extract(name, 'Gly(\d+)', 1)::bigint end as position,
   case when k % 4 > 1 then 'R' end as mut_aa, case k % 4 when 0 then 'frameshift' when 1 then 'synonymous' else 'missense' end as consequence, 'consistent' as codon from t""")
 def variant_name_parts(spark, sf_dir):
     end = F.when(F.col("o_orderkey") % 4 == 0, "Argfs").when(F.col("o_orderkey") % 4 == 1, "Gly").otherwise("Arg")
-    codon = residues.codon_of(F.col("o_custkey"))
-    name = F.concat(F.lit("NM_000249.4(MLH1):c."), "o_custkey", F.lit("G>A (p.Gly"), codon, end, F.lit(")"))
+    codon = residues.codon_of(F.col("o_custkey") + 1)
+    name = F.concat(F.lit("NM_000249.4(MLH1):c."), F.col("o_custkey") + 1, F.lit("G>A (p.Gly"), codon, end, F.lit(")"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), name.alias("name"), codon.alias("at"))
     parts = rows.select("k", "name", "at", residues.variant_name(F.col("name")).alias("v"), residues.three_letter_change(F.col("name")).alias("c"))
     return parts.select("k", "v.transcript", "v.gene", "v.change", "c.wt_aa", "c.position", "c.mut_aa", residues.consequence(F.lit("single nucleotide variant"), F.col("name"), F.lit(1)).alias("consequence"), residues.hgvs_consistency(F.col("v.change"), F.col("at")).alias("codon"))

@@ -132,3 +132,35 @@ def test_units_and_geometry(spark):
     a = np.random.default_rng(0).normal(size=(8, 3))
     turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
     assert structure.superposed_rmsd(a, a @ turn + 5) == pytest.approx(0, abs=1e-9)
+
+
+def test_covariates_and_centroids(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"y": rng.integers(0, 2, 400)})
+    pdf["same"], pdf["shifted"], pdf["flag"] = rng.normal(size=400), rng.normal(size=400) + pdf.y, (rng.random(400) < 0.2 + 0.5 * pdf.y).astype(float)
+    got = {r.covariate: r for r in resample.covariate_tests(spark.createDataFrame(pdf), "y", ["same", "shifted", "flag"]).collect()}
+    assert got["shifted"].q < 1e-6 and got["flag"].test == "exact" and got["flag"].q < 1e-6 and got["same"].p > 0.001 and got["shifted"].effect > 0.6
+    assert resample.fisher_exact(3, 1, 1, 3) == pytest.approx(0.4857142857)
+    pdf["g"], pdf["fold"] = np.where(pdf.index % 2, "a", "b"), pdf.index % 5
+    pdf["told"] = np.where(pdf.g == "a", 5.0, 0.0) + pdf.same
+    assert metrics.centroid_accuracy(spark.createDataFrame(pdf), "g", ["told"], "fold").first().accuracy > 0.95
+    assert metrics.centroid_accuracy(spark.createDataFrame(pdf), "g", ["same"], "fold").first().accuracy < 0.65
+    slices = {r.slice: r.n for r in metrics.auc_by_condition(spark.createDataFrame(pdf), [], "y", "shifted", F.col("g") == "a").collect()}
+    assert slices == {"all": 400, "met": 200, "not_met": 200}
+
+
+def test_examples(spark):
+    docs = spark.createDataFrame(
+        [("d1", "v1", "G", "L", "2020-01-01", 2, False, "Absent from gnomAD controls in a large set. This variant was classified as pathogenic.", "pathogenic"), ("d2", "v2", "G", "L", "2020-01-01", 2, True, "Some text that is long enough.", "benign")],
+        "document_id string, variant_id string, gene string, submitter string, date string, tier int, restricted boolean, text string, label5 string",
+    )
+    split = spark.createDataFrame([("d1", "train"), ("d2", "train")], "document_id string, split string")
+    made = corpus.examples(docs, split)
+    row = made.first()
+    assert made.count() == 1 and row.input_text == "Absent from gnomAD controls in a large set." and (row.n_sentences, row.n_masked) == (2, 1)
+    assert corpus.masking_totals(made).first().n_masked == 1 and corpus.examples(docs, split, holdout="gnomAD").count() == 0
+    units = corpus.evidence_units(docs)
+    assert {r.target_label for r in corpus.unit_examples(units, docs, split, "evidence_type").collect()} == {"population_frequency"}
+    assert corpus.unit_examples(units, docs, split, "polarity").count() == 1
+    criteria = spark.createDataFrame([("d1", ["PS3", "PM2"])], "document_id string, codes_met array<string>")
+    assert corpus.code_examples(criteria, docs, split).first().input_text == "PM2 PS3"
