@@ -5,7 +5,8 @@ statistics: at each word, the longest run ending there that occurs in some templ
 cannot be extended are anchors at all places of the templates where they occur; anchors that follow each other in both the
 document and a template, within ``MAX_GAP`` words, chain to a span, and a span that covers ``MIN_COVER`` of its template is
 reported. The base phrases are templates as well: a phrase ends where the state lies in the subtree of suffix links under
-its own state, so all their places come from the same pass.
+its own state, so all their places come from the same pass. A template of fewer than ``MIN_RUN`` words is found the same way
+and only whole, wherever it stands.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all other characters beyond ASCII. Null counts as empty
 text: no words, no spans, null first and last word, empty labels, score 0. Repeated rows get equal rows; an empty table gives
@@ -76,12 +77,14 @@ class Automaton:
         for state in order:  # where a run ends, its suffixes end as well
             ends[self.link[state]] += ends[state]
         self.ends = [sorted(set(e)) for e in ends]
-        # a base phrase starts its template, so it is the longest run of its state: it ends wherever that state's subtree does
+        # a phrase starts its template, so it is the longest run of its state: it ends wherever that state's subtree does
         self.phrases: list[tuple[int, ...]] = [()] * len(self.next)
         own = {}
-        for number in range(self.n_base):
+        for number, run in enumerate(self.runs):
+            if number >= self.n_base and len(run) >= MIN_RUN:
+                continue
             state = 0
-            for word in self.runs[number]:
+            for word in run:
                 state = self.next[state][self.ids[word]]
             own.setdefault(state, []).append(number)
         for state in reversed(order):
@@ -119,7 +122,7 @@ class Automaton:
         return state
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Places of base phrases as (start, phrase), and maximal runs as (start, length, state)."""
+        """Places of base phrases and of templates under ``MIN_RUN`` words as (start, number), and maximal runs as (start, length, state)."""
         get, step, link, length, phrases = self.ids.get, self.next, self.link, self.length, self.phrases
         places, runs = [], []
         state = held = 0
@@ -150,8 +153,9 @@ class Automaton:
             runs.append((before + 1 - held, held, state))
         return places, runs
 
-    def spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chained template spans (label, first word, last word, share of the template) that cover enough of it."""
+    def spans(self, runs: list[tuple[int, int, int]], whole: list[tuple[int, int]] = ()) -> list[tuple[str, int, int, float]]:
+        """Chained template spans (label, first word, last word, share of the template) that cover enough of it, and those of
+        the ``whole`` short templates (start, number)."""
         open_: dict[int, deque] = {}
         done = []
         for start, held, state in sorted(runs):
@@ -169,7 +173,8 @@ class Automaton:
                 else:
                     chains.append([start, start + held, end, held])
         done += [(number, *c) for number, chains in open_.items() for c in chains]
-        found = ((number, first, last, got / len(self.runs[number])) for number, first, last, _, got in done)
+        found = [(number, first, last, got / len(self.runs[number])) for number, first, last, _, got in done]
+        found += [(number, start, start + len(self.runs[number]), 1.0) for start, number in whole]
         return sorted({(self.labels[n], first, last - 1, cover) for n, first, last, cover in found if cover >= MIN_COVER})
 
 
@@ -189,8 +194,10 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
             rows: list[list] = [[] for _ in schema.names[1:]]
             for data in batch.column("data"):
                 words = words_of(data.as_py())
-                places, runs = automaton.scan(words)
-                spans = automaton.spans(runs) if runs else []
+                found, runs = automaton.scan(words)
+                places = [f for f in found if f[1] < automaton.n_base]
+                whole = [f for f in found if f[1] >= automaton.n_base]
+                spans = automaton.spans(runs, whole) if runs or whole else []
                 starts = [start for start, _ in places]
                 said = {automaton.labels[p] for _, p in places}
                 values = (

@@ -55,6 +55,24 @@ def test_spans_of_whole_and_partial_templates(spark):
     assert rows[1].labels == "bsd" and 0.5 <= rows[1].score < 1 and rows[2].labels == "" and rows[3].score == 0
 
 
+def test_every_template_is_found_in_its_own_text(spark):
+    texts = [t for _, t in licences.TEMPLATES] + ["(c) 2020 Foo. ALL RIGHTS RESERVED.", "all rights; all rights reserved, all rights reserved", "all rights", "rights reserved"]
+    rows = {r.doc_id: r for r in licences.scan_licences(documents(spark, texts)).collect()}
+    for i, (label, text) in enumerate(licences.TEMPLATES):
+        assert (label, 0, len(text.split()) - 1, 1.0) in [tuple(s) for s in rows[i].spans] and label in rows[i].labels.split(",") and rows[i].score == 1.0
+    at = len(licences.TEMPLATES)
+    assert [tuple(s) for s in rows[at].spans] == [("reserved", 3, 5, 1.0)] and rows[at].n_base == 0
+    assert [(s.first, s.last) for s in rows[at + 1].spans] == [(2, 4), (5, 7)]
+    assert rows[at + 2].labels == rows[at + 3].labels == "" and rows[at + 2].score == 0
+
+
+def test_short_template_inside_a_longer_run():
+    automaton = licences.Automaton([("a", "x y z"), ("b", "w x y z q v")], [])
+    words = [w.encode() for w in "w x y z q v".split()]
+    found, runs = automaton.scan(words)
+    assert automaton.spans(runs, found) == [("a", 1, 3, 1.0), ("b", 0, 5, 1.0)]
+
+
 def test_media_round_trip(spark):
     docs = odd(spark)
     text = {r.doc_id: r.text for r in docs.collect()}
