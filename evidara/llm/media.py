@@ -1,12 +1,14 @@
 """Media columns: payloads stored as WAV, short-time Fourier transforms, and fingerprints of spectral-peak pairs.
 
 A text's UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, become a mono WAV of 8-bit samples, written and
-read by the wave module. Frames of 576 samples, 288 apart, are windowed (Hann) and transformed; in each frame the strongest
-bin of each of four bands is a peak. Every peak is paired with the peaks of the same and the next higher band (the fourth
+read by the wave module. Half a frame of silence is set before and after the samples, for the transform only, so every sample
+stands in two frames and the shortest text has three. Frames of 576 samples, 288 apart, are windowed (Hann) and transformed; in
+each frame the strongest bin of each of four bands is a peak. Every peak is paired with the peaks of the same and the next higher band (the fourth
 with the first) in the three frames that follow; a pair is a code of its two bins and its distance, stored with the frame it
 starts in, as arrays ``times`` and ``codes``. The feature string counts the pairs and digests both arrays.
 
-Null counts as empty text (one block of bytes 255). Equal texts give equal values. A frame's strongest bin is the lower one
+Null counts as empty text (one block of bytes 255). Equal texts give equal values; different texts may share a fingerprint where
+they differ in so few bytes that every peak stays in its bin. A frame's strongest bin is the lower one
 of equals. An empty table gives no rows; further columns are ignored. Texts are read whole, in strips of ``STRIP`` frames.
 """
 
@@ -52,8 +54,8 @@ def padded(data: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest bin of each band in each frame: frames x bands."""
-    halves = ((samples.astype(np.float32) - 128.0) / 128.0).reshape(-1, HOP)
+    """The strongest bin of each band in each frame, the first and the last half of silence: frames x bands."""
+    halves = np.pad(((samples.astype(np.float32) - 128.0) / 128.0).reshape(-1, HOP), ((1, 1), (0, 0)))
     out = np.empty((len(halves) - 1, len(BANDS) - 1), np.int32)
     for i in range(0, len(out), STRIP):
         part = halves[i : i + STRIP + 1]

@@ -90,6 +90,20 @@ def test_media_round_trip(spark):
     assert media.media_columns(empty(spark)).count() == 0
 
 
+def test_texts_of_one_block_have_fingerprints(spark):
+    rng = random.Random(3)
+    words = "the licence text of a short page with some words that are drawn at random from this list".split()
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 90)))[:576] for _ in range(200)} | {"a" * 576, "b" * 575 + "a"})
+    rows = media.media_columns(documents(spark, ["", *texts])).collect()
+    assert all(r.payload_bytes == 576 and len(r.codes) == len(r.times) == 24 for r in rows)
+    assert len({r.feature for r in rows}) == len(texts) + 1
+
+
+def test_every_sample_stands_in_two_frames():
+    for blocks in (1, 4):
+        assert len(media.peaks(media.np.zeros(blocks * media.BLOCK, "u1"))) == blocks * media.BLOCK // media.HOP + 1
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     tokenizers = pytest.importorskip("public_tokenizers")
     docs = odd(spark, wild=True)
