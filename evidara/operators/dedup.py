@@ -12,6 +12,7 @@ from evidara.functions import text as T
 from evidara.operators.graph import _shared, connected
 
 PRIME = (1 << 31) - 1
+CHUNK = 500
 
 
 def exact_groups(documents: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
@@ -47,26 +48,33 @@ def band_keys(sig: Column, n: int, bands: int) -> Column:
 
 def near_clusters(documents: DataFrame, threshold: float, key: str = "document_id", text: str = "text", k: int = 5, n: int = 128, seed: int = 1, within: Sequence[str] = ()) -> DataFrame:
     """key and cluster (its smallest key) of documents in clusters of two or more. Equal shingle sets are one member. Candidates
-    share a band; each is compared, by exact Jaccard, with the smallest member of its bucket, and what stays apart goes on to
-    the smallest of the rest, so a bucket of equals takes one round and as many comparisons as it has members."""
+    share a band. Each is compared, by exact Jaccard, with the smallest member of its bucket; then every member that these links
+    leave apart from the smallest one is compared with all members of its bucket it is not yet connected with. So a bucket of
+    near copies takes as many comparisons as it has members, and the clusters are those of all pairs that share a band."""
     made = documents.select(key, *within, T.shingles(F.col(text), k).alias("sh")).filter(F.size("sh") > 0).withColumn("sh", F.array_sort("sh"))
     members = _shared(made.withColumn("set", F.xxhash64("sh", *within)))
     sets = _shared(members.groupBy("set").agg(F.any_value("sh").alias("sh"), *[F.any_value(c).alias(c) for c in within]))
     banded = sets.select("set", *within, F.explode(band_keys(signature(F.col("sh"), n, seed), n, choose_bands(n, threshold))).alias("b")).select("set", *within, "b.band", "b.value")
     bucket = ["band", "value", *within]
-    left = _shared(banded.join(banded.groupBy(*bucket).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"), bucket))
-    links = None
-    while not left.isEmpty():
-        star = left.join(left.groupBy(*bucket).agg(F.min("set").alias("center")), bucket)
-        pairs = star.filter("set != center").select("set", "center").distinct()
-        near = pairs.join(sets.select("set", "sh"), "set").join(sets.select(F.col("set").alias("center"), F.col("sh").alias("sc")), "center")
-        near = _shared(near.filter(T.jaccard(F.col("sh"), F.col("sc")) >= threshold).select(F.col("set").alias("a"), F.col("center").alias("b")))
-        links = near if links is None else links.union(near)
-        rest = star.filter("set != center").join(near, (F.col("set") == F.col("a")) & (F.col("center") == F.col("b")), "left_anti").select("set", *bucket)
-        left = _shared(rest.join(rest.groupBy(*bucket).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"), bucket))
+    held = _shared(banded.join(banded.groupBy(*bucket).agg(F.min("set").alias("center"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"), bucket))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("set").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("set").alias("b"), F.col("sh").alias("sb")), "b")
+        return _shared(both.filter(T.jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
+
+    stars = linked(held.filter("set != center").select(F.col("set").alias("a"), F.col("center").alias("b")).distinct())
+    label = connected(stars)
+    known = held.join(label.select(F.col("node").alias("set"), F.col("component").alias("own")), "set", "left").join(label.select(F.col("node").alias("center"), F.col("component").alias("star")), "center", "left")
+    known = known.select(*bucket, "set", F.coalesce("own", "set").alias("part"), (F.coalesce("own", "set") != F.coalesce("star", "center")).alias("apart"))
+    known = _shared(known)
+    # what is apart is dealt in chunks, each of which meets its whole bucket
+    chunks = known.filter("apart").groupBy(*bucket).agg(F.floor(F.count("*") / CHUNK).alias("last"))
+    mine = known.filter("apart").join(chunks, bucket).select(*bucket, F.col("set").alias("a"), F.col("part").alias("pa"), F.pmod("set", F.col("last") + 1).alias("chunk"))
+    others = known.join(chunks, bucket).select(*bucket, F.col("set").alias("b"), F.col("part").alias("pb"), "apart", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("chunk"))
+    rest = mine.join(others, [*bucket, "chunk"]).filter("pa != pb and (a < b or not apart)").select("a", "b").distinct()
+    links = connected(stars.union(linked(rest))).withColumnRenamed("node", "set")
     found = members.select(key, "set")
-    if links is not None:
-        found = found.join(connected(links).withColumnRenamed("node", "set"), "set", "left").select(key, F.coalesce("component", "set").alias("set"))
+    found = found.join(links, "set", "left").select(key, F.coalesce("component", "set").alias("set"))
     sizes = found.groupBy("set").agg(F.min(key).alias("cluster"), F.count("*").alias("__n")).filter("__n > 1")
     return found.join(sizes, "set").select(key, "cluster")
 

@@ -80,6 +80,26 @@ def test_near_clusters(spark):
     assert dedup.choose_bands(128, 0.8) == 16 or 128 % dedup.choose_bands(128, 0.8) == 0
 
 
+def test_near_clusters_of_chains_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CHUNK", 2)
+    docs = {f"{c:02}{p}": " ".join(f"c{c}w{i}" for i in range(2 * p, 2 * p + 10)) for c in range(12) for p in range(4)}
+    docs |= {f"{c:02}x": " ".join(f"c{c}w{i}" for i in range(4, 30)) for c in range(12)}
+    table = spark.createDataFrame(list(docs.items()), "document_id string, text string")
+    # one permutation: all texts of a chain that share their least word are one bucket
+    least = {r.document_id: r.s[0] for r in table.select("document_id", dedup.signature(dedup.T.shingles(F.col("text"), 1), 1, 1).alias("s")).collect()}
+    words = {k: set(t.split()) for k, t in docs.items()}
+    root = {k: k for k in docs}
+    for a in sorted(docs):
+        for b in sorted(docs):
+            if least[a] == least[b] and len(words[a] & words[b]) / len(words[a] | words[b]) >= 0.6:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    want = sorted((k, v) for k, v in root.items() if list(root.values()).count(v) > 1)
+    assert len({v for _, v in want}) > 5
+    got = dedup.near_clusters(table, 0.6, k=1, n=1).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_splits(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("document_id"), (F.col("id") % 40).cast("string").alias("variant_id"), (F.col("id") % 7).cast("string").alias("gene"), F.lit("s").alias("submitter"))
     for scheme in ("random", "gene", "variant"):
