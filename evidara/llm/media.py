@@ -5,7 +5,7 @@ read by the wave module. Half a frame of silence is set before and after the sam
 stands in two frames and the shortest text has three. Frames of 576 samples, 288 apart, are windowed (Hann) and transformed; in
 each frame the strongest bin of each of four bands is a peak. Every peak is paired with the peaks of the same and the next higher band (the fourth
 with the first) in the three frames that follow; a pair is a code of its two bins and its distance, stored with the frame it
-starts in, as arrays ``times`` and ``codes``. The feature string counts the pairs and digests both arrays.
+starts in, as arrays ``times`` and ``codes``. The WAV itself is the column ``media``. The feature string counts the pairs and digests both arrays.
 
 Null counts as empty text (one block of bytes 255). Equal texts give equal values; different texts may share a fingerprint where
 they differ in so few bytes that every peak stays in its bin. A frame's strongest bin is the lower one
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, HOP, RATE, STRIP, AHEAD = 576, 288, 8000, 2048, 3
+#: Bytes of a WAV before its samples.
+HEADER = 44
 #: First bins of the bands, and the end of the last.
 BANDS = (1, 12, 36, 100, 289)
 WINDOW = np.hanning(BLOCK + 1)[:-1].astype(np.float32)
 
-OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
+OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
 
 
 def store(payload: bytes) -> bytes:
@@ -81,7 +83,7 @@ def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def media_columns(docs: DataFrame) -> DataFrame:
     """``OUT`` for every row of ``docs`` (doc_id, text)."""
     ints = pa.list_(pa.int32())
-    types = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("times", ints), ("codes", ints)]
+    types = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("times", ints), ("codes", ints)]
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +94,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 payload = read(media)
                 times, codes = pairs(peaks(np.frombuffer(payload, np.uint8)))
                 values = (
-                    len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(),
+                    len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), media, len(media), hashlib.sha256(media).hexdigest(),
                     f"{len(codes)}:{hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()[:32]}", times, codes,
                 )
                 for column, value in zip(rows, values, strict=True):

@@ -196,7 +196,11 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media.media_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    payload = F.expr(f"substring(media, {media.HEADER + 1})")
+    return made.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.expr("substring(media, -32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ import zlib
 
 import pytest
 
-from evidara.llm import licences, media, token_counts
-from tests.llm.helpers import documents, empty, odd
+from evidara.llm import licences, media, queries, token_counts
+from tests.llm.helpers import documents, empty, odd, write_tables
 
 PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
 
@@ -90,6 +90,22 @@ def test_media_round_trip(spark):
     assert media.media_columns(empty(spark)).count() == 0
 
 
+def test_media_column_is_read_back(spark, tmp_path):
+    docs = odd(spark)
+    media.media_columns(docs).write.parquet(str(tmp_path / "media"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = spark.read.parquet(str(tmp_path / "media")).collect()
+    assert len(rows) == 15
+    for r in rows:
+        assert media.read(bytes(r.media)) == media.padded((text[r.doc_id] or "").encode())
+        assert (len(r.media), hashlib.sha256(r.media).hexdigest()) == (r.media_bytes, r.media_sha256)
+    write_tables(spark, tmp_path, docs)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    made = queries.op6_media_columns(spark, str(tmp_path))
+    assert made.columns == names
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted((tuple(r[n] for n in names) for r in rows), key=repr)
+
+
 def test_texts_of_one_block_have_fingerprints(spark):
     rng = random.Random(3)
     words = "the licence text of a short page with some words that are drawn at random from this list".split()
