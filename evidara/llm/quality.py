@@ -5,9 +5,10 @@ document is cut into chunks of 256 bytes that start every 192, each filter's lar
 0), and the means of these maxima over all chunks are combined by a logistic unit into one probability. Two filter bytes are
 summed in a table of byte pairs, so a response is the sum of two rows of tables that a task builds once.
 
-Learning: log loss, Adam, ``EPOCHS`` rounds or as many as make ``STEPS`` steps, on at most ``SAMPLE`` labelled documents (those whose seeded digest of doc_id is smallest) and at
-most ``CHUNKS`` chunks of each, evenly spaced over the whole text; both bounds are parameters, and the sample is all that
-reaches the driver. Only the text's bytes are inputs. Rows held out (crc32 of doc_id as text, modulo 5, is 0) are never
+Learning: log loss, Adam, ``EPOCHS`` rounds or as many as make ``STEPS`` steps, on at most ``SAMPLE`` labelled documents (those
+whose seeded digest of doc_id is smallest), each with all of its chunks. That number of rows is a parameter and the only bound;
+the sampled texts, whole, are all that reaches the driver, and a step works through them in strips of ``ROWS`` chunks. It is
+serial: its time depends on the sample, not on the input. Only the text's bytes are inputs. Rows held out (crc32 of doc_id as text, modulo 5, is 0) are never
 learned from. With one class or no labelled rows, scores are the share of label 1 (0.5 without any).
 
 Null counts as empty text; an empty text has no chunks, so its score is the logistic unit's own bias. Byte 0 is a blank.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 FILTERS, WIDTH, DIM = 24, 4, 6
 BLOCK, SPAN, STEP = 64, 4, 3  # a chunk is four blocks of 64 bytes; the next one starts three blocks further
-SAMPLE, CHUNKS, EPOCHS, STEPS, BATCH, SEED = 3000, 10, 12, 300, 64, 5
-STRIP = 1 << 15
+SAMPLE, EPOCHS, STEPS, BATCH, SEED = 3000, 12, 300, 64, 5
+STRIP, ROWS = 1 << 15, 512
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,15 +128,24 @@ class Net:
                 self.parts[0][0] = 0
                 self._tables = None
 
+    def _pooled(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each filter in each chunk (rows of ``raw``), with its bias, and where it stands."""
+        vectors, filters, bias = self.parts[:3]
+        seen = vectors[raw]
+        n = raw.shape[1] - WIDTH + 1
+        # each position with the vectors of the bytes after it, as one row of a product with all filters
+        runs = np.lib.stride_tricks.as_strided(seen, (len(raw), n, WIDTH * DIM), seen.strides)
+        y = (runs.reshape(-1, WIDTH * DIM) @ filters.reshape(WIDTH * DIM, FILTERS)).reshape(len(raw), n, FILTERS)
+        place = y.argmax(axis=1)
+        return np.take_along_axis(y, place[:, None, :], axis=1)[:, 0] + bias, place
+
     def _gradients(self, documents: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
-        vectors, filters, bias, weight, offset = self.parts
+        vectors, filters, _, weight, offset = self.parts
         of = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
         raw = np.concatenate(documents)
-        n = raw.shape[1] - WIDTH + 1
-        seen = vectors[raw]
-        y = sum(seen[:, k : k + n] @ filters[k] for k in range(WIDTH))
-        place = y.argmax(axis=1)
-        top = np.take_along_axis(y, place[:, None, :], axis=1)[:, 0] + bias
+        strips = [self._pooled(raw[i : i + ROWS]) for i in range(0, len(raw), ROWS)]
+        top = np.concatenate([t for t, _ in strips]) if strips else np.zeros((0, FILTERS), np.float32)
+        place = np.concatenate([p for _, p in strips]) if strips else np.zeros((0, FILTERS), np.int64)
         active = top > 0
         share = 1 / np.maximum(np.bincount(of, minlength=len(documents)), 1)
         means = np.zeros((len(documents), FILTERS))
@@ -148,35 +158,25 @@ class Net:
         row = np.arange(len(raw))[:, None]
         for k in range(WIDTH):
             byte = raw[row, place + k]
-            np.add.at(grads[0], byte, to_top[:, :, None] * filters[k].T[None])
             grads[1][k] = np.einsum("cfd,cf->df", vectors[byte], to_top)
+            for d in range(DIM):
+                grads[0][:, d] += np.bincount(byte.ravel(), (to_top * filters[k][d]).ravel(), 256)
         return grads
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, chunks: int) -> list:
-    """(quality, chunk bytes, number of chunks) of the learning documents."""
-    width = BLOCK * SPAN + WIDTH - 1
+def sample(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[int, bytes]]:
+    """Quality and text of the learning documents, whole."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality")).join(docs.select("doc_id").filter("doc_id is not null"), "doc_id", "left_semi")
     drawn = known.distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(SEED)), "doc_id")), "doc_id", "quality").limit(rows)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for data in batch.column("data"):
-                all_ = chunked(data.as_py())
-                out.append(all_[np.unique(np.linspace(0, len(all_) - 1, min(chunks, len(all_))).astype(int))].tobytes() if len(all_) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
-    # at most ``rows`` rows are broadcast
-    cuts = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", text).mapInArrow(cut, "doc_id long, quality int, chunks binary")
-    found = cuts.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).orderBy("doc_id", "quality").collect()
-    return [(r.quality, np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, width)) for r in found]
+    # at most ``rows`` rows are broadcast; a doc_id that stands for several texts is learned from the smallest
+    found = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", text).groupBy("doc_id", "quality").agg(F.min("data").alias("data"))
+    return [(r.quality, bytes(r.data)) for r in found.orderBy("doc_id", "quality").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chunks: int = CHUNKS, epochs: int = EPOCHS) -> Net:
-    found = sample(docs, labels, rows, chunks)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, epochs: int = EPOCHS) -> Net:
+    found = sample(docs, labels, rows)
     y = np.array([q for q, _ in found], np.float64)
     net = Net.fresh(SEED)
     if len(set(y)) < 2:
@@ -184,15 +184,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chunks: int =
         net.parts[3][:] = 0
         net.parts[4] = np.float32(np.log(share / (1 - share)))
         return net
-    net.learn([d for _, d in found], y, max(epochs, -(-STEPS // -(-len(found) // BATCH))), BATCH, SEED)
+    net.learn([chunked(d) for _, d in found], y, max(epochs, -(-STEPS // -(-len(found) // BATCH))), BATCH, SEED)
     return net
 
 
-def with_scores(docs: DataFrame, net: Net) -> DataFrame:
-    """``docs`` with a column __score: the probability of label 1 of each whole text."""
+def scorer(net: Net):
+    """A column function: the probability of label 1 of each whole text."""
+    from pyspark.sql import SparkSession
     from pyspark.sql.pandas.functions import arrow_udf
 
-    parts = docs.sparkSession.sparkContext.broadcast(net.parts)  # a few thousand numbers
+    parts = SparkSession.active().sparkContext.broadcast(net.parts)  # a few thousand numbers
 
     @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -209,15 +210,17 @@ def with_scores(docs: DataFrame, net: Net) -> DataFrame:
                 out.append(own.scores(held))
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    return docs.withColumn("__score", score(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text); ``labels``: doc_id, quality."""
-    scored = with_scores(docs.select("doc_id", "text"), train(docs.select("doc_id", "text"), labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    score = scorer(train(docs.select("doc_id", "text"), labels))
+    scored = docs.select("doc_id", score(F.col("text")).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    return with_scores(docs, train(docs.select("doc_id", "text"), labels)).filter(F.col("__score") >= threshold).drop("__score")
+    """The rows of ``docs`` that the classifier does not reject, with their columns, whatever their names."""
+    score = scorer(train(docs.select("doc_id", "text"), labels))
+    return docs.filter(score(F.col("text")) >= threshold)

@@ -87,3 +87,29 @@ def test_odd_rows_without_labels_and_empty_tables(spark):
         rows = quality.classify(odd(spark, wild=True), labels).collect()
         assert len(rows) == 15 and all(0 <= r.score <= 1 for r in rows)
     assert quality.classify(empty(spark), none).count() == 0
+
+
+def test_learns_from_every_chunk_of_the_sampled_texts(spark, monkeypatch):
+    long = "plain words here " * 3000 + "ZZZZ!!!! " * 40 + "plain words here " * 3000
+    docs = documents(spark, ["short", long, "other", "more text", "again"])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    found = quality.sample(docs, labels, 100)
+    assert (1, long.encode()) in found or zlib.crc32(b"1") % 5 == 0
+    chunks = quality.chunked(long.encode())
+    assert chunks[:, :192].tobytes()[: len(long)] == long.encode()[: chunks[:, :192].size] and len(chunks) * 192 + 64 >= len(long)
+    net = quality.Net.fresh(4)
+    several = [chunks, quality.chunked(b"short"), quality.chunked(b"")]
+    whole = net._gradients(several, np.array([1.0, 0.0, 1.0]))
+    monkeypatch.setattr(quality, "ROWS", 7)
+    for a, b in zip(whole, net._gradients(several, np.array([1.0, 0.0, 1.0]))):
+        assert np.allclose(a, b, atol=1e-6)
+    # the passage in the middle has its share in the gradient
+    without = [quality.chunked(long.replace("ZZZZ!!!! ", "plain wor").encode()), *several[1:]]
+    assert not np.allclose(whole[0][ord("Z")], net._gradients(without, np.array([1.0, 0.0, 1.0]))[0][ord("Z")])
+
+
+def test_callers_columns_stay(spark):
+    texts, labels = corpus(60)
+    docs = documents(spark, texts).withColumnsRenamed({"lang": "__score"})
+    kept = quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == docs.columns and {r["__score"] for r in kept.collect()} == {"en"}
