@@ -2,7 +2,8 @@
 
 A large star joins every larger neighbour of a node to the smallest node around it, a small star every smaller one; both keep
 components and each pair of them about halves the depth, until every node hangs on the smallest of its component. All steps
-are aggregates and joins that skewed keys may be split in, and each round is written to the shared folder.
+are aggregates with partial results and joins in which a hub is dealt over several tasks; each round is written to the shared
+folder. Nodes are of any ordered type, structs as well.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.llm.skew import attach
 from evidara.llm.workspace import Workspace
 
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node has one edge and no centre is a node that hangs on another."""
     twice = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
-    inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    inner = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
     return twice.union(inner).isEmpty()
 
 
@@ -29,13 +31,15 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     step = 0
     while not _stars(now):
         step += 1
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = space.save(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), f"large{step}")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        both = space.save(now.union(now.select("v", "u")), f"both{step}")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        joined = attach(both, low.drop("n"), "u", low.select("u", "n"))
+        large = space.save(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), f"large{step}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = attach(large, low.drop("n"), "u", low.select("u", "n"))
+        small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         now = space.save(small.distinct(), f"stars{step}")
-        space.drop(f"large{step}", f"stars{step - 1}")
+        space.drop(f"both{step}", f"large{step}", f"stars{step - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -27,7 +27,7 @@ def brute(rows, cosine=0.98):
             good = lambda v: v and all(x is not None and math.isfinite(x) for x in v) and any(v)
             if la is None or la != lb or not good(a) or not good(b) or len(a) != len(b):
                 continue
-            x, y = np.array(a, float), np.array(b, float)
+            x, y = (np.array(v, float) / max(map(abs, v)) for v in (a, b))
             if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= cosine:
                 pairs.append((j, i))
     links = [0] * len(rows)
@@ -40,7 +40,7 @@ def brute(rows, cosine=0.98):
     for i, r in enumerate(root):
         if ids[i] is not None:
             least[r] = min(least.get(r, ids[i]), ids[i])
-    return sorted((ids[i], links[i], least.get(root[i]), ids[i] is not None and ids[i] == least.get(root[i])) for i in range(len(rows)))
+    return sorted(((ids[i], links[i], least.get(root[i]), ids[i] is not None and ids[i] == least.get(root[i])) for i in range(len(rows))), key=repr)
 
 
 def check(spark, rows):
@@ -56,7 +56,8 @@ def test_pivots_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "CELL", 24)
     rows = rows_of(260, 6, 2, labels=1)
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert near_vectors.pivots_of(near_vectors.classes_of(frame, near_vectors.Workspace(spark, "t"))[1])
+    classes = near_vectors.classes_of(frame, near_vectors.Workspace(spark, "t"))[1]
+    assert len(near_vectors.pivots_of(classes, 0.2)[6]) > near_vectors.COPIES
     check(spark, rows)
 
 
@@ -65,3 +66,35 @@ def test_odd_vectors(spark):
     rows = [(0, e, 1, "k", 1), (1, [2.0, 0.0], 1, "k", 1), (2, e, None, "k", 1), (3, None, 1, "k", 1), (4, [], 1, "k", 1), (5, [0.0, 0.0], 1, "k", 1), (6, [math.nan, 1.0], 1, "k", 1), (7, [math.inf, 1.0], 1, "k", 1), (8, [None, 1.0], 1, "k", 1), (9, [1.0, 0.0, 0.0], 1, "k", 1), (1, [2.0, 0.0], 1, "k", 1), (10, e, 2, "k", 1)]
     check(spark, rows)
     assert near_vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pivots_at_every_size_and_bounds(spark):
+    rng = np.random.default_rng(5)
+    for n, dim in ((5, 3), (300, 6), (300, 48)):
+        vectors = rng.normal(size=(n, dim))
+        rows = [(i, [float(x) for x in v], 1, "k", 1) for i, v in enumerate(vectors)]
+        classes = near_vectors.classes_of(spark.createDataFrame(rows, SCHEMA), near_vectors.Workspace(spark, "t"))[1]
+        assert len(near_vectors.pivots_of(classes, 0.2)[dim]) == near_vectors.COPIES
+    # whatever is within the radius shares the other's home cell
+    units = near_vectors._units(np.repeat(rng.normal(size=(60, 5)), 8, axis=0) + rng.normal(size=(480, 5)) * 0.05)
+    pivots = near_vectors.farthest_first(units, 40)
+    near, inside = near_vectors.cells_of(units, pivots, 0.2)
+    close = np.sqrt(np.maximum(2 - 2 * units @ units.T, 0)) <= 0.2
+    a, b = np.nonzero(close)
+    assert inside[b, near[a]].all() and inside.sum() < 0.8 * inside.size
+
+
+def test_labels_of_other_types_and_magnitudes(spark):
+    e = [(0, [1e-200, 2e-200], "x y", 1), (1, [1e200, 2e200], "x y", 1), (2, [1.0, 2.0], "x", 1), (None, [3.0, 6.0], "x y", 1), (4, [5e-324, 0.0], "x", 1), (5, [1.7e308, 1e300], "x", 1)]
+    frame = spark.createDataFrame(e, "vec_id long, embedding array<double>, label string, node int")
+    assert sorted(map(tuple, near_vectors.near_vectors(frame).collect()), key=repr) == sorted(brute(e), key=repr)
+    longs = spark.createDataFrame([(1, [1.0], 1 << 40), (2, [2.0], 1 << 40), (3, [1.0], (1 << 40) + (1 << 32))], "vec_id long, embedding array<double>, label long")
+    assert sorted(map(tuple, near_vectors.near_vectors(longs).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    from evidara.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 3)
+    monkeypatch.setattr(skew, "SHARE", 50)
+    check(spark, rows_of(120, 4, 3))
