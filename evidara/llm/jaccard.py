@@ -5,18 +5,20 @@ Documents with equal sets are one class; a row of the incidence matrix is a clas
 
 1. Heads. Two sets with Jaccard similarity t or more share at least ceil(t * n) hashes for either size n, so of the first
    n - ceil(t * n) + l hashes in ascending order of either, its head, the l smallest shared ones lie in both heads. Only heads
-   enter the first product, and it discards pairs that share fewer than l.
+   enter the first product, and it discards pairs that share fewer than l. l grows with n such that a passage that two texts
+   share, but that is not most of them, does not make them candidates.
 2. The product runs over blocks of columns (hashes modulo the number of blocks). A light column, with under ``HEAVY`` rows,
    adds 1 to each of its pairs of compatible size; sums over all blocks plus what the two rows could still share in heavy
    columns must reach l. Heavy columns are never multiplied out: a row with l heavy entries or more is joined to the first row
    of each of the heavy columns that a partner would have to share (its first h - l + 1 of h).
 3. Components of these candidate pairs hold every pair that can link. Each is a block of rows, and its full incidence matrix
-   is multiplied in one task; one of more than ``BLOCK`` rows or
-   ``ENTRIES`` entries is cut into chunks of rows, and each pair of chunks is a task. Overlaps
-   below the bound from the two sizes are dropped, the rest link, and tasks give a spanning forest of the links.
+   is multiplied in one task; one of more than ``BLOCK`` rows or ``ENTRIES`` entries is cut into chunks of rows of like size,
+   and each pair of chunks whose sizes allow a link is a task. Overlaps below the bound from the two sizes are dropped, the
+   rest link, and tasks give a spanning forest of the links.
 
 Copies, near copies and frequent passages thus cost rows, not pairs of rows, between tasks; nothing is capped, so the result
-is that of comparing all pairs (but for collisions of 64-bit hashes).
+is that of comparing all pairs. Sets and texts are told apart by 128 bits; the 64 bits of a row number in the products only
+choose candidates, so two classes that share one are compared like any others. Shingles are 64-bit hashes.
 
 Null or empty text, or text of white space only, has no set and links with nothing; so its component is its own doc_id. A null
 doc_id never names a component, except that a component without any other id has a null one. Repeated rows are copies. An
@@ -30,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.graph import components, merge
+from evidara.llm.skew import attach, fresh
 from evidara.llm.workspace import Workspace
 
-HEAVY, BLOCK, ENTRIES, BROADCAST_ROWS, WORDS_HELD = 32, 2048, 2_000_000, 1_000_000, 1_000_000
+HEAVY, BLOCK, ENTRIES, WORDS_HELD = 32, 2048, 2_000_000, 1_000_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<i4")])  # a hash, its row (class) and the row's size
-SETS = "doc_id long, text_key long, cid long, n long, head binary"
+SETS = "doc_id long, text_key binary, key binary, cid long, n long, head binary"
 PRODUCT = "kind int, a long, b long, n_a int, n_b int, v long"  # 0: v shared light columns of a and b; 1: heavy column b of row a
 
 
@@ -81,8 +84,8 @@ class Rule:
         return -(-self.num * n // self.den)
 
     def extra(self, n):
-        """l: how many shared hashes heads are to hold."""
-        return np.maximum(1, n // 20)
+        """l: how many shared hashes heads are to hold; never less for a larger set."""
+        return np.maximum(np.maximum(1, n // 20), np.minimum(n // 3, 40))
 
     def low(self, n):
         """Smallest l of a set of n and any that links with it."""
@@ -96,32 +99,43 @@ class Rule:
 
 
 def read_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``SETS`` for every row of ``docs`` (doc_id, text); cid is null without words."""
+    """``SETS`` for every row of ``docs`` (doc_id, text): key and cid are null without words; the head is given once for each
+    class in a task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, told = WordHashes(), set()
         for batch in batches:
-            cids, sizes, heads = [], [], []
+            keys, sizes, heads = [], [], []
             for item in batch.column("data"):
                 found = shingles(item.as_py(), rule.size, hashes)
                 sizes.append(len(found))
-                cids.append(class_id(found) if len(found) else None)
-                heads.append(found[: int(rule.head(len(found)))].tobytes())
+                keys.append(class_key(found) if len(found) else None)
+                heads.append(None if keys[-1] is None or keys[-1] in told else found[: int(rule.head(len(found)))].tobytes())
+                told.add(keys[-1])
+            cids = pa.array([None if k is None else row_number(k) for k in keys], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())],
-                ["doc_id", "text_key", "cid", "n", "head"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), cids, pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())],
+                ["doc_id", "text_key", "key", "cid", "n", "head"],
             )
 
     return with_keys(docs).mapInArrow(read, SETS)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("data"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+
 
+def class_key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
-def class_id(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+def row_number(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def head_product(heads: DataFrame, rule: Rule, blocks: int) -> DataFrame:
@@ -140,7 +154,7 @@ def head_product(heads: DataFrame, rule: Rule, blocks: int) -> DataFrame:
             entries = entries[np.argsort(entries["h"], kind="stable")]
             starts = np.flatnonzero(np.r_[True, entries["h"][1:] != entries["h"][:-1]])
             counts = np.diff(np.r_[starts, len(entries)])
-            # a column that is heavy within this batch stays here but for its first row and its number of rows
+            # classes occur once here; a column that is heavy within this batch stays here but for its first row and its number of rows
             much = np.repeat(counts >= HEAVY, counts)
             rest, stay = entries[~much], entries[much]
             marks = entries[starts[counts >= HEAVY]].copy()
@@ -164,7 +178,10 @@ def head_product(heads: DataFrame, rule: Rule, blocks: int) -> DataFrame:
         entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
         if key[0].as_py() < 0:
             return heavy(entries)
-        entries = entries[np.argsort(entries["h"], kind="stable")]
+        # a class that several tasks hold comes from each of them
+        entries = entries[np.lexsort((-np.sign(entries["n"]), entries["c"], entries["h"]))]
+        again = (entries["h"][1:] == entries["h"][:-1]) & (entries["c"][1:] == entries["c"][:-1]) & ((entries["n"][1:] < 0) == (entries["n"][:-1] < 0))
+        entries = entries[np.r_[True, ~again]]
         starts = np.flatnonzero(np.r_[True, entries["h"][1:] != entries["h"][:-1]])
         lengths = np.diff(np.r_[starts, len(entries)])
         marked = np.maximum.reduceat(entries["n"] < 0, starts)
@@ -196,12 +213,12 @@ def head_product(heads: DataFrame, rule: Rule, blocks: int) -> DataFrame:
 
 
 def _extra(n):
-    return F.greatest(F.lit(1), F.floor(n / 20))
+    return F.greatest(F.lit(1), F.floor(n / 20), F.least(F.floor(n / 3), F.lit(40)))
 
 
 def candidates(product: DataFrame, rule: Rule, space: Workspace) -> DataFrame:
     """Pairs (a, b) of classes whose components hold every pair that can link."""
-    heavy = product.filter("kind = 1").select(F.col("a").alias("cid"), F.col("b").alias("h"), F.col("n_a").alias("n"))
+    heavy = product.filter("kind = 1").select(F.col("a").alias("cid"), F.col("b").alias("h"), F.col("n_a").alias("n")).distinct()
     least = F.ceil(F.col("n") * rule.num / rule.den)
     count = space.save(heavy.groupBy("cid", "n").agg(F.count("*").alias("held")).withColumn("low", _extra(least)), "heavy")
     light = product.filter("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("v").alias("v"))
@@ -220,42 +237,84 @@ def candidates(product: DataFrame, rule: Rule, space: Workspace) -> DataFrame:
     return pairs.union(told.join(first, "h").select(F.col("cid").alias("a"), "b").filter("a != b").distinct())
 
 
+def node_of(row: str, key: str) -> Column:
+    """A class as bytes that sort as the rows that name classes do: ``row`` (none, id, text_key), then the class ``key``."""
+    shifted = F.lpad(F.hex(F.coalesce(F.col(f"{row}.id"), F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(F.when(F.col(f"{row}.none"), "01").otherwise("00")), F.unhex(shifted), F.col(f"{row}.text_key"), F.col(key))
+
+
+def named_by(node: Column) -> tuple[Column, Column]:
+    """doc_id and text key of the row that names a class."""
+    id_ = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", id_), F.substring(node, 10, 16)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """cid, n, hashes and block of the classes in ``wanted`` (cid, text_key, block, chunks), read from one text of each."""
+    """``wanted`` (node, block, part, chunks, below, above) with the hashes of each class, read from the one row that names it;
+    rows that repeat both doc_id and text come once from each task."""
+    kept = ["node", "block", "part", "chunks", "below", "above"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, told = WordHashes(), set()
         for batch in batches:
-            found = [shingles(x.as_py(), rule.size, hashes) for x in batch.column("data")]
-            cids = pa.array([class_id(f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([cids, pa.array([f.tobytes() for f in found], pa.binary())], ["cid", "hashes"])
-
-    keys = wanted.select("text_key")
-    keys = F.broadcast(keys) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys  # up to a million longs
-    texts = with_keys(docs).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-    return texts.select("data").mapInArrow(read, "cid long, hashes binary").join(wanted.drop("text_key"), "cid")
+            found, at = [], []
+            for i, (item, node) in enumerate(zip(batch.column("data"), batch.column("node").to_pylist(), strict=True)):
+                if node not in told:
+                    told.add(node)
+                    at.append(i)
+                    found.append(shingles(item.as_py(), rule.size, hashes).tobytes())
+            rest = [batch.column(c).take(pa.array(at, pa.int32())) for c in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *rest], ["hashes", *kept])
+
+    first, key = named_by(F.col("node"))
+    named = wanted.select(*kept, first.alias("first_id"), key.alias("first_key"))
+    # Spark broadcasts the list of rows where its file is small
+    picked = with_keys(docs).join(named, (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return picked.select("data", *kept).mapInArrow(read, "hashes binary, node binary, block long, part int, chunks long, below long, above long")
+
+
+def placed(members: DataFrame, rule: Rule, space: Workspace) -> DataFrame:
+    """``members`` (node, block, n) with the part of their block they stand in and the chunks of this, the next lower and the
+    next higher part. A block of one chunk has one part; the parts of a larger one are ranges of set sizes, so wide that only
+    sets of one part or of neighbours can link."""
+    sizes = lambda table, *by: table.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ENTRIES)).alias("chunks"), F.count("*").alias("rows"))
+    counts = lambda table, *by: table.select(*by, F.col("rows").alias("n"))
+    blocks = space.save(sizes(members, "block"), "sizes")
+    width = max(np.log(rule.den / rule.num), 1e-6) * (1 + 1e-6)
+    part = F.when(F.col("chunks") > 1, F.floor(F.log(F.col("n")) / F.lit(float(width)))).otherwise(0).cast("int")
+    parted = space.save(attach(members, blocks.drop("rows"), "block", counts(blocks, "block")).select("node", "block", "n", part.alias("part")), "parted")
+    parts = space.save(sizes(parted, "block", "part"), "parts")
+    beside = lambda by, name: parts.select("block", (F.col("part") + by).alias("part"), F.col("chunks").alias(name))
+    every = parts.drop("rows").join(beside(1, "below"), ["block", "part"], "left").join(beside(-1, "above"), ["block", "part"], "left").fillna(0, ["below", "above"])
+    return attach(parted, every, ["block", "part"], counts(parts, "block", "part"))
 
 
 def block_product(sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links as a spanning forest (a, b) within each block or pair of chunks of ``sets`` (cid, hashes, block, chunks)."""
-    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks"))
-    dealt = sets.withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "hashes")
+    """Links as a spanning forest (a, b) of nodes within each pair of chunks of ``sets``: of one part (step 0) or of a part and
+    the next higher one (step 1), by the chunks' numbers ``low`` and ``high`` in their parts."""
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    task = lambda part, step, low, high: F.struct(part.alias("part"), F.lit(step).alias("step"), low.alias("low"), high.alias("high"))
+    own = F.col("own")
+    within = F.transform(upto("chunks"), lambda c: task(F.col("part"), 0, F.least(own, c), F.greatest(own, c)))
+    upward = F.transform(upto("above"), lambda c: task(F.col("part"), 1, own, c))
+    downward = F.transform(upto("below"), lambda c: task(F.col("part") - 1, 1, c, own))
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("task", F.explode(F.concat(within, upward, downward)))
 
     def multiply(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cid")
-        cids = table.column("cid").to_numpy()
-        each = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        rows = dict(zip(table.column("node").to_pylist(), table.column("hashes").to_pylist(), strict=True))
+        keys = sorted(rows)
+        each = [np.frombuffer(rows[k], np.uint64) for k in keys]
         sizes = np.array([len(x) for x in each], np.int64)
-        roots = np.arange(len(cids))
+        roots = np.arange(len(keys))
         for a, b, shared in overlaps(each, sizes):
             # shared * (num + den) >= num * (n_a + n_b) is shared / union >= num / den
             links = shared * (rule.num + rule.den) >= rule.num * (sizes[a] + sizes[b])
             merge(roots, a[links], b[links])
-        moved = np.flatnonzero(roots != np.arange(len(cids)))
-        return pa.table({"a": cids[moved], "b": cids[roots[moved]]})
+        moved = np.flatnonzero(roots != np.arange(len(keys)))
+        return pa.table({"a": pa.array([keys[i] for i in moved], pa.binary()), "b": pa.array([keys[roots[i]] for i in moved], pa.binary())})
 
-    return dealt.groupBy("block", "i", "j").applyInArrow(multiply, "a long, b long")
+    by = ["part", "step", "low", "high"]
+    return dealt.select("block", *[f"task.{c}" for c in by], "node", "hashes").groupBy("block", *by).applyInArrow(multiply, "a binary, b binary")
 
 
 def overlaps(each: list[np.ndarray], sizes: np.ndarray, dense: int = 48, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -291,30 +350,36 @@ def overlaps(each: list[np.ndarray], sizes: np.ndarray, dense: int = 48, pairs:
 
 
 def link(docs: DataFrame, size: int, num: int, den: int, space: Workspace) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id and the row that stands for the component (first_id, first_key: of its smallest
+    doc_id, null last, the one with the smaller text key) of every row of ``docs`` (doc_id, text)."""
     rule = Rule(size, num, den)
     docs = docs.select("doc_id", "text")
     sets = space.save(read_sets(docs, rule), "sets")
-    found = sets.filter("cid is not null")
-    heads = found.select("cid", "n", "head").dropDuplicates(["cid"])
-    entries = found.agg(F.sum(F.length("head") / 8)).first()[0] or 0
+    found = sets.filter("key is not null")
+    heads = found.filter("head is not null").select("cid", "n", "head")
+    entries = heads.agg(F.sum(F.length("head") / 8)).first()[0] or 0
     product = space.save(head_product(heads, rule, max(8, int(entries // ENTRIES) + 1)), "product")
     pairs = space.save(candidates(product, rule, space), "pairs")
     blocks = components(pairs, space)
     blocks = space.save(blocks.union(blocks.select("root", "root").distinct()).withColumnRenamed("root", "block"), "blocks")
     space.drop("product", "heavy", "told", "pairs")
-    one = found.groupBy("cid").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"))
-    members = space.save(blocks.withColumnRenamed("node", "cid").join(one, "cid"), "members")
-    sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ENTRIES)).alias("chunks"))
-    wanted = space.save(members.join(sizes, "block").select("cid", "text_key", "block", "chunks"), "wanted")
+    # the row that names a class: smallest doc_id, null last, then the smaller text key; a node is a class in that order, so
+    # the smallest node of a component names it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_key")).alias("first")
+    classes = found.groupBy("key").agg(first, F.any_value("cid").alias("cid"), F.any_value("n").alias("n"), F.count("*").alias("rows"))
+    classes = space.save(classes.select("key", node_of("first", "key").alias("node"), "cid", "n", "rows"), "classes")
+    members = space.save(blocks.withColumnRenamed("node", "cid").join(classes, "cid").select("node", "block", "n"), "members")
+    wanted = space.save(placed(members, rule, space), "wanted")
     links = space.save(block_product(full_sets(docs, wanted, rule), rule), "links")
-    linked = components(links, space).select(F.col("node").alias("cid"), "root")
-    firsts = found.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
-    rooted = firsts.join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = space.save(rooted, "rooted")
-    by_class = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("cid", "root", "component_id")
-    known = found.join(by_class, "cid").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("component_key"))
-    alone = sets.filter("cid is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_key"))
+    space.drop("members", "sizes", "parted", "parts", "wanted", "blocks")
+    roots = components(links, space)
+    first_id, first_key = named_by(F.coalesce("root", "node"))
+    told = classes.join(roots, "node", "left").select("key", first_id.alias("component_id"), first_key.alias("first_key"), F.col("rows").alias("n"))
+    told = space.save(told, "told")
+    known = attach(found.select("doc_id", "text_key", "key", F.col("n").alias("n_shingles")), told.drop("n"), "key", told.select("key", "n"))
+    known = known.select("doc_id", "text_key", "n_shingles", "component_id", F.col("component_id").alias("first_id"), "first_key")
+    own = F.col("doc_id")
+    alone = sets.filter("key is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), own.alias("first_id"), F.col("text_key").alias("first_key"))
     return known.unionByName(alone)
 
 
@@ -325,20 +390,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id (null last; then the one
-    with the smaller hash of its text), and all rows without words. Keeps the columns of ``docs``."""
+    with the smaller key of its text), and all rows without words. Keeps the columns of ``docs``, whatever their names."""
     space = Workspace(docs.sparkSession, "jaccard")
     linked = space.save(link(docs, size, num, den, space), "linked")
-    space.drop("sets", "blocks", "wanted", "links", "rooted")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    best = linked.filter("component_key is not null").groupBy("component_key").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_key")
-    best = best.union(linked.filter("component_key is null").select("doc_id", "text_key").distinct())
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    best = best.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__best"))
-    kept = keyed.join(best, (F.col("__key") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    # rows that repeat both doc_id and text are still there as often as before; such ids are few, and only they are dealt again
-    repeated = linked.filter("component_key is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = space.save(repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__best")), "repeated")
-    if repeated.isEmpty():
-        return kept.drop("__key")
-    twice = (F.col("__key") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return kept.join(repeated, twice, "left_anti").union(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id", "__key"])).drop("__key")
+    space.drop("sets", "links", "classes", "told")
+    # every row is its component's first one, or goes: two columns decide, so no component is gathered
+    key, gone, id_ = fresh("text_key", docs), fresh("gone_key", docs), fresh("gone_id", docs)
+    out = linked.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))))
+    out = space.save(out.select(F.col("doc_id").alias(id_), F.col("text_key").alias(gone)).distinct(), "gone")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    same = (F.col(key) == F.col(gone)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    kept = keyed.join(out, same, "left_anti")
+    # rows that repeat both doc_id and text are still there as often as before; only they are dealt again
+    twice = linked.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = space.save(twice.select(F.col("doc_id").alias(id_), F.col("text_key").alias(gone)), "repeated")
+    if twice.isEmpty():
+        return kept.drop(key)
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", key])).drop(key)
