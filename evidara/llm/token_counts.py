@@ -2,9 +2,9 @@
 
 A count is stored under two digests: of the content (SHA-256 of its UTF-8 bytes) and of the tokenizer's version (library,
 its version, options and the vocabulary file's bytes). Content is normalised only as far as every tokenizer is known to
-ignore it: null counts as empty text; anything more could change a count. Digests without a stored count are the misses. One
-text for each is encoded (copies are dropped before the shuffle, so a text that fills a third of the table is moved once per
-task), counts are appended to the cache, and all documents read their count from it.
+ignore it: null counts as empty text; anything more could change a count. Digests are always joined to the cache first; those without a stored count are the misses. One text for each miss is encoded
+(copies are dropped before the shuffle, so a text that fills a third of the table is moved once per task), counts are appended
+to the cache, and all documents read their count from it.
 
 Repeated rows get equal rows, empty texts have 0 bytes and 0 tokens, an empty table gives no rows, null doc_id stays, and
 further columns are ignored. Texts are encoded whole, in slices of about ``SLICE`` bytes, so a batch needs bounded memory.
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidara.llm.skew import attach
 from evidara.llm.workspace import Workspace
 
 SLICE = 1 << 20
@@ -97,9 +98,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     text = F.coalesce(F.col("text"), F.lit(""))
     digested = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = space.save(digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "keys")
-    texts = digested.select("digest", "text")
-    if store.exists():
-        misses = space.save(keys.select("digest").distinct().join(store.read(version), "digest", "left_anti"), "misses")
-        texts = texts.join(misses, "digest", "left_semi")
-    store.append(encoded(texts.dropDuplicates(["digest"]), tokenizer), version)
-    return keys.join(store.read(version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # one text for each digest, dealt by digest, so the join to the cache moves no text again
+    misses = digested.select("digest", "text").dropDuplicates(["digest"]).join(store.read(version), "digest", "left_anti")
+    store.append(encoded(misses, tokenizer), version)
+    counted = attach(keys, store.read(version), "digest")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

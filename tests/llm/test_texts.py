@@ -139,3 +139,24 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts.count_tokens(more, tokenizers.path("piece_bpe_32k.model"), cache=str(tmp_path / "cache")).count() == 16
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2 * distinct + 1  # only the miss was encoded
     assert token_counts.count_tokens(empty(spark), tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_token_query_finds_stored_digests(spark, tmp_path, monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    texts = [f"text number {i % 7}" for i in range(40)] + [None, ""]
+    sf = write_tables(spark, tmp_path / "sf", odd(spark).union(documents(spark, texts)))
+    hits = []
+    plain = token_counts.Cache.read
+
+    def seen(self, version):
+        found = plain(self, version)
+        hits.append(found.count())
+        return found
+
+    monkeypatch.setattr(token_counts.Cache, "read", seen)
+    rows = queries.op8_token_counts(spark, sf).collect()
+    count = token_counts.load(tokenizers.path("piece_bpe_32k.model"))
+    every = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted(((i, len(t.encode()), count([t])[0]) for i, t in every), key=repr)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in rows), key=repr) == want
+    assert hits[0] == 0 < hits[2] < hits[3] == len({t for _, t in every})  # the second half starts from what the first stored
