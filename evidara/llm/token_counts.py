@@ -101,5 +101,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     # one text for each digest, dealt by digest, so the join to the cache moves no text again
     misses = digested.select("digest", "text").dropDuplicates(["digest"]).join(store.read(version), "digest", "left_anti")
     store.append(encoded(misses, tokenizer), version)
-    counted = attach(keys, store.read(version), "digest")
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = attach(keys, store.read(version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # written, since a plan that reads the same folder at two times would take both for one table
+    return space.save(counted, "counted")
