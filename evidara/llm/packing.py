@@ -1,17 +1,19 @@
 """Packing: length buckets of least padding, and token-budget batches inside each.
 
-Lengths are words (runs of characters other than ASCII white space). A text longer than ``longest`` is cut into pieces of that
-many words and a rest, so no word is lost and the histogram of piece lengths, taken over all documents, has at most
-``longest`` rows, whatever the input. Dynamic programming over it chooses the ends of at most ``buckets`` buckets so that
+Lengths are words (runs of characters other than ASCII white space), or those of a column the caller names, such as token
+counts. A text longer than ``longest`` words is cut into pieces of that many words and a rest, so no word is lost and the
+histogram of piece lengths, taken over all documents, has at most ``longest`` rows, whatever the input. With a caller's lengths,
+or without ``longest``, documents stay whole; then lengths are rounded up to a grain that leaves ``CLASSES`` of them at most.
+Dynamic programming over it chooses the ends of at most ``buckets`` buckets so that
 padding every piece to the end of its bucket wastes the fewest words; of equal choices the lower end wins.
 
 A batch of a bucket holds as many pieces as fit its word budget when padded: floor(budget / end), one at least. Pieces are
-numbered in the order of a seeded digest: buckets are cut into shards by ranges of the digest, pieces are numbered within
+numbered in the order of a seeded digest of doc_id, text and, among rows equal in both, a number: buckets are cut into shards by ranges of the digest, pieces are numbered within
 their shard, and the shards' sizes give where each starts. So no task holds a bucket, batches are full but for the last one
 of each bucket, and reruns agree.
 
 Null or empty text has one piece of no words, in the first bucket. Null doc_id and repeated rows are pieces like any others,
-those equal in everything in any order. An empty table gives no rows; further columns are ignored.
+those equal in both told apart by a number. A null length counts 0. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidara.llm.repeats import numbered
 from evidara.llm.words import WORD, word_count
 from evidara.llm.workspace import Workspace
 
-SHARD, BITS = 20_000, 24
+SHARD, BITS, CLASSES = 20_000, 24, 4096
 
 
 def bucket_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -58,49 +61,61 @@ def bucket_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return ends[::-1]
 
 
-def lot(doc_id: Column, piece: Column, seed: int) -> Column:
-    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), piece)
+def lot(doc_id: Column, piece: Column, digest: Column, ordinal: Column, seed: int) -> Column:
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), piece, digest, ordinal)
     return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
 
 
-def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """Every row as its pieces: doc_id, piece (from 0), first_word and n_words."""
-    sized = docs.select("doc_id", word_count(F.col("text")).alias("words"))
+PIECE = ["doc_id", "digest", "ordinal", "piece", "first_word", "n_words"]
+
+
+def pieces(docs: DataFrame, longest: int | None, length: str | None) -> DataFrame:
+    """``numbered`` rows as their pieces: ``PIECE``, with piece from 0."""
+    size = word_count(F.col("doc.text")) if length is None else F.coalesce(F.col(f"doc.`{length}`").cast("long"), F.lit(0).cast("long"))
+    sized = docs.select("doc.doc_id", "digest", "ordinal", size.alias("words"))
+    if longest is None or length:
+        return sized.select("doc_id", "digest", "ordinal", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_word"), F.col("words").alias("n_words"))
     last = F.greatest(F.lit(0), F.ceil(F.col("words") / longest) - 1).cast("int")
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first_word", F.col("piece").cast("long") * longest)
-    return cut.select("doc_id", "piece", "first_word", F.least(F.lit(longest), F.col("words") - F.col("first_word")).cast("int").alias("n_words"))
+    return cut.withColumn("n_words", F.least(F.lit(longest), F.col("words") - F.col("first_word")).cast("int")).select(PIECE)
 
 
-def text_pieces(docs: DataFrame, longest: int) -> DataFrame:
+def text_pieces(docs: DataFrame, longest: int | None) -> DataFrame:
     """``pieces`` with their text; a document's pieces joined together are its text."""
     word = re.compile(WORD.encode())
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, item in zip(batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "ordinal")), strict=True)
+            for own, item in zip(keys, batch.column("data"), strict=True):
                 data = item.as_py()
                 words = len(data.split())  # bytes: at ASCII white space only
-                if words <= longest:
-                    rows.append((doc_id, 0, 0, words, data.decode()))
+                if longest is None or words <= longest:
+                    rows.append((*own, 0, 0, words, data.decode()))
                     continue
                 starts = [m.start() for i, m in enumerate(word.finditer(data)) if i % longest == 0]
                 bounds = [0, *starts[1:], len(data)]
-                rows += [(doc_id, i, i * longest, min(longest, words - i * longest), data[a:b].decode()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "piece", "first_word", "n_words", "text"])
+                rows += [(*own, i, i * longest, min(longest, words - i * longest), data[a:b].decode()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*PIECE, "text"])
 
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), data).mapInArrow(cut, "doc_id long, piece int, first_word long, n_words int, text string")
+    data = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary").alias("data")
+    kept = docs.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "digest", "ordinal", data)
+    return kept.mapInArrow(cut, "doc_id long, digest string, ordinal long, piece int, first_word long, n_words int, text string")
 
 
-def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, longest: int = 2048, seed: int = 7, texts: bool = False) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, longest: int | None = 2048, seed: int = 7, texts: bool = False, length: str | None = None) -> DataFrame:
     """doc_id, piece, first_word, n_words, bucket (its end), batch (from 0 within the bucket) and slot (from 0 within the batch)
-    of every piece of ``docs`` (doc_id, text), and with ``texts`` its text."""
+    of every piece of ``docs`` (doc_id, text), and with ``texts`` its text. ``length``: a column of lengths that stand for words;
+    then, or without ``longest``, documents are packed whole."""
     space = Workspace(docs.sparkSession, "packing")
-    docs = docs.select("doc_id", "text")
-    bare = space.save(pieces(docs, longest), "pieces")
-    histogram = bare.groupBy("n_words").agg(F.count("*").alias("n")).orderBy("n_words").collect()  # ``longest`` + 1 rows at most
+    docs = numbered(docs.select("doc_id", "text", *[length] * bool(length)), space)
+    bare = space.save(pieces(docs, longest, length), "pieces")
+    grain = max(1, -(-(bare.agg(F.max("n_words")).first()[0] or 0) // CLASSES)) if longest is None or length else 1
+    rounded = (F.ceil(F.col("n_words") / grain) * grain).cast("long") if grain > 1 else F.col("n_words")
+    histogram = bare.groupBy(rounded.alias("n_words")).agg(F.count("*").alias("n")).orderBy("n_words").collect()  # ``longest`` + 1 or ``CLASSES`` + 1 rows at most
     ends = bucket_ends(np.array([r["n_words"] for r in histogram]), np.array([r["n"] for r in histogram]), buckets)
     bucket, shards = F.lit(None).cast("int"), F.lit(1)
     for end, below in reversed(list(zip(ends, [-1, *ends], strict=False))):
@@ -109,15 +124,20 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, longest: int =
         shards = F.when(F.col("n_words") <= end, -(-size // SHARD)).otherwise(shards)
 
     def dealt(cut: DataFrame) -> DataFrame:
-        placed = cut.withColumn("bucket", bucket).withColumn("__lot", lot(F.col("doc_id"), F.col("piece"), seed))
-        return placed.withColumn("__shard", F.floor(F.col("__lot") * shards / 2**BITS).cast("int"))
-
-    sizes = dealt(bare).groupBy("bucket", "__shard").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy("bucket").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = space.save(sizes.select("bucket", "__shard", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")), "starts")
-    order = Window.partitionBy("bucket", "__shard").orderBy("__lot", "doc_id", "piece", "n_words")
-    numbered = dealt(text_pieces(docs, longest) if texts else bare).withColumn("__in", F.row_number().over(order)).join(starts, ["bucket", "__shard"])
-    number = F.col("__start") + F.col("__in") - 1
+        placed = cut.withColumn("bucket", bucket).withColumn("lot", lot(F.col("doc_id"), F.col("piece"), F.col("digest"), F.col("ordinal"), seed))
+        return placed.withColumn("shard", F.floor(F.col("lot") * shards / 2**BITS).cast("int"))
+
+    sizes = dealt(bare).groupBy("bucket", "shard").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = space.save(sizes.select("bucket", "shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "starts")
+    order = Window.partitionBy("bucket", "shard").orderBy("lot", "doc_id", "piece", "digest", "ordinal")
+    cut = bare
+    if texts and length:
+        cut = text_pieces(docs, None).drop("n_words").join(bare.select("doc_id", "digest", "ordinal", "n_words").withColumnsRenamed({"doc_id": "i", "digest": "d", "ordinal": "o"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")) & (F.col("ordinal") == F.col("o")))
+    elif texts:
+        cut = text_pieces(docs, longest)
+    placed = dealt(cut).withColumn("place", F.row_number().over(order)).join(starts, ["bucket", "shard"])
+    number = F.col("start") + F.col("place") - 1
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
-    numbered = numbered.withColumn("batch", F.floor(number / each).cast("long")).withColumn("slot", F.pmod(number, each).cast("int"))
-    return numbered.select("doc_id", "piece", "first_word", "n_words", "bucket", "batch", "slot", *["text"] * texts)
+    placed = placed.withColumn("batch", F.floor(number / each).cast("long")).withColumn("slot", F.pmod(number, each).cast("int"))
+    return placed.select("doc_id", "piece", "first_word", "n_words", "bucket", "batch", "slot", *["text"] * texts)

@@ -17,20 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return made.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__times")).alias("taken"),
-    )
+    return made.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 OP1_SQL = r"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(text, '')) as digest,
+    row_number() over (partition by doc_id, coalesce(text, ''), source) - 1 as ordinal from documents),
 b as (
-  select *, ('0x' || substr(md5(concat('11:', coalesce(doc_id::varchar, 'null'), ':', size::varchar)), 1, 3))::int as bin from d),
+  select *, ('0x' || substr(md5(concat('11:', coalesce(doc_id::varchar, 'null'), ':', digest, ':', ordinal)), 1, 3))::int as bin from d),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 as rk from s),
 w as (select *, [5, 2, 1][(rk % 3)::int + 1] as weight, 2 * source_size as cap from r),
@@ -136,11 +131,13 @@ def _op2_sql(buckets: int = 8, budget: int = 16384, longest: int = 2048) -> str:
         for t in range(buckets - 1)
     )
     return rf"""
-with s as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words from documents),
-c as (select doc_id, words, unnest(range(0, greatest(1, ceil(words / {longest}.0)::bigint)))::int as piece from s),
+with s as (
+  select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words, md5(coalesce(text, '')) as digest,
+    row_number() over (partition by doc_id, coalesce(text, '')) - 1 as ordinal from documents),
+c as (select doc_id, digest, ordinal, words, unnest(range(0, greatest(1, ceil(words / {longest}.0)::bigint)))::int as piece from s),
 p as (
-  select doc_id, piece, piece::bigint * {longest} as first_word, least({longest}, words - piece::bigint * {longest})::int as n_words,
-    ('0x' || substr(md5(concat('7:', coalesce(doc_id::varchar, 'null'), ':', piece)), 1, 6))::bigint as lot from c),
+  select doc_id, digest, ordinal, piece, piece::bigint * {longest} as first_word, least({longest}, words - piece::bigint * {longest})::int as n_words,
+    ('0x' || substr(md5(concat('7:', coalesce(doc_id::varchar, 'null'), ':', piece, ':', digest, ':', ordinal)), 1, 6))::bigint as lot from c),
 h as (select n_words, count(*) as n from p group by n_words),
 d as (
   select n_words::bigint as n_words, row_number() over (order by n_words) as j, sum(n) over (order by n_words)::bigint as p,
@@ -150,7 +147,7 @@ k0 as (select j, n_words * p - w as cost, [n_words] as ends from d),
 q as (
   select p.*, (select min(bucket) from b where bucket >= p.n_words)::int as bucket from p),
 r as (
-  select *, row_number() over (partition by bucket order by lot, doc_id nulls first, piece, n_words) - 1 as number,
+  select *, row_number() over (partition by bucket order by lot, doc_id nulls first, piece, digest, ordinal) - 1 as number,
     greatest(1, {budget} // greatest(bucket, 1)) as each from q)
 select doc_id, piece, first_word, n_words, bucket, (number // each)::bigint as batch, (number % each)::int as slot from r
 """

@@ -46,3 +46,27 @@ def test_odd_rows_and_empty_tables(spark):
         rows = packing.pack(odd(spark, wild=True), longest=1000, texts=texts).collect()
         assert len(rows) == 15 + 4  # one text of 5,000 words is five pieces
         assert packing.pack(empty(spark), texts=texts).count() == 0
+
+
+def test_repeated_ids_are_spread_and_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 20)
+    rows = [(None, f"a {i % 3} b", "en", "s", 5) for i in range(150)] + [(4, "same text", "en", "s", 9)] * 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    got = packing.pack(docs, buckets=2, budget=12, texts=True).collect()
+    assert len(got) == 300 and len({(r.bucket, r.batch, r.slot) for r in got}) == 300
+    again = packing.pack(docs.repartition(2), buckets=2, budget=12, texts=True).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    bare = packing.pack(docs, buckets=2, budget=12).collect()
+    assert sorted((r.bucket, r.batch, r.slot) for r in bare) == sorted((r.bucket, r.batch, r.slot) for r in got)
+
+
+def test_whole_documents_by_lengths_of_the_caller(spark):
+    docs = documents(spark, ["w " * (i * 37 % 500) for i in range(90)]).selectExpr("*", "if(doc_id = 3, null, doc_id * 1000) as n_tokens")
+    for texts in (False, True):
+        rows = packing.pack(docs, buckets=3, budget=200_000, length="n_tokens", texts=texts).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(90)) and all(r.n_words == (0 if r.doc_id == 3 else r.doc_id * 1000) <= r.bucket for r in rows)
+        batches = {}
+        for r in rows:
+            batches.setdefault((r.bucket, r.batch), []).append(r.n_words)
+        assert all(len(v) * b <= 200_000 or len(v) == 1 for (b, _), v in batches.items())
+    assert {r.n_words for r in packing.pack(docs, longest=None).collect()} == {len(("w " * (i * 37 % 500)).split()) for i in range(90)}
