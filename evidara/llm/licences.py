@@ -3,10 +3,12 @@
 The automaton accepts every run of words of every template. A document streams through it once and gets its matching
 statistics: at each word, the longest run ending there that occurs in some template. Runs of ``MIN_RUN`` words or more that
 cannot be extended are anchors at all places of the templates where they occur; anchors that follow each other in both the
-document and a template, within ``MAX_GAP`` words, chain to a span, and a span that covers ``MIN_COVER`` of its template is
-reported. The base phrases are templates as well: a phrase ends where the state lies in the subtree of suffix links under
-its own state, so all their places come from the same pass. A template of fewer than ``MIN_RUN`` words is found the same way
-and only whole, wherever it stands.
+document and a template, within ``MAX_GAP`` words, chain to a span. A template's words weigh the less the more labels have
+them, and a span that covers ``MIN_COVER`` of its template's weight and holds the phrase that tells this licence from others
+is found. Of found spans that overlap, the one that covers most weight stands, so a passage has one label. The base phrases
+are templates as well: a phrase ends where the state lies in the subtree of suffix links under its own state, so all their
+places come from the same pass. A template of fewer than ``MIN_RUN`` words is found the same way and only whole, wherever it
+stands.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all other characters beyond ASCII. Null counts as empty
 text: no words, no spans, null first and last word, empty labels, score 0. Repeated rows get equal rows; an empty table gives
@@ -15,8 +17,9 @@ no rows; further columns are ignored. A document takes time in proportion to its
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,23 +30,38 @@ MIN_RUN, MAX_GAP, MIN_COVER = 4, 12, 0.5
 #: Base phrases and their labels.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: Passages of public licences and notices, by label.
+#: Passages of public licences and notices, by label, with the phrase that a document's span must hold.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "permission is hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice", "redistribution and use in source and binary forms"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", "including commercial applications"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", "person or organization obtaining a copy"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "applicable law or agreed to in writing"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "affero general public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unencumbered software"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright"),
+    ("cc-by", "licensed under cc by", "cc by"),
+    ("cc-by", "cc by 4 0", "cc by"),
+    ("cc-by", "cc by 3 0", "cc by"),
+    ("cc-by-nc", "cc by nc", "cc by nc"),
+    ("cc-by-nd", "cc by nd", "cc by nd"),
+    ("cc-by-sa", "cc by sa", "cc by sa"),
+    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd"),
+    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa"),
+    ("cc-by", "creative commons attribution 4 0 international license", "attribution 4 0 international"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", "attribution noderivatives"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license", "noncommercial sharealike"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international license", "noncommercial noderivatives"),
+    ("reserved", "all rights reserved", "all rights reserved"),
 )
 
 #: Bytes that stand in a word, lower-cased; all others become spaces.
@@ -60,9 +78,16 @@ class Automaton:
     """Generalised suffix automaton over word ids; states are rows of parallel lists."""
 
     def __init__(self, templates, base=BASE):
-        self.labels = [label for label, _ in base] + [label for label, _ in templates]
-        self.runs = [words_of(text.encode()) for _, text in base] + [words_of(text.encode()) for _, text in templates]
+        self.labels = [label for label, _ in base] + [t[0] for t in templates]
+        self.runs = [words_of(text.encode()) for _, text in base] + [words_of(t[1].encode()) for t in templates]
+        self.needs = [words_of(text.encode()) for _, text in base] + [words_of(t[2].encode()) for t in templates]
         self.n_base = len(base)
+        having: dict[bytes, set[str]] = {}
+        for label, run in list(zip(self.labels, self.runs, strict=True))[self.n_base :]:
+            for word in run:
+                having.setdefault(word, set()).add(label)
+        #: Sums of the weights of a template's first words; a word weighs 1 / the number of labels that have it.
+        self.weights = [[0.0, *accumulate(1 / len(having.get(w, " ")) for w in run)] for run in self.runs]
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -153,29 +178,38 @@ class Automaton:
             runs.append((before + 1 - held, held, state))
         return places, runs
 
-    def spans(self, runs: list[tuple[int, int, int]], whole: list[tuple[int, int]] = ()) -> list[tuple[str, int, int, float]]:
-        """Chained template spans (label, first word, last word, share of the template) that cover enough of it, and those of
-        the ``whole`` short templates (start, number)."""
-        open_: dict[int, deque] = {}
+    def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+        """For every anchor the chain of most weight that ends with it: (template, first word, end, weight)."""
+        open_: dict[int, list] = {}
         done = []
         for start, held, state in sorted(runs):
             for number, end in self.ends[state]:
                 if number < self.n_base:
                     continue
-                chains = open_.setdefault(number, deque())
-                while chains and chains[0][1] + MAX_GAP < start - held:
-                    done.append((number, *chains.popleft()))
-                a = end - held
-                best = max((c for c in chains if c[1] <= start <= c[1] + MAX_GAP and c[2] <= a), key=lambda c: c[3], default=None)
-                if best:
-                    chains.remove(best)
-                    chains.append([best[0], start + held, end, best[3] + held])
-                else:
-                    chains.append([start, start + held, end, held])
-        done += [(number, *c) for number, chains in open_.items() for c in chains]
-        found = [(number, first, last, got / len(self.runs[number])) for number, first, last, _, got in done]
-        found += [(number, start, start + len(self.runs[number]), 1.0) for start, number in whole]
-        return sorted({(self.labels[n], first, last - 1, cover) for n, first, last, cover in found if cover >= MIN_COVER})
+                sums, before = self.weights[number], open_.setdefault(number, [])
+                before[:] = [c for c in before if c[1] + MAX_GAP >= start]  # runs come in order of their start
+                fit = [c for c in before if c[1] <= start and c[2] <= end - held]
+                best = max(fit, key=lambda c: (c[3], c[0]), default=None)
+                chain = (best[0] if best else start, start + held, end, (best[3] if best else 0.0) + sums[end] - sums[end - held])
+                before.append(chain)
+                done.append((number, chain[0], chain[1], chain[3]))
+        return done
+
+    def spans(self, words: list[bytes], runs: list[tuple[int, int, int]], whole: list[tuple[int, int]] = ()) -> list[tuple[str, int, int, float]]:
+        """Spans that stand (label, first word, last word, share of the template's weight), in the order of the document: those
+        of chains over ``runs``, and of the ``whole`` short templates (start, number)."""
+        found = self.chains(runs) + [(number, start, start + len(self.runs[number]), self.weights[number][-1]) for start, number in whole]
+        kept: list[tuple[int, int, str, float]] = []
+        order = lambda f: (-f[3], f[1], f[2], self.labels[f[0]], f[0])
+        for number, first, end, weight in sorted((f for f in found if f[3] >= MIN_COVER * self.weights[f[0]][-1] - 1e-9), key=order):
+            cover = weight / self.weights[number][-1]
+            at = bisect(kept, (first,))
+            if (at and kept[at - 1][1] > first) or (at < len(kept) and kept[at][0] < end):
+                continue  # kept spans never overlap, so only the neighbours matter
+            need = self.needs[number]
+            if any(words[i : i + len(need)] == need for i in range(first, end - len(need) + 1)):
+                kept.insert(at, (first, end, self.labels[number], min(1.0, cover)))
+        return [(label, first, end - 1, cover) for first, end, label, cover in kept]
 
 
 def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
@@ -197,7 +231,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
                 found, runs = automaton.scan(words)
                 places = [f for f in found if f[1] < automaton.n_base]
                 whole = [f for f in found if f[1] >= automaton.n_base]
-                spans = automaton.spans(runs, whole) if runs or whole else []
+                spans = automaton.spans(words, runs, whole) if runs or whole else []
                 starts = [start for start, _ in places]
                 said = {automaton.labels[p] for _, p in places}
                 values = (
