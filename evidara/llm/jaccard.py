@@ -39,9 +39,10 @@ from evidara.llm.graph import components, merge
 from evidara.llm.skew import attach, fresh
 from evidara.llm.workspace import Workspace
 
-HEAVY, BLOCK, ENTRIES, WORDS_HELD = 32, 2048, 2_000_000, 1_000_000
+HEAVY, BLOCK, ENTRIES, PAIRS, WORDS_HELD = 32, 1024, 1_000_000, 1_000_000, 250_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<i4")])  # a hash, its row (class) and the row's size
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("n_a", "<i4"), ("n_b", "<i4"), ("v", "<i8")])
 SETS = "doc_id long, text_key binary, key binary, cid long, n long, head binary"
 PRODUCT = "kind int, a long, b long, n_a int, n_b int, v long"  # 0: v shared light columns of a and b; 1: heavy column b of row a
 
@@ -174,6 +175,24 @@ def head_product(heads: DataFrame, rule: Rule, blocks: int) -> DataFrame:
     def heavy(e: np.ndarray) -> pa.Table:
         return rows(1, e["c"].copy(), e["h"].astype(np.int64), e["n"].copy(), np.zeros(len(e), np.int32), np.zeros(len(e), np.int64))
 
+    def pairs_of(entries: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fits = rule.compatible(entries["n"][i].astype(np.int64), entries["n"][j].astype(np.int64))
+        i, j = i[fits], j[fits]
+        swap = entries["c"][i] > entries["c"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        found = np.empty(len(i), PAIR)
+        found["a"], found["b"], found["n_a"], found["n_b"], found["v"] = entries["c"][i], entries["c"][j], entries["n"][i], entries["n"][j], 1
+        return found
+
+    def summed(pairs: np.ndarray) -> np.ndarray:
+        if not len(pairs):
+            return pairs
+        pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+        first = np.flatnonzero(np.r_[True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])])
+        found = pairs[first]
+        found["v"] = np.add.reduceat(pairs["v"], first)
+        return found
+
     def multiply(key: tuple, table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
         if key[0].as_py() < 0:
@@ -188,25 +207,18 @@ def head_product(heads: DataFrame, rule: Rule, blocks: int) -> DataFrame:
         much = marked | (lengths >= HEAVY)
         of_heavy = entries[np.repeat(much, lengths)]
         out = [heavy(of_heavy[of_heavy["n"] > 0])]
-        codes = []
+        held, waiting = [np.empty(0, PAIR)], 0
         for length in np.unique(lengths[~much & (lengths > 1)]):
             at = starts[~much & (lengths == length)]
             i, j = np.triu_indices(length, 1)
-            x, y = entries[(at[:, None] + i).ravel()], entries[(at[:, None] + j).ravel()]
-            fits = rule.compatible(x["n"].astype(np.int64), y["n"].astype(np.int64))
-            x, y = x[fits], y[fits]
-            low = x["c"] < y["c"]
-            pair = np.empty(len(x), [("a", "<i8"), ("b", "<i8"), ("n_a", "<i4"), ("n_b", "<i4")])
-            pair["a"], pair["b"] = np.where(low, x["c"], y["c"]), np.where(low, y["c"], x["c"])
-            pair["n_a"], pair["n_b"] = np.where(low, x["n"], y["n"]), np.where(low, y["n"], x["n"])
-            codes.append(pair)
-        if codes:
-            pair = np.concatenate(codes)
-            pair = pair[np.lexsort((pair["b"], pair["a"]))]
-            if len(pair):
-                first = np.flatnonzero(np.r_[True, (pair["a"][1:] != pair["a"][:-1]) | (pair["b"][1:] != pair["b"][:-1])])
-                p = pair[first]
-                out.append(rows(0, p["a"].copy(), p["b"].copy(), p["n_a"].copy(), p["n_b"].copy(), np.diff(np.r_[first, len(pair)])))
+            for k in range(0, len(at), max(1, PAIRS // len(i))):
+                part = at[k : k + max(1, PAIRS // len(i)), None]
+                held.append(pairs_of(entries, (part + i).ravel(), (part + j).ravel()))
+                waiting += len(held[-1])
+                if waiting >= 2 * PAIRS:  # what is summed stays small, however many columns two rows share
+                    held, waiting = [summed(np.concatenate(held))], 0
+        p = summed(np.concatenate(held))
+        out.append(rows(0, p["a"].copy(), p["b"].copy(), p["n_a"].copy(), p["n_b"].copy(), p["v"].copy()))
         return pa.concat_tables(out)
 
     return heads.select("cid", "n", "head").mapInArrow(deal, "part int, entries binary").groupBy("part").applyInArrow(multiply, PRODUCT)
