@@ -3,28 +3,33 @@
 An arrival is appended as small shards: files that are never changed. Shards of one arrival or one merge form a run; a run of
 s bytes stands in tier floor(log(s / base) / log(fan)), 0 at least. Whenever a tier has ``fan`` runs, they are merged into one run of
 files of about the target size, which stands in a higher tier, so a row is rewritten once for each tier, not for each arrival.
-A merge reads whole shards and shuffles nothing.
+A merge reads whole shards and shuffles nothing: small scan partitions are joined to one file, large ones are cut by rows.
 
-The manifest of a version lists its runs with their files, rows and bytes. It is written beside its place and renamed there,
-which fails if the version exists: of two writers one commits and the other has to start from the new version. Readers take the
-highest version; files that no manifest lists are no part of the store, whatever a lost task or writer left behind. ``vacuum``
-deletes runs that the last manifest no longer lists.
+The manifest of a version lists its runs, a folder of files each, with their rows and bytes; tiers keep their number small,
+whatever the number of files. It is written beside its place and renamed there by the holder of the version's lock, so of two
+writers one commits and the other has to start from the new version. A lock whose writer was lost is taken over after
+``lease`` seconds. Readers take the highest version; folders that no manifest lists are no part of the store, whatever a lost
+task or writer left behind. ``vacuum`` deletes those of them that are older than the lease; merges delete what they replaced.
 
 Bytes are those of the text column (null: 0), so tiers do not depend on the file format. Null in any column, empty and long
-texts, repeated rows and further columns are kept as they are; an empty arrival adds no run; a store without arrivals is an
-empty table.
+texts, repeated rows and further columns of any name are kept as they are; an empty arrival adds no run; a store without
+arrivals is an empty table.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARRIVAL = "__arrival"
+from evidara.llm.skew import fresh
+
+#: Bytes of text of an arrival, at most about (and one scan partition at least).
+ARRIVAL = 32 << 20
 
 
 class Conflict(RuntimeError):
@@ -32,8 +37,8 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, schema, target: int = 32 << 20, base: int = 4 << 20, fan: int = 4, size: str = "text"):
-        self.spark, self.root, self.schema, self.target, self.base, self.fan, self.size = spark, root, schema, target, base, fan, size
+    def __init__(self, spark: SparkSession, root: str, schema, target: int = 32 << 20, base: int = 4 << 20, fan: int = 4, size: str = "text", lease: float = 3600):
+        self.spark, self.root, self.schema, self.target, self.base, self.fan, self.size, self.lease = spark, root, schema, target, base, fan, size, lease
 
     # manifest
 
@@ -67,15 +72,29 @@ class Store:
         stream.close()
         # the lock file is created by one writer only; a rename alone may replace its target on some stores
         lock = path(f"{self.root}/manifests/.lock{read + 1:09d}")
-        try:
-            fs.create(lock, False).close()
-        except Exception as e:
+        if not self._locked(lock) or fs.exists(place):
             fs.delete(beside, False)
-            raise Conflict(f"version {read + 1} was committed by another writer") from e
+            raise Conflict(f"version {read + 1} is committed by another writer")
         if not fs.rename(beside, place):
             raise Conflict(f"version {read + 1} was committed by another writer")
         return made
 
+    def _locked(self, lock) -> bool:
+        """Creates the lock; one older than the lease belongs to a lost writer and is moved away first."""
+        fs, path = self._fs()
+        for _ in range(2):
+            try:
+                fs.create(lock, False).close()
+                return True
+            except Exception:
+                if not self._stale(lock) or not fs.rename(lock, path(f"{self.root}/manifests/.stale-{uuid.uuid4().hex}")):
+                    return False
+        return False
+
+    def _stale(self, at) -> bool:
+        fs, _ = self._fs()
+        return fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > self.lease
+
     # runs
 
     def tier(self, n_bytes: int) -> int:
@@ -84,45 +103,37 @@ class Store:
     def _bytes(self) -> Column:
         return F.coalesce(F.octet_length(self.size), F.lit(0)).cast("long")
 
-    def write(self, rows: DataFrame, split: str | None = None) -> list[dict]:
+    def write(self, rows: DataFrame, split: str | None = None, rows_a_file: int = 0) -> list[dict]:
         """Rows as new files, as one run or as one for each value of the column ``split``; not part of the store yet."""
         name = f"run-{uuid.uuid4().hex}"
         at = f"{self.root}/{name}"
-        writer = rows.write.mode("error")
+        writer = rows.write.mode("error").option("maxRecordsPerFile", rows_a_file)
         (writer.partitionBy(split) if split else writer).parquet(at)
-        if not self._files(at):
+        fs, path = self._fs()
+        below = [s.getPath().getName() for s in fs.listStatus(path(at)) if s.isDirectory()] if split else []
+        if not (below if split else any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(path(at)))):
             return []
         back = self.spark.read.parquet(at) if split else self.spark.read.schema(self.schema).parquet(at)
-        group = [split] if split else [F.lit(0).alias("__one")]
-        sizes = back.groupBy(*group).agg(F.count("*").alias("n"), F.sum(self._bytes()).alias("b")).collect()  # one row for each run
-        found = []
-        for row in sorted(sizes, key=lambda r: r[0]):
-            run = f"{name}/{split}={row[0]}" if split else name
-            found.append({"run": run, "rows": row["n"], "bytes": row["b"], "tier": self.tier(row["b"]), "files": self._files(f"{self.root}/{run}")})
-        return found
-
-    def _files(self, at: str) -> list[str]:
-        fs, path = self._fs()
-        files, listed, above = [], fs.listFiles(path(at), True), len(path(self.root).toUri().getPath()) + 1
-        while listed.hasNext():
-            name = listed.next().getPath().toUri().getPath()
-            if name.endswith(".parquet"):
-                files.append(name[above:])
-        return sorted(files)
+        sizes = back.groupBy(*[split] * bool(split)).agg(F.count("*").alias("n"), F.sum(self._bytes()).alias("b")).collect()  # one row for each run
+        runs = [(f"{name}/{split}={row[0]}" if split else name, row["n"], row["b"]) for row in sorted(sizes, key=lambda r: r[0])]
+        return [{"run": run, "rows": n, "bytes": b, "tier": self.tier(b)} for run, n, b in runs if n]
 
     def rows(self, runs: list[dict]) -> DataFrame:
-        files = [f"{self.root}/{f}" for r in runs for f in r["files"]]
-        return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
+        at = [f"{self.root}/{r['run']}" for r in runs]
+        return self.spark.read.schema(self.schema).parquet(*at) if at else self.spark.createDataFrame([], self.schema)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.rows(self.manifest(version)["runs"])
 
     # operations
 
-    def append(self, arrivals: DataFrame, split: str | None = None) -> dict:
-        """Adds an arrival, or one for each value of ``split``, as small runs."""
+    def append(self, arrival: DataFrame) -> dict:
+        """Adds an arrival as a run of small shards."""
+        return self.add(self.write(arrival))
+
+    def add(self, runs: list[dict]) -> dict:
         held = self.manifest()
-        return self.commit(held["version"], held["runs"] + self.write(arrivals, split))
+        return self.commit(held["version"], held["runs"] + runs) if runs else held
 
     def due(self, runs: list[dict]) -> list[dict]:
         """The runs of the lowest tier that has ``fan`` of them or more."""
@@ -135,31 +146,40 @@ class Store:
         """Merges until no tier has ``fan`` runs, committing after each merge."""
         held = self.manifest()
         while due := self.due(held["runs"]):
-            n_bytes = sum(r["bytes"] for r in due)
+            n_bytes, n_rows = sum(r["bytes"] for r in due), sum(r["rows"] for r in due)
             files = max(1, round(n_bytes / self.target))
-            merged = self.write(self.rows(due).coalesce(files))
+            merged = self.write(self.rows(due).coalesce(files), rows_a_file=-(-n_rows * 5 // (files * 4)))
             merged = [r | {"tier": max(r["tier"], due[0]["tier"] + 1)} for r in merged]
             held = self.commit(held["version"], [r for r in held["runs"] if r not in due] + merged)
-            self.vacuum()
+            self._delete([r["run"] for r in due])
         return held
 
-    def vacuum(self) -> None:
-        """Deletes runs that an earlier manifest lists and the last does not."""
+    def _delete(self, runs: list[str]) -> None:
         fs, path = self._fs()
-        versions = self.versions()
-        live = {r["run"] for r in self.manifest()["runs"]}
-        for run in {r["run"] for v in versions[-2:-1] for r in self.manifest(v)["runs"]} - live:
+        for run in runs:
             fs.delete(path(f"{self.root}/{run}"), True)
 
-
-def arrivals_of(docs: DataFrame, arrivals: int) -> DataFrame:
-    """``docs`` with the arrival each row belongs to: a hash of its doc_id and the length of its text."""
-    return docs.withColumn(ARRIVAL, F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(arrivals)).cast("int"))
+    def vacuum(self) -> None:
+        """Deletes folders that the last manifest does not list and that are older than the lease: replaced runs and what lost
+        writers left."""
+        fs, path = self._fs()
+        live = {r["run"] for r in self.manifest()["runs"]}
+        found = []
+        for top in fs.listStatus(path(self.root)):
+            name = top.getPath().getName()
+            if name.startswith("run-") and name not in live and self._stale(top.getPath()):
+                below = [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(top.getPath()) if s.isDirectory() and "=" in s.getPath().getName()]
+                found += [b for b in below if b not in live] if any(b in live for b in below) else [name]
+        self._delete(found)
 
 
-def shard(docs: DataFrame, root: str, arrivals: int = 8, **options) -> Store:
-    """A store of ``docs`` that came in ``arrivals`` parts and was compacted."""
+def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, **options) -> Store:
+    """A store of ``docs`` that came in arrivals of about ``arrival`` bytes of text, each committed and compacted in turn. All are
+    written at once, each task's rows to one of them, so an arrival has a scan partition at least."""
     store = Store(docs.sparkSession, root, docs.schema, **options)
-    store.append(arrivals_of(docs, arrivals), ARRIVAL)
-    store.compact()
+    n = max(1, -(-(docs.agg(F.sum(store._bytes())).first()[0] or 0) // arrival))
+    name = fresh("arrival", docs)
+    for run in store.write(docs.withColumn(name, F.pmod(F.spark_partition_id(), F.lit(n))), name):
+        store.add([run])
+        store.compact()
     return store

@@ -5,12 +5,56 @@ from tests.llm.helpers import documents, empty, odd
 
 
 def test_round_trip_and_tiers(spark, tmp_path):
-    docs = odd(spark, wild=True).union(documents(spark, [f"text number {i} " * (1 + i % 9) for i in range(300)], wild=True))
-    store = sharding.shard(docs, str(tmp_path / "s"), arrivals=8, base=512, target=4096, fan=4)
+    docs = odd(spark, wild=True).union(documents(spark, [f"text number {i} " * (1 + i % 9) for i in range(300)], wild=True)).repartition(20)
+    docs = docs.withColumnsRenamed({"bucket": "arrival", "score": "__arrival"})
+    total = sum(len((r.text or "").encode()) for r in docs.collect())
+    store = sharding.shard(docs, str(tmp_path / "s"), arrival=total // 18, base=total // 40, target=4096, fan=3)
     assert sorted(map(tuple, store.read().collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
-    tiers = [r["tier"] for r in store.manifest()["runs"]]
-    assert all(tiers.count(t) < 4 for t in tiers) and store.versions() == list(range(1, max(store.versions()) + 1))
-    assert sum(r["rows"] for r in store.manifest()["runs"]) == docs.count()
+    runs = store.manifest()["runs"]
+    tiers = [r["tier"] for r in runs]
+    assert all(tiers.count(t) < 3 for t in tiers) and store.versions() == list(range(1, max(store.versions()) + 1))
+    assert sum(r["rows"] for r in runs) == docs.count() and sum(r["bytes"] for r in runs) == total
+    # arrivals came one by one, and merges of merges were made
+    assert max(store.versions()) > 18 and max(tiers) >= 2 and len(runs) < 18
+    # what was replaced is gone, and merged files are about as large as asked for
+    on_disk = {f"{p.parent.name}/{p.name}" if "=" in p.name else p.name for p in (tmp_path / "s").glob("**/*") if p.is_dir() and any(p.glob("*.parquet"))}
+    assert on_disk == {r["run"] for r in runs}
+    for r in runs:
+        if r["tier"] >= 2:
+            files = [spark.read.schema(store.schema).parquet(str(f)) for f in (tmp_path / "s" / r["run"]).glob("*.parquet")]
+            assert len(files) >= r["bytes"] // 4096 // 2
+
+
+def test_large_scan_partitions_are_cut_to_the_target(spark, tmp_path):
+    docs = documents(spark, ["x" * 100] * 400).coalesce(1)
+    store = sharding.Store(spark, str(tmp_path / "s"), docs.schema, target=4000, base=1 << 20, fan=2)
+    for _ in range(2):
+        store.append(docs)
+    store.compact()
+    sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "s").glob("run-*/*.parquet")]
+    assert sum(sizes) == 800 and max(sizes) <= 50
+
+
+def test_locks_of_lost_writers_and_their_files(spark, tmp_path):
+    import os
+
+    docs = documents(spark, ["a", "b"])
+    store = sharding.Store(spark, str(tmp_path / "s"), docs.schema, lease=100)
+    runs, lost = store.write(docs), store.write(docs)
+    (tmp_path / "s" / "manifests").mkdir()
+    lock = tmp_path / "s" / "manifests" / ".lock000000001"
+    lock.write_text("")
+    with pytest.raises(sharding.Conflict):
+        store.commit(0, runs)  # its writer may still be there
+    os.utime(lock, (1, 1))
+    store.commit(0, runs)
+    assert store.versions() == [1] and store.read().count() == 2
+    store.vacuum()
+    assert (tmp_path / "s" / lost[0]["run"]).exists()  # may be a writer's that is about to commit
+    os.utime(tmp_path / "s" / lost[0]["run"], (1, 1))
+    os.utime(tmp_path / "s" / runs[0]["run"], (1, 1))
+    store.vacuum()
+    assert not (tmp_path / "s" / lost[0]["run"]).exists() and store.read().count() == 2
 
 
 def test_arrivals_one_by_one(spark, tmp_path):
