@@ -2,13 +2,14 @@
 
 ``parts`` splits a URL into host and path. ``base_rule`` gives the longest base rule that fits. Every URL that a base rule
 fits is a labelled transaction: its tokens (labels of its host, segments of its path) and the verdict as one more item.
-Spark's FP-growth mines token combinations; those that imply a verdict with enough confidence and support become rules, and
-a rule that drops one token of another without losing confidence replaces it. Rules are matched through an inverted index:
-each is filed under its rarest token, a URL looks its tokens up, and the rules found are checked token by token. The most
-confident rule wins (then the one with more support, then the shorter, then the lower by its tokens); without any, the
-default verdict stands.
-
-The support threshold bounds frequent tokens and so the rules, whatever the size of the input. Only distinct host and path
+Tokens that occur in just the same labelled URLs are one item, any of which stands for it, so a template of many constant
+segments makes one rule, not one for each of their combinations. Spark's FP-growth mines combinations of items; those that
+imply a verdict with enough confidence and support become rules, and a rule that drops one item of another without losing
+confidence replaces it. Rules are matched through an inverted index: each is filed under its rarest item, a URL looks its
+items up, and the rules found are checked item by item. The most confident rule wins (then the one with more support, then
+the shorter, then the lower by the URL's tokens for its items); without any, the default verdict stands.
+
+The support threshold bounds frequent tokens (a URL's tokens / support of them) and so the items, whatever the size of the input. Only distinct host and path
 pairs that no base rule fits are looked up. Null URLs and those without ``://`` have an empty host and path, so no tokens,
 and get the default verdict. Repeated rows keep their count; an empty table gives no rows; other columns are ignored.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidara.llm.words import ascii_lower
 from evidara.llm.workspace import Workspace
@@ -56,9 +58,30 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(labels, segments)))
 
 
+def items_of(labelled: DataFrame, support: float) -> DataFrame:
+    """token, item and n of the tokens of ``labelled`` (host, path, tokens) that may be frequent enough for a rule. The item is the
+    smallest token that occurs in the same URLs, told by their number and two sums of their hashes."""
+    least = F.lit(support) * labelled.count()
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "host", "path").cast("decimal(20,0)"))
+    each = labelled.select("host", "path", F.explode("tokens").alias("token"))
+    found = each.groupBy("token").agg(F.count("*").alias("n"), hashed(1).alias("one"), hashed(2).alias("two")).filter(F.col("n") >= F.ceil(least))
+    return found.withColumn("item", F.min("token").over(Window.partitionBy("n", "one", "two"))).select("token", "item", "n")
+
+
+def with_items(urls: DataFrame, items: DataFrame) -> DataFrame:
+    """``urls`` (tokens and others) with items: (item, the smallest of its tokens that the URL has), sorted."""
+    named = items.agg(F.map_from_entries(F.collect_list(F.struct("token", "item"))).alias("named"))  # one row of a bounded map
+    known = lambda c: F.transform(F.filter("tokens", lambda t: F.map_contains_key("named", t)), c)
+    pairs = known(lambda t: F.struct(F.element_at("named", t).alias("item"), t.alias("token")))
+    held = urls.crossJoin(F.broadcast(named)).withColumn("pairs", F.array_sort(pairs))
+    first = F.filter("pairs", lambda p, i: (i == 0) | (F.get("pairs", i - 1)["item"] != p["item"]))
+    return held.withColumn("items", first).drop("named", "pairs")
+
+
 def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support) from ``labelled`` (tokens, verdict)."""
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("v:"), F.col("verdict"))).alias("items"))
+    """Rules (tokens: items, verdict, confidence, support) from ``labelled`` (items, verdict)."""
+    names = F.transform("items", lambda p: p["item"])
+    baskets = labelled.select(F.array_append(names, F.concat(F.lit("v:"), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     said = F.element_at("consequent", 1)
     return model.associationRules.filter(F.startswith(said, F.lit("v:")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("v:")))).select(
@@ -74,11 +97,11 @@ def prune(rules: DataFrame) -> DataFrame:
     return rules.join(idle, ["tokens", "verdict"], "left_anti")
 
 
-def indexed(rules: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Files each rule under its rarest token among the labelled URLs (ties: the lower token)."""
-    count = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rarest = rules.select("*", F.explode("tokens").alias("token")).join(count, "token")
-    return rarest.groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("n", "token"))["token"].alias("token")).withColumnRenamed("tokens", "rule_tokens")
+def indexed(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """Files each rule under its rarest item among the labelled URLs (ties: the lower item)."""
+    count = items.filter("token = item").select("item", "n")
+    rarest = rules.select("*", F.explode("tokens").alias("item")).join(count, "item")
+    return rarest.groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("n", "item"))["item"].alias("item")).withColumnRenamed("tokens", "rule_items")
 
 
 def judge(pages: DataFrame, rules=BASE_RULES, support: float = 0.02, confidence: float = 0.7, default: str = "allow") -> DataFrame:
@@ -92,12 +115,15 @@ def judge(pages: DataFrame, rules=BASE_RULES, support: float = 0.02, confidence:
     open_ = split.filter("verdict is null")
     if known.isEmpty():
         return split.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    labelled = known.select(tokens(F.col("host"), F.col("path")).alias("tokens"), "verdict")
-    mined = space.save(mine(labelled, support, confidence), "mined")
-    index = space.save(indexed(prune(mined), labelled), "index")
+    labelled = space.save(known.select("host", "path", tokens(F.col("host"), F.col("path")).alias("tokens"), "verdict"), "labelled")
+    items = space.save(items_of(labelled, support), "items")
+    mined = space.save(mine(with_items(labelled, items), support, confidence), "mined")
+    index = space.save(indexed(prune(mined), items), "index")
     urls = open_.select("host", "path").distinct().withColumn("tokens", tokens(F.col("host"), F.col("path")))
-    hits = urls.select("*", F.explode("tokens").alias("token")).join(index, "token").filter(F.expr("forall(rule_tokens, x -> array_contains(tokens, x))"))
-    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("rule_tokens").alias("n"), "rule_tokens", F.col("verdict").alias("v"))
+    urls = with_items(urls, items).drop("tokens").withColumn("own", F.map_from_entries("items"))
+    hits = urls.select("host", "path", "own", F.explode(F.map_keys("own")).alias("item")).join(index, "item").filter(F.expr("forall(rule_items, x -> map_contains_key(own, x))"))
+    by = F.array_sort(F.transform("rule_items", lambda x: F.element_at("own", x)))
+    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("rule_items").alias("n"), by.alias("by"), F.col("verdict").alias("v"))
     best = hits.groupBy("host", "path").agg(F.min(order)["v"].alias("found"))
     told = open_.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
     return known.unionByName(told)

@@ -59,3 +59,11 @@ def test_no_labelled_urls_and_empty_tables(spark):
     got = urls.judge(spark.createDataFrame([(1, "http://x.net/a", "h", "t"), (None, None, None, None)], PAGES)).collect()
     assert sorted(((r.page_id, r.verdict) for r in got), key=repr) == [(1, "allow"), (None, "allow")]
     assert urls.judge(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_templates_of_many_constant_segments(spark):
+    long = "/".join(f"part{i}" for i in range(40))
+    pages = [(i, f"http://a.example.org/es/{long}/{i}") for i in range(30)] + [(100 + i, f"http://b.org/{i}") for i in range(30)]
+    pages += [(200, "http://x.net/part7/z"), (201, f"http://x.net/{long}/q"), (202, "http://x.net/none")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame([(i, u, "h", "t") for i, u in pages], PAGES), support=0.1).collect()}
+    assert (got[0], got[100], got[200], got[201], got[202]) == ("block", "allow", "block", "block", "allow")
