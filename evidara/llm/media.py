@@ -9,7 +9,8 @@ starts in, as arrays ``times`` and ``codes``. The WAV itself is the column ``med
 
 Null counts as empty text (one block of bytes 255). Equal texts give equal values; different texts may share a fingerprint where
 they differ in so few bytes that every peak stays in its bin. A frame's strongest bin is the lower one
-of equals. An empty table gives no rows; further columns are ignored. Texts are read whole, in strips of ``STRIP`` frames.
+of equals. An empty table gives no rows; further columns are ignored. Texts are read whole, in
+strips of ``STRIP`` frames, and rows are returned in batches of about ``OUTPUT`` bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, HOP, RATE, STRIP, AHEAD = 576, 288, 8000, 2048, 3
+BLOCK, HOP, RATE, STRIP, AHEAD, OUTPUT = 576, 288, 8000, 2048, 3, 8 << 20
 #: Bytes of a WAV before its samples.
 HEADER = 44
 #: First bins of the bands, and the end of the last.
@@ -86,10 +87,19 @@ def media_columns(docs: DataFrame) -> DataFrame:
     types = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("times", ints), ("codes", ints)]
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(ids: list, rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(r, t) for r, (_, t) in zip(rows, types, strict=True)]], ["doc_id", *[n for n, _ in types]])
+
         for batch in batches:
+            ids: list = []
             rows: list[list] = [[] for _ in types]
-            for item in batch.column("data"):
+            size = 0
+            for doc_id, item in zip(batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
+                if size >= OUTPUT:  # media and arrays are many times the text
+                    yield made(ids, rows)
+                    ids, rows, size = [], [[] for _ in types], 0
                 data = item.as_py()
+                ids.append(doc_id)
                 media = store(padded(data))
                 payload = read(media)
                 times, codes = pairs(peaks(np.frombuffer(payload, np.uint8)))
@@ -99,7 +109,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 )
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(r, t) for r, (_, t) in zip(rows, types, strict=True)]], ["doc_id", *[n for n, _ in types]])
+                size += len(media) + 8 * len(codes)
+            yield made(ids, rows)
 
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data")).mapInArrow(fingerprint, OUT)

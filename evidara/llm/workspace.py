@@ -15,9 +15,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset and all runs in one process, as in tests, a temporary
+    folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not found:
             found = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="evidara-")

@@ -170,6 +170,34 @@ def test_every_sample_stands_in_two_frames():
         assert len(media.peaks(media.np.zeros(blocks * media.BLOCK, "u1"))) == blocks * media.BLOCK // media.HOP + 1
 
 
+def test_feature_against_a_plain_transform(spark):
+    np = media.np
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abc defghij.,\n") for _ in range(rng.randint(1, 3000))) for _ in range(12)]
+    rows = {r.doc_id: r for r in media.media_columns(documents(spark, texts)).collect()}
+    angle = np.exp(-2j * np.pi * np.outer(np.arange(576), np.arange(289)) / 576)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(576) / 576)
+    for i, text in enumerate(texts):
+        samples = np.frombuffer(media.padded(text.encode()), "u1").astype(float) / 128 - 1
+        samples = np.concatenate([np.zeros(288), samples, np.zeros(288)])
+        found = []
+        for at in range(0, len(samples) - 575, 288):
+            power = np.abs((samples[at : at + 576] * window) @ angle) ** 2
+            found.append([low + int(power[low:high].argmax()) for low, high in ((1, 12), (12, 36), (36, 100), (100, 289))])
+        want = [(t, found[t][b] << 12 | found[t + ahead][o] << 2 | ahead) for ahead in (1, 2, 3) if ahead < len(found) for b in range(4) for o in (b, (b + 1) % 4) for t in range(len(found) - ahead)]
+        r = rows[i]
+        assert list(zip(r.times, r.codes)) == want
+        arrays = np.array([t for t, _ in want], "<i4").tobytes() + np.array([c for _, c in want], "<i4").tobytes()
+        assert r.feature == f"{len(want)}:{hashlib.sha256(arrays).hexdigest()[:32]}"
+
+
+def test_rows_of_many_bytes_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(media, "OUTPUT", 2000)
+    docs = documents(spark, ["x" * (i * 700) for i in range(20)]).coalesce(1)
+    rows = media.media_columns(docs).collect()
+    assert [(r.doc_id, r.n_bytes) for r in rows] == [(i, i * 700) for i in range(20)]
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     tokenizers = pytest.importorskip("public_tokenizers")
     docs = odd(spark, wild=True)
