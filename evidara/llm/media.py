@@ -9,7 +9,7 @@ starts in, as arrays ``times`` and ``codes``. The WAV itself is the column ``med
 
 Null counts as empty text (one block of bytes 255). Equal texts give equal values; different texts may share a fingerprint where
 they differ in so few bytes that every peak stays in its bin. A frame's strongest bin is the lower one
-of equals. An empty table gives no rows; further columns are ignored. Texts are read whole, in
+of equals, and a bin of less than a millionth of the frame's power counts as silent. An empty table gives no rows; further columns are ignored. Texts are read whole, in
 strips of ``STRIP`` frames, and rows are returned in batches of about ``OUTPUT`` bytes.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, HOP, RATE, STRIP, AHEAD, OUTPUT = 576, 288, 8000, 2048, 3, 8 << 20
+BLOCK, HOP, RATE, STRIP, AHEAD, OUTPUT, FLOOR = 576, 288, 8000, 2048, 3, 8 << 20, 1e-6
 #: Bytes of a WAV before its samples.
 HEADER = 44
 #: First bins of the bands, and the end of the last.
@@ -64,6 +64,7 @@ def peaks(samples: np.ndarray) -> np.ndarray:
         part = halves[i : i + STRIP + 1]
         spectrum = np.fft.rfft(np.concatenate([part[:-1], part[1:]], axis=1) * WINDOW, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
+        power[power < FLOOR * power.sum(axis=1, keepdims=True)] = 0
         for b, (low, high) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
             out[i : i + STRIP, b] = low + power[:, low:high].argmax(axis=1)
     return out
