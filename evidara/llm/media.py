@@ -9,7 +9,7 @@ starts in, as arrays ``times`` and ``codes``. The WAV itself is the column ``med
 
 Null counts as empty text (one block of bytes 255). Equal texts give equal values; different texts may share a fingerprint where
 they differ in so few bytes that every peak stays in its bin. A frame's strongest bin is the lower one
-of equals, and a bin of less than a millionth of the frame's power counts as silent. An empty table gives no rows; further columns are ignored. Texts are read whole, in
+of equals, and a bin that holds no more than rounding errors of the frame (1e-22 of its power) is silent. An empty table gives no rows; further columns are ignored. Texts are read whole, in
 strips of ``STRIP`` frames, and rows are returned in batches of about ``OUTPUT`` bytes.
 """
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, HOP, RATE, STRIP, AHEAD, OUTPUT, FLOOR = 576, 288, 8000, 2048, 3, 8 << 20, 1e-6
+BLOCK, HOP, RATE, STRIP, AHEAD, OUTPUT, FLOOR = 576, 288, 8000, 1024, 3, 8 << 20, 1e-22
 #: Bytes of a WAV before its samples.
 HEADER = 44
 #: First bins of the bands, and the end of the last.
 BANDS = (1, 12, 36, 100, 289)
-WINDOW = np.hanning(BLOCK + 1)[:-1].astype(np.float32)
+WINDOW = np.hanning(BLOCK + 1)[:-1]
 
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
 
@@ -58,7 +58,7 @@ def padded(data: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> np.ndarray:
     """The strongest bin of each band in each frame, the first and the last half of silence: frames x bands."""
-    halves = np.pad(((samples.astype(np.float32) - 128.0) / 128.0).reshape(-1, HOP), ((1, 1), (0, 0)))
+    halves = np.pad(((samples.astype(np.float64) - 128.0) / 128.0).reshape(-1, HOP), ((1, 1), (0, 0)))
     out = np.empty((len(halves) - 1, len(BANDS) - 1), np.int32)
     for i in range(0, len(out), STRIP):
         part = halves[i : i + STRIP + 1]

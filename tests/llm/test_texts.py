@@ -183,7 +183,7 @@ def test_feature_against_a_plain_transform(spark):
         found = []
         for at in range(0, len(samples) - 575, 288):
             power = np.abs((samples[at : at + 576] * window) @ angle) ** 2
-            power[power < 1e-6 * power.sum()] = 0
+            power[power < 1e-22 * power.sum()] = 0
             found.append([low + int(power[low:high].argmax()) for low, high in ((1, 12), (12, 36), (36, 100), (100, 289))])
         want = [(t, found[t][b] << 12 | found[t + ahead][o] << 2 | ahead) for ahead in (1, 2, 3) if ahead < len(found) for b in range(4) for o in (b, (b + 1) % 4) for t in range(len(found) - ahead)]
         r = rows[i]
