@@ -5,7 +5,8 @@ read by the wave module. Half a frame of silence is set before and after the sam
 stands in two frames and the shortest text has three. Frames of 576 samples, 288 apart, are windowed (Hann) and transformed; in
 each frame the strongest bin of each of four bands is a peak. Every peak is paired with the peaks of the same and the next higher band (the fourth
 with the first) in the three frames that follow; a pair is a code of its two bins and its distance, stored with the frame it
-starts in, as arrays ``times`` and ``codes``. The WAV itself is the column ``media``. The feature string counts the pairs and digests both arrays.
+starts in, as arrays ``times`` and ``codes``. The WAV itself is the column ``media``. The feature string
+counts the pairs, sums the samples (two even tones have the same peaks) and digests both arrays.
 
 Null counts as empty text (one block of bytes 255). Equal texts give equal values; different texts may share a fingerprint where
 they differ in so few bytes that every peak stays in its bin. A frame's strongest bin is the lower one
@@ -103,10 +104,12 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 ids.append(doc_id)
                 media = store(padded(data))
                 payload = read(media)
-                times, codes = pairs(peaks(np.frombuffer(payload, np.uint8)))
+                samples = np.frombuffer(payload, np.uint8)
+                times, codes = pairs(peaks(samples))
+                level = int(samples.sum(dtype=np.int64))
                 values = (
                     len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), media, len(media), hashlib.sha256(media).hexdigest(),
-                    f"{len(codes)}:{hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()[:32]}", times, codes,
+                    f"{len(codes)}:{level}:{hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()[:32]}", times, codes,
                 )
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)

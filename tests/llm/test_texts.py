@@ -189,7 +189,7 @@ def test_feature_against_a_plain_transform(spark):
         r = rows[i]
         assert list(zip(r.times, r.codes)) == want
         arrays = np.array([t for t, _ in want], "<i4").tobytes() + np.array([c for _, c in want], "<i4").tobytes()
-        assert r.feature == f"{len(want)}:{hashlib.sha256(arrays).hexdigest()[:32]}"
+        assert r.feature == f"{len(want)}:{sum(media.padded(text.encode()))}:{hashlib.sha256(arrays).hexdigest()[:32]}"
 
 
 def test_rows_of_many_bytes_come_in_small_batches(spark, monkeypatch):
