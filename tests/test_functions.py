@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.functions import arrays, clinical, passages, residues
+from evidara.functions import arrays, clinical, passages, residues, verdicts
 from evidara.functions import text as T
 
 
@@ -105,11 +105,25 @@ def test_sentences_and_masking():
     assert all(text[a:b] == s for a, b, s in parts) and len(parts) == 4
     left, n, gone = passages.mask_conclusions(text)
     assert n == 4 and gone == ["classification_statement"] and "likely pathogenic" not in left and "Other variants" in left
-    assert passages.conclusion_category("Classified as pathogenic by other laboratories.") == "external_classification"
-    assert passages.conclusion_category("REVEL score: benign") is None and passages.conclusion_category("Classification: Pathogenic") == "heading"
+    assert verdicts.category("Classified as pathogenic by other laboratories.") == "external_classification"
+    assert verdicts.category("REVEL score: benign") is None and verdicts.category("Classification: Pathogenic") == "heading"
     codes = passages.find_codes("Criteria: PM2_Supporting met; PS3 not met.")
     assert [(c, s, m) for c, s, *_, m in codes] == [("PM2", "supporting", True), ("PS3", None, False)]
     assert passages.mask_codes("Applied (PM2, PP3) here.") == ("Applied here.", 2)
     assert passages.check_citations("The gene repairs DNA errors. [1] It also binds other proteins [9].", 3) == (2, 1, [9])
     assert passages.polarity("damaging and rare") == "pathogenic" and passages.polarity("tolerated, benign") == "benign"
+    verdict = [
+        "Therefore, this variant is classified as pathogenic.", "Based on the evidence above, the variant was classified as likely pathogenic.",
+        "We classify this variant as a variant of uncertain significance.", "This variant is likely benign.", "It was reclassified from VUS to likely benign.",
+        "In summary, the available evidence is currently insufficient to determine the role of this variant in disease.",
+        "This variant meets ACMG criteria to be classified as likely pathogenic.", "Final interpretation - Benign", "Likely benign", "Result > pathogenic",
+        "The clinical significance of this variant is currently unknown.", "Taken together, the data support a benign role.",
+    ]
+    assert all(verdicts.category(v) for v in verdict)
+    evidence = [
+        "The variant was absent from population databases.", "It was observed in trans with a pathogenic variant in a patient.", "Pathogenic variants in MLH1 cause Lynch syndrome.",
+        "In silico tools predict a benign effect on protein function.", "Other missense changes at this residue have been reported as pathogenic.",
+        "The evidence was reviewed.", "CADD score: benign", "",
+    ]
+    assert not any(verdicts.category(e) for e in evidence)
     assert passages.split_sentences(None) == [] and passages.mask_conclusions(None) == ("", 0, [])
