@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidara.functions import text as T
 from evidara.operators.graph import _shared, connected
@@ -26,11 +29,25 @@ def permutations(n: int, seed: int) -> list[tuple[int, int]]:
     return [(draw.randrange(1, PRIME), draw.randrange(PRIME)) for _ in range(n)]
 
 
+def least_images(shingles: np.ndarray, pairs: np.ndarray, strip: int = 4096) -> np.ndarray:
+    """The smallest image of the shingles (reduced to 31 bits first) under each permutation."""
+    small = np.mod(shingles, PRIME)
+    best = np.full(len(pairs), PRIME, np.int64)
+    for i in range(0, len(small), strip):
+        best = np.minimum(best, ((small[i : i + strip, None] * pairs[:, 0] + pairs[:, 1]) % PRIME).min(axis=0))
+    return best
+
+
 def signature(shingles: Column, n: int = 128, seed: int = 1) -> Column:
-    """For each permutation the smallest image of the shingles (reduced to 31 bits first); null without shingles."""
-    small = F.transform(shingles, lambda x: F.pmod(x, F.lit(PRIME)))
-    pairs = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in permutations(n, seed)])
-    return F.when(F.size(shingles) > 0, F.transform(pairs, lambda p: F.array_min(F.transform(small, lambda x: F.pmod(x * p["a"] + p["b"], F.lit(PRIME))))))
+    """For each permutation the smallest image of the shingles; null without shingles. An Arrow function: numpy takes a product
+    of shingles and permutations at once."""
+    pairs = np.array(permutations(n, seed), np.int64)
+
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda s: None if s is None or not len(s) else least_images(np.asarray(s, np.int64), pairs))
+
+    return F.pandas_udf(sign, "array<bigint>")(shingles)
 
 
 def choose_bands(n: int, threshold: float, slack: float = 0.1) -> int:
@@ -46,15 +63,18 @@ def band_keys(sig: Column, n: int, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(sig, b * rows + 1, rows)).alias("value")))
 
 
-def near_clusters(documents: DataFrame, threshold: float, key: str = "document_id", text: str = "text", k: int = 5, n: int = 128, seed: int = 1, within: Sequence[str] = ()) -> DataFrame:
+def near_clusters(documents: DataFrame, threshold: float, key: str = "document_id", text: str = "text", k: int = 5, n: int = 128, seed: int = 1, within: Sequence[str] = (), slack: float = 0.35) -> DataFrame:
     """key and cluster (its smallest key) of documents in clusters of two or more. Equal shingle sets are one member. Candidates
-    share a band. Each is compared, by exact Jaccard, with the smallest member of its bucket; then every member that these links
+    share a band; ``slack`` says how far below the threshold pairs become candidates half the time, so that hardly any at the
+    threshold is missed (fewer than one in a million at 0.8). Each is compared, by exact Jaccard, with the smallest member of its bucket; then every member that these links
     leave apart from the smallest one is compared with all members of its bucket it is not yet connected with. So a bucket of
     near copies takes as many comparisons as it has members, and the clusters are those of all pairs that share a band."""
     made = documents.select(key, *within, T.shingles(F.col(text), k).alias("sh")).filter(F.size("sh") > 0).withColumn("sh", F.array_sort("sh"))
     members = _shared(made.withColumn("set", F.xxhash64("sh", *within)))
     sets = _shared(members.groupBy("set").agg(F.any_value("sh").alias("sh"), *[F.any_value(c).alias(c) for c in within]))
-    banded = sets.select("set", *within, F.explode(band_keys(signature(F.col("sh"), n, seed), n, choose_bands(n, threshold))).alias("b")).select("set", *within, "b.band", "b.value")
+    # written first: an expression that reads the signature in a lambda would compute it for every band
+    signed = _shared(sets.select("set", *within, signature(F.col("sh"), n, seed).alias("sig")))
+    banded = signed.select("set", *within, F.explode(band_keys(F.col("sig"), n, choose_bands(n, threshold, slack))).alias("b")).select("set", *within, "b.band", "b.value")
     bucket = ["band", "value", *within]
     held = _shared(banded.join(banded.groupBy(*bucket).agg(F.min("set").alias("center"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"), bucket))
 
@@ -79,13 +99,33 @@ def near_clusters(documents: DataFrame, threshold: float, key: str = "document_i
     return found.join(sizes, "set").select(key, "cluster")
 
 
+def similar_pairs(documents: DataFrame, threshold: float, key: str = "document_id", text: str = "text", k: int = 5) -> DataFrame:
+    """a, b and jaccard of all pairs of different shingle sets with at least that similarity, each named by its smallest key. Only
+    the pairs that share one of the rarest shingles of both are compared: a set of s shingles may lack floor((1 - t) * s) of
+    another's, so the first that many and one more, in order of how few sets hold them, meet one of the partner's. Pairs of
+    very unlike sizes never meet. The result, all such pairs, is as large as it is; clusters of many near copies are cheaper by
+    ``near_clusters``."""
+    made = documents.select(key, T.shingles(F.col(text), k).alias("sh")).filter(F.size("sh") > 0).withColumn("sh", F.array_sort("sh"))
+    sets = _shared(made.groupBy("sh").agg(F.min(key).alias("name")).select("name", "sh", F.size("sh").alias("n")))
+    each = sets.select("name", "n", F.explode("sh").alias("g"))
+    rare = each.join(each.groupBy("g").agg(F.count("*").alias("held")), "g")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("held", "g"))
+    head = _shared(rare.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).filter("held > 1").select("g", "name", "n"))
+    x, y = head.select("g", F.col("name").alias("a"), F.col("n").alias("na")), head.select("g", F.col("name").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
+    pairs = _shared(x.join(y, "g").filter(fits).select("a", "b").distinct())
+    own = lambda c, as_: sets.select(F.col("name").alias(c), F.col("sh").alias(as_))
+    told = pairs.join(own("a", "sa"), "a").join(own("b", "sb"), "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
+    return told.filter(F.col("jaccard") >= threshold)
+
+
 def document_clusters(documents: DataFrame, near: float = 0.8, template: float = 0.6, genes: list[str] = ()) -> DataFrame:
     """document_id, exact_group, near_dup_cluster and, among the texts of one submitter, template_cluster; null where alone."""
     exact = documents.select("document_id", T.exact_group(F.col("text")).alias("exact_group"))
     alone = exact.groupBy("exact_group").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     exact = exact.join(alone, "exact_group")
     close = near_clusters(documents, near).withColumnRenamed("cluster", "near_dup_cluster")
-    templates = near_clusters(documents.withColumn("text", T.template(F.col("text"), genes)), template, within=["submitter"]).withColumnRenamed("cluster", "template_cluster")
+    templates = near_clusters(documents.withColumn("text", T.template(F.col("text"), genes)), template, within=["submitter"], slack=0.15).withColumnRenamed("cluster", "template_cluster")
     out = documents.select("document_id")
     for part in (exact, close, templates):
         out = out.join(part, "document_id", "left")

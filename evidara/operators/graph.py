@@ -6,37 +6,67 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidara.operators.skew import attach
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs in one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not found:
+            found = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="evidara-")
+    return found.rstrip("/")
+
 
 def _shared(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that executors share (``spark.checkpoint.dir``): cuts the plan and outlives executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidara-")
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """The rows, written to the folder that executors share: cuts the plan and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop(df: DataFrame) -> None:
+    """Deletes the files of a ``_shared`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether each node hangs on one other, which hangs on none."""
+    more = links.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    chained = links.select(F.col("v").alias("u")).distinct().join(links.select("u"), "u", "left_semi")
+    return more.union(chained).isEmpty()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and component (its smallest node) of all nodes of ``edges``: minima spread over neighbours and then along the links
-    they make, so that paths are halved in each round."""
+    """node and component (its smallest node) of all nodes of ``edges``. Two steps alternate: every larger neighbour of a node is
+    hung on the smallest node around it, then every smaller one; paths about halve in each round. Hubs are dealt over tasks."""
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).filter("node is not null").distinct()
-    both = _shared(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).filter("x is not null and y is not null and x != y").distinct())
-    label = _shared(nodes.withColumn("component", F.col("node")))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        spread = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("was"))
-        # a node's new component may itself have moved: follow it once; and the old one is told of the new
-        told = spread.groupBy(F.col("was").alias("node")).agg(F.min("to").alias("told"))
-        joined = spread.join(told, "node", "left").select("node", "was", F.least("to", F.coalesce("told", "to")).alias("to"))
-        jump = joined.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        after = _shared(joined.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("component")))
-        moved = not after.filter("was != component").isEmpty()
-        label = after.select("node", "component")
-        if not moved:
-            return label
+    links = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    links = _shared(links.distinct())
+    while not _settled(links):
+        both = _shared(links.union(links.select("v", "u")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        up = attach(both, least.drop("n"), "u", least.select("u", "n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = _shared(up.filter("u != v").distinct())
+        _drop(both)
+        least = up.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = attach(up, least.drop("n"), "u", least.select("u", "n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = _shared(down.union(least.select("u", "m")).distinct())
+        _drop(up)
+        _drop(links)
+        links = after
+    return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def sharing(rows: DataFrame, key: str, columns: Sequence[str], ignored: Sequence[str] = ("", "none", "nan")) -> DataFrame:

@@ -84,23 +84,29 @@ def cosine_topk(spark, sf_dir):
     return search.vector_top(vectors, vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5, "vec_id")
 
 
-@query("shingle_jaccard_pairs", """
-with w as (select conv_id, turn, regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[a-z0-9<>_]+') as w from conversations where role = 'user' and turn = 0),
-s as (select conv_id, list_distinct(list_transform(range(1, greatest(2, len(w) - 1)), lambda i: array_to_string(w[i:i + 2], ' '))) as s from w where len(w) > 0),
-x as (select conv_id, len(s) as n, unnest(s) as h from s), p as (select a.conv_id as a, b.conv_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from x a join x b using (h) where a.conv_id < b.conv_id group by all)
-select a, b, shared / (na + nb - shared)::double as jaccard from p where shared / (na + nb - shared)::double >= 0.2""")
-def shingle_jaccard_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user' and turn = 0").select("conv_id", T.shingles(F.col("text"), 3).alias("s")).filter(F.size("s") > 0)
-    each = rows.select("conv_id", "s", F.explode("s").alias("h"))
-    pairs = each.alias("x").join(each.alias("y"), "h").filter("x.conv_id < y.conv_id").groupBy(F.col("x.conv_id").alias("a"), F.col("y.conv_id").alias("b")).agg(F.any_value("x.s").alias("sa"), F.any_value("y.s").alias("sb"))
-    return pairs.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).filter("jaccard >= 0.2")
-
-
-@query("minhash_clusters")
+_SHINGLED = f"""
+w as (select doc_id, regexp_extract_all({_NORMAL}, '[a-z0-9<>_]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from w where len(w) > 0),
+c as (select s, min(doc_id) as k, count(*) as n_copies from s group by s), x as (select k, len(s) as n, unnest(s) as g from c),
+p as (select a.k as a, b.k as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from x a join x b on a.g = b.g and a.k <> b.k group by all),
+l as (select a, b, shared / (na + nb - shared)::double as jaccard from p where 100 * shared >= 80 * (na + nb - shared))"""
+
+
+@query("minhash_clusters", f"""
+with recursive {_SHINGLED},
+t(a, b) as (select k, k from c union select t.a, l.b from t join l on l.a = t.b), r as (select a as k, min(b) as root from t group by a),
+d as (select doc_id, root from s join c using (s) join r using (k)), z as (select root, min(doc_id) as cluster from d group by root having count(*) > 1)
+select doc_id, cluster from d join z using (root)""")
 def minhash_clusters(spark, sf_dir):
     return dedup.near_clusters(table(spark, sf_dir, "documents"), 0.8, "doc_id")
 
 
+@query("shingle_jaccard_pairs", f"with {_SHINGLED} select a, b, jaccard from l where a < b")
+def shingle_jaccard_pairs(spark, sf_dir):
+    """Pairs of different shingle sets over all documents, each set named by its smallest doc_id."""
+    return dedup.similar_pairs(table(spark, sf_dir, "documents"), 0.8, "doc_id")
+
+
 @query("document_clusters")
 def document_clusters(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", F.col("source").alias("submitter"))
