@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import passages as P
+from evidara.operators.ranking import exact_quantiles
 
 
 def evidence_units(documents: DataFrame) -> DataFrame:
@@ -57,8 +58,10 @@ def masking_totals(rows: DataFrame) -> DataFrame:
 
 def lengths(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Number, sum, exact quartiles, largest and mean."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*groups).agg(F.count(value).alias("n"), F.sum(value).alias("total"), q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    q = exact_quantiles(rows, groups, value, [0.25, 0.5, 0.75])
+    found = rows.groupBy(*groups).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    both = found.join(q, list(groups), "left") if groups else found.join(F.broadcast(q), how="left")
+    return both.select(*groups, "n", "total", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75"))], "max", "mean")
 
 
 def breakdowns(rows: DataFrame, columns: Sequence[str], size: str, distinct: str) -> DataFrame:

@@ -41,9 +41,10 @@ MATRIX = np.array([[int(x) for x in line.split()] for line in BLOSUM62.strip().s
 def align(a: str, b: str, opening: int = 11, extending: int = 1) -> tuple[float, list[tuple[int, int]]]:
     """Global alignment with affine gaps, free at the ends: its score and the aligned positions from 1. Row by row; the gap along
     a row is a running maximum, so each row is a few vector operations."""
+    a, b = a.upper(), b.upper()
     n, m = len(a), len(b)
     codes = {c: i for i, c in enumerate(ORDER)}
-    scores = np.full((len(ORDER) + 1, len(ORDER) + 1), -4.0)
+    scores = np.full((len(ORDER) + 1, len(ORDER) + 1), -1.0)  # residues beyond the twenty
     scores[:-1, :-1] = MATRIX
     x, y = (np.array([codes.get(c, len(ORDER)) for c in s], int) for s in (a, b))
     best, up = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf)
@@ -82,7 +83,7 @@ def _aligned(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         rows = []
         for a, b in zip(left, right, strict=True):
             score, pairs = align(a, b)
-            same = sum(a[i - 1] == b[j - 1] for i, j in pairs)
+            same = sum(a[i - 1].upper() == b[j - 1].upper() for i, j in pairs)
             rows.append((score, same / max(1, min(len(a), len(b))), same / max(1, len(pairs)), [i for i, _ in pairs], [j for _, j in pairs]))
         yield pd.DataFrame(rows, columns=["score", "identity_shorter", "identity_aligned", "first", "second"])
 

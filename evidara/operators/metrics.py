@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from evidara.operators.ranking import average_ranks, running, tie_counts
+from evidara.operators.ranking import average_ranks, exact_quantiles, running, tie_counts
 
 
 def _on(groups: Sequence[str]):
@@ -118,8 +119,7 @@ def reliability(rows: DataFrame, groups: Sequence[str], label: str, share: str,
 
 def quantile_reliability(rows: DataFrame, groups: Sequence[str], label: str, share: str, bins: int = 10) -> DataFrame:
     """As ``reliability`` with bins between exact quantiles; equal edges make one bin."""
-    points = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = rows.groupBy(*groups).agg(F.percentile(share, points).alias("__edges"))
+    edges = exact_quantiles(rows, groups, share, [i / bins for i in range(1, bins)]).withColumnRenamed("quantiles", "__edges")
     joined = _on(groups)(rows.filter(F.col(label).isNotNull()), edges)
     cell = F.size(F.filter(F.array_distinct("__edges"), lambda e: e <= F.col(share)))
     return joined.withColumn("bin", cell).groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.avg(share).alias("confidence"), F.avg(F.col(label).cast("double")).alias("accuracy"))
@@ -136,12 +136,14 @@ def brier(rows: DataFrame, groups: Sequence[str], label: str, share: str) -> Dat
 
 
 def spearman(rows: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks, by group, over rows that have both."""
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    rx = average_ranks(both, groups, "__x").select(*groups, "__x", F.col("rank").alias("__rx"))
-    ry = average_ranks(both, groups, "__y").select(*groups, "__y", F.col("rank").alias("__ry"))
-    joined = both.join(rx, [*groups, "__x"]).join(ry, [*groups, "__y"])
-    return joined.groupBy(*groups).agg(F.corr("__rx", "__ry").alias("spearman"), F.count("*").alias("n"))
+    """Correlation of average ranks, by group, over rows that have both. Rows are counted by distinct pair first, and the mean rank
+    is known, so sums over pairs give the result."""
+    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__w"))
+    ranked = lambda c: average_ranks(both, groups, c, "__w").select(*groups, c, (F.col("rank") - (F.col("n") + 1) / 2).alias(f"{c}r"))
+    joined = both.join(ranked("__x"), [*groups, "__x"]).join(ranked("__y"), [*groups, "__y"])
+    moment = lambda a, b: F.sum(F.col("__w") * F.col(a) * F.col(b))
+    xx, yy = moment("__xr", "__xr"), moment("__yr", "__yr")
+    return joined.groupBy(*groups).agg(F.when((xx > 0) & (yy > 0), moment("__xr", "__yr") / F.sqrt(xx * yy)).alias("spearman"), F.sum("__w").alias("n"))
 
 
 def risk_coverage(rows: DataFrame, groups: Sequence[str], confidence: str, correct: str, ordinal: str) -> DataFrame:
@@ -225,13 +227,15 @@ def seed_summary(cells: DataFrame, arm: Sequence[str], unit: str, seed: str, val
 
 
 def benjamini_hochberg(tests: DataFrame, p: str) -> DataFrame:
-    """Adjusted p-values: p * m / rank, made monotone from the largest p. A table of tests, one row each."""
-    from pyspark.sql.window import Window
-
-    m = F.count(p).over(Window.partitionBy(F.lit(0)))
-    ranked = tests.withColumn("__rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(p)))
-    raw = ranked.withColumn("__raw", F.col(p) * m / F.col("__rank"))
-    return raw.withColumn("q", F.least(F.lit(1.0), F.min("__raw").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__rank"))))).drop("__rank", "__raw")
+    """Adjusted p-values: p * m / rank, made monotone from the largest p. Distinct values are ranked in ranges; the smallest ratio of
+    the ranges above, one row each, is carried down. Null p stays null."""
+    upto = tie_counts(tests, [], p, {"rows": F.lit(1)}).select(p, "le_rows").join(F.broadcast(tests.agg(F.count(p).alias("m"))))
+    raw = upto.withColumn("raw", F.col(p) * F.col("m") / F.col("le_rows")).withColumn("cell", F.floor(F.col("le_rows") * 64 / F.col("m")))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = raw.groupBy("cell").agg(F.min("raw").alias("least")).withColumn("carried", F.min("least").over(above)).select("cell", "carried")  # 65 rows
+    inside = Window.partitionBy("cell").orderBy(F.desc("le_rows"))
+    told = raw.withColumn("own", F.min("raw").over(inside)).join(F.broadcast(cells), "cell").select(p, F.least(F.lit(1.0), "own", "carried").alias("q"))
+    return tests.join(told, p, "left")
 
 
 def comparable(runs: DataFrame, by: str, hashes: Sequence[str]) -> DataFrame:

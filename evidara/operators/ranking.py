@@ -1,8 +1,8 @@
 """Ranks and running sums that no single task has to hold.
 
 A running sum over all rows in order of a score is cut into ranges of the score, by approximate percentiles of each group: sums
-run within a range, and the ranges' totals, ``RANGES`` of them for a group, give where each starts. Equal scores always share a
-range, so the edges need not be exact for the result to be.
+run within a range, and the ranges' totals give where each starts. There are as many ranges as leave ``ROWS`` rows to each, so
+tasks stay as they are when tables grow. Equal scores always share a range, so the edges need not be exact for the result to be.
 """
 
 from __future__ import annotations
@@ -13,16 +13,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+#: Rows of a range, about, and the most ranges of a group (their totals are summed in one task).
+ROWS, MOST = 250_000, 10_000
 
 
 def _ranged(rows: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
-    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    edges = rows.groupBy(*groups).agg(F.percentile_approx(score, shares, F.lit(1000)).alias("__edges"))
+    largest = rows.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = max(8, min(MOST, -(-largest // ROWS)))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    edges = rows.groupBy(*groups).agg(F.percentile_approx(score, shares, F.lit(max(1000, 10 * n))).alias("__edges"))
     joined = rows.join(edges, list(groups)) if groups else rows.join(F.broadcast(edges))  # without groups it is one row
     return joined.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(score)))).drop("__edges")
 
 
+def exact_quantiles(rows: DataFrame, groups: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+    """One row for each group with the array quantiles: exact, between two values in proportion. Distinct values are ranked in
+    ranges, so no buffer holds a group."""
+    ties = tie_counts(rows, groups, column, {"rows": F.lit(1)})
+    total = rows.filter(F.col(column).isNotNull()).groupBy(*groups).agg(F.count("*").alias("__n"))
+    joined = ties.join(total, list(groups)) if groups else ties.join(F.broadcast(total))
+    at = lambda q: F.lit(float(q)) * (F.col("__n") - 1)
+    value = lambda place: F.min(F.when(F.col("le_rows") > place, F.col(column).cast("double")))
+    parts = [c for i, q in enumerate(shares) for c in (value(F.floor(at(q))).alias(f"__l{i}"), value(F.ceil(at(q))).alias(f"__h{i}"))]
+    found = joined.groupBy(*groups, "__n").agg(*parts)
+    between = [F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (at(q) - F.floor(at(q))) for i, q in enumerate(shares)]
+    return found.select(*groups, F.array(*between).alias("quantiles"))
+
+
 def running(rows: DataFrame, groups: Sequence[str], score: str, sums: dict[str, str], descending: bool = False, ties: Sequence[Column] = ()) -> DataFrame:
     """Adds, for each of ``sums`` (new column: column), its sum over all rows of the group up to and with this one, in order of
     ``score`` and ``ties``. Rows of a null score are not ranked and are dropped."""
@@ -43,10 +60,11 @@ def tie_counts(rows: DataFrame, groups: Sequence[str], score: str, counts: dict[
     return running(tied, groups, score, {f"le_{n}": f"n_{n}" for n in counts})
 
 
-def average_ranks(rows: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
-    """Average rank, from 1, of each distinct score within its group, and the number of scores there."""
-    ties = tie_counts(rows, groups, score, {"rows": F.lit(1)})
-    total = rows.filter(F.col(score).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"))
+def average_ranks(rows: DataFrame, groups: Sequence[str], score: str, weight: str | None = None) -> DataFrame:
+    """Average rank, from 1, of each distinct score within its group, and the number of scores there; a row counts ``weight`` times."""
+    one = F.col(weight) if weight else F.lit(1)
+    ties = tie_counts(rows, groups, score, {"rows": one})
+    total = rows.filter(F.col(score).isNotNull()).groupBy(*groups).agg(F.sum(one).alias("n"))
     ranked = ties.withColumn("rank", F.col("le_rows") - (F.col("n_rows") - 1) / 2)
     joined = ranked.join(total, list(groups)) if groups else ranked.join(F.broadcast(total))
     return joined.select(*groups, score, "rank", "n")
@@ -98,12 +116,17 @@ def zscore(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], train
     return joined.withColumns(made).drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
 
 
+def _median(rows: DataFrame, groups: Sequence[str], column: str, name: str) -> DataFrame:
+    return exact_quantiles(rows, groups, column, [0.5]).select(*groups, F.get("quantiles", F.lit(0)).alias(name))
+
+
 def impute_medians(rows: DataFrame, columns: Sequence[str], groups: Sequence[str] = (), indicators: bool = True) -> DataFrame:
     """Nulls as the median (of the group where given, then of all, then 0), with a flag for each column that had them."""
-    overall = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__a_{c}") for c in columns])
-    out = rows.join(F.broadcast(overall))  # one row
-    if groups:
-        out = out.join(rows.groupBy(*groups).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__g_{c}") for c in columns]), list(groups), "left")
+    out = rows
+    for c in columns:
+        out = out.join(F.broadcast(_median(rows, [], c, f"__a_{c}")), how="left")  # one row
+        if groups:
+            out = out.join(_median(rows, groups, c, f"__g_{c}"), list(groups), "left")
     flags = {f"is_missing_{c}": F.col(c).isNull().cast("int") for c in columns} if indicators else {}
     filled = {c: F.coalesce(F.col(c), *([F.col(f"__g_{c}")] if groups else []), F.col(f"__a_{c}"), F.lit(0.0)) for c in columns}
     return out.withColumns(flags).withColumns(filled).drop(*[f"__{k}_{c}" for c in columns for k in "ag"])
@@ -111,7 +134,9 @@ def impute_medians(rows: DataFrame, columns: Sequence[str], groups: Sequence[str
 
 def standardise(train: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median-imputed and scaled by the training rows' mean and population deviation; constant columns become 0."""
-    stats = train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__q_{c}") for c in columns])
+    stats = train.sparkSession.range(1).drop("id")
+    for c in columns:
+        stats = stats.join(_median(train, [], c, f"__q_{c}"), how="left")
     filled = lambda t: t.join(F.broadcast(stats)).withColumns({c: F.coalesce(c, f"__q_{c}", F.lit(0.0)) for c in columns}).drop(*[f"__q_{c}" for c in columns])
     moments = filled(train).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     out = filled(rows).join(F.broadcast(moments))  # one row

@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidara.functions.arrays import cosine
-from evidara.functions.text import tokens
+from evidara.functions.text import TOKEN, token_parts, tokens
+from evidara.operators.graph import _shared
 from evidara.operators.ranking import top_k_by_group
 
 K1, B, FUSION = 1.5, 0.75, 60
 
 
-def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length): one row for each term of each document."""
-    each = documents.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    return each.select(key, "length", F.explode("t").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf), written once: tokens are read word by word in plain columns, so texts are gone over a single time."""
+    words = documents.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("word"))
+    counted = words.groupBy(key, F.lower("word").alias("word")).agg(F.count("*").alias("times"))
+    each = counted.select(key, "times", F.explode(token_parts(F.col("word"))).alias("term"))
+    return _shared(each.groupBy(key, "term").agg(F.sum("times").alias("tf")))
 
 
-def corpus_figures(documents: DataFrame, text: str) -> DataFrame:
+def postings(terms: DataFrame, key: str) -> DataFrame:
+    """(term, key, tf, length) from ``tokenised``: one row for each term of each document."""
+    return terms.join(terms.groupBy(key).agg(F.sum("tf").alias("length")), key).select("term", key, "length", "tf")
+
+
+def corpus_figures(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """One row: number of documents and their mean length in tokens."""
-    return documents.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avg_length"))
+    return terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).join(F.broadcast(documents.agg(F.count("*").alias("n_docs")))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avg_length"))
 
 
 def bm25(index: DataFrame, figures: DataFrame, queries: DataFrame, key: str, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -64,7 +72,8 @@ def fuse(rankings: Sequence[DataFrame], key: str, query: str = "query_id", const
 
 def hybrid(documents: DataFrame, queries: DataFrame, key: str, k: int = 6, candidates: int = 40) -> DataFrame:
     """BM25 and vectors, ``candidates`` of each, fused, the best k."""
-    words = top_k_by_group(bm25(postings(documents, key, "text"), corpus_figures(documents, "text"), queries, key), ["query_id"], "score", key, candidates)
+    terms = tokenised(documents, key, "text")
+    words = top_k_by_group(bm25(postings(terms, key), corpus_figures(documents, terms), queries, key), ["query_id"], "score", key, candidates)
     near = vector_top(documents, queries, candidates, key)
     return fuse([words, near], key).filter(F.col("rank") <= k)
 

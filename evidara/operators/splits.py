@@ -37,6 +37,15 @@ def largest_group(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.count("*").alias("n_groups"), (F.max("n") / F.sum("n")).alias("largest_share"))
 
 
+def day_at(rows: DataFrame, day: str, share: float) -> str | None:
+    """The day on which the row at that share of all rows stands, in order of days: rows are counted by day, and one row for each
+    day is summed."""
+    days = rows.groupBy(day).agg(F.count("*").alias("n"))
+    upto = days.withColumn("upto", F.sum("n").over(Window.orderBy(day))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    found = upto.filter(F.col("upto") > F.floor(F.col("total") * share)).agg(F.min(day)).first()
+    return found[0]
+
+
 def by_time(rows: DataFrame, group: str, date: str, cutoff: str, mode: str = "novel", seed: int = 0, validation: float = 0.1) -> DataFrame:
     """Rows before the cutoff train; ``novel``: groups first seen from it on are the test and later rows of older groups are
     left out; ``reinterpretation``: all rows from it on are the test. Undated rows are left out (null)."""

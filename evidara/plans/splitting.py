@@ -52,7 +52,7 @@ select event_id, case when day < cut then case when {_DRAW.format(k='user_id')}
 from e cross join (select (select day from e order by day, event_id limit 1 offset (select count(*) // 4 from e)) as cut)""")
 def temporal_split(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    cutoff = rows.orderBy("day", "event_id").offset(rows.count() // 4).select("day").first()[0]
+    cutoff = splits.day_at(rows, "day", 0.25)
     return splits.by_time(rows, "user_id", "day", cutoff, "novel", 42, 0.1).select("event_id", "split")
 
 
@@ -110,24 +110,33 @@ def split_digest(spark, sf_dir):
     return hashing.split_digest(table(spark, sf_dir, "documents"), "doc_id")
 
 
-_LINKS = "select c_custkey * 2 as a, (c_custkey * 7 % 50) * 2 + 1 as b from customer where c_custkey % 3 > 0"
+@query("held_out_split_hash", f"""
+select substr(sha256(string_agg(k, chr(10) order by k)), 1, 16) as split_hash, count(*) as n_keys from (select doc_id::varchar as k from documents where {_SIDE.format(k='doc_id')} = 'test')""")
+def held_out_split_hash(spark, sf_dir):
+    """The hash of a split's held-out keys."""
+    held = splits.hash_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42).filter("split = 'test'")
+    value, n = hashing.split_hash(held, "doc_id")
+    return spark.createDataFrame([(value, n)], "split_hash string, n_keys long")
+
+
+_LINKS = "select c_custkey * 2 as a, (c_custkey * 7 % 50) * 2 + 1 as b from customer"
 
 
 @query("connected_components", f"""
 with recursive e as (select a, b from ({_LINKS}) union select b, a from ({_LINKS})), c(node, root) as (select a, a from e union select c.node, e.b from c join e on c.root = e.a)
 select node, min(root) as component from c group by node""")
 def connected_components(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0")
+    customers = table(spark, sf_dir, "customer")
     return graph.connected(customers.select((F.col("c_custkey") * 2).alias("a"), (F.col("c_custkey") * 7 % 50 * 2 + 1).alias("b")))
 
 
 @query("rows_sharing_values", """
-with recursive r as (select s_suppkey as k, (s_nationkey % 7)::varchar as x, (s_suppkey % 11)::varchar as y from supplier where s_suppkey % 5 = 0),
+with recursive r as (select s_suppkey as k, (s_nationkey % 7)::varchar as x, (s_suppkey % 11)::varchar as y from supplier),
 v as (select k, 'x' || x as v from r union all select k, 'y' || y from r where y <> '0'), e as (select distinct a.k as a, b.k as b from v a join v b using (v)),
 c(node, root) as (select k, k from r union select c.node, e.b from c join e on c.root = e.a),
 f as (select node, min(root) as component from c group by node) select node as s_suppkey, component, count(*) over (partition by component) as n from f""")
 def rows_sharing_values(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select("s_suppkey", (F.col("s_nationkey") % 7).alias("x"), (F.col("s_suppkey") % 11).alias("y"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 7).alias("x"), (F.col("s_suppkey") % 11).alias("y"))
     found = graph.sharing(rows.withColumn("y", F.when(F.col("y") != 0, F.col("y"))), "s_suppkey", ["x", "y"])
     firsts = found.groupBy("component").agg(F.min("s_suppkey").alias("first"), F.count("*").alias("n"))
     return found.join(firsts, "component").select("s_suppkey", F.col("first").alias("component"), "n")

@@ -61,7 +61,8 @@ s as (select item_id as query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) /
 @query("bm25_search", f"with {_BM25} select query_id, doc_id, score, n_terms, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s qualify rank <= 5")
 def bm25_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = search.bm25(search.postings(docs, "doc_id", "text"), search.corpus_figures(docs, "text"), asked(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
+    terms = search.tokenised(docs, "doc_id", "text")
+    scored = search.bm25(search.postings(terms, "doc_id"), search.corpus_figures(docs, terms), asked(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
     return search.top_k_by_group(scored, ["query_id"], "score", "doc_id", 5)
 
 

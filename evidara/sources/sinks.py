@@ -121,9 +121,9 @@ def token_stream(documents: DataFrame, encode, end: int, path: str, key: str = "
 
 def search_index(documents: DataFrame, path: str, key: str, text: str) -> str:
     """Postings sorted by term and documents, with a digest over both; returns the digest."""
-    from evidara.operators.search import postings
+    from evidara.operators.search import postings, tokenised
 
-    postings(documents, key, text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    postings(tokenised(documents, key, text), key).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     documents.write.mode("overwrite").parquet(f"{path}/documents")
     digest = hashing.split_digest(documents.select(F.concat_ws("\t", F.col(key).cast("string"), F.sha2(text, 256)).alias("k")), "k").first()["split_hash"]
     write_text(documents.sparkSession, f"{path}/digest.json", json.dumps({"digest": digest}))
