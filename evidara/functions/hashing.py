@@ -61,8 +61,8 @@ def split_digest(rows: DataFrame, key: str) -> DataFrame:
 
 
 def schema_hash(columns: Iterable[str]) -> str:
-    """Digest of a set of column names in any order."""
-    return hashlib.sha256("\n".join(sorted(columns)).encode()).hexdigest()
+    """16 hex digits of a set of column names in any order."""
+    return hashlib.sha256("\n".join(sorted(set(columns))).encode()).hexdigest()[:16]
 
 
 def entry_key(identity: Mapping) -> str:

@@ -56,16 +56,36 @@ def bootstrap(y: np.ndarray, s: np.ndarray, n: int, seed: int, statistic: Callab
     return _none(statistic(y, s)), *interval([statistic(y[i], s[i]) for i in (draws(y, rng, stratified) for _ in range(n))])
 
 
-def bootstrap_ci(rows: DataFrame, group: str, label: str, score: str, n: int = 1000, seed: int = 0, stratified: bool = False) -> DataFrame:
-    """AUC of each group with a percentile interval."""
+def cell_auc(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """AUC of counts in cells of ascending score (last axis); pairs within a cell count half."""
+    below = np.cumsum(neg, axis=-1) - neg
+    total = pos.sum(axis=-1) * neg.sum(axis=-1)
+    return np.where(total > 0, (pos * (below + neg / 2)).sum(axis=-1) / np.maximum(total, 1), np.nan)
+
+
+def bootstrap_ci(rows: DataFrame, group: str, label: str, score: str, n: int = 1000, seed: int = 0, stratified: bool = False, cells: int = 1024) -> DataFrame:
+    """AUC of each group with a percentile interval. The AUC is exact; resampling works on counts of both classes in at most
+    ``cells`` ranges of the score, so a group of any size is a few numbers where it is resampled."""
+    from evidara.operators.metrics import roc_auc
+
+    known = rows.select(group, label, score).dropna(subset=[label, score])
+    edges = known.groupBy(group).agg(F.percentile_approx(score, F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10 * cells)).alias("edges"))
+    counted = known.join(edges, group).withColumn("cell", F.size(F.filter(F.array_distinct("edges"), lambda e: e <= F.col(score))))
+    counted = counted.groupBy(group, "cell").agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values([score, label])
-        value, low, high = bootstrap(pdf[label].to_numpy(), pdf[score].to_numpy(), n, derived_seed(seed, str(key[0])), stratified=stratified)
-        return pd.DataFrame([(key[0], len(pdf), value, low, high)])
+        pdf = pdf.sort_values("cell")
+        rng, both = np.random.default_rng(derived_seed(seed, str(key[0]))), pdf[["pos", "neg"]].to_numpy(np.int64)
+        if stratified:
+            picks = np.stack([rng.multinomial(c.sum(), c / max(1, c.sum()), n) for c in both.T], axis=-1)
+        else:
+            picks = rng.multinomial(both.sum(), both.ravel() / both.sum(), n).reshape(n, -1, 2)
+        low, high = interval(cell_auc(picks[..., 0].astype(float), picks[..., 1].astype(float)))
+        return pd.DataFrame([(key[0], low, high)])
 
     kind = dict(rows.dtypes)[group]
-    return rows.select(group, label, score).groupBy(group).applyInPandas(one, f"`{group}` {kind}, n long, auc double, ci_low double, ci_high double")
+    ends = counted.groupBy(group).applyInPandas(one, f"`{group}` {kind}, ci_low double, ci_high double")
+    return roc_auc(known, [group], label, score).select(group, "n", "auc").join(ends, group, "left")
 
 
 def paired_delta(y: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, seed: int) -> tuple[float | None, float | None, float | None]:

@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     from evidara.plans import (  # noqa: F401  importing registers
+        checks,
         evaluation,
         formats,
         relational,
