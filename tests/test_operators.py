@@ -86,7 +86,8 @@ def test_near_clusters_of_chains_against_all_pairs(spark, monkeypatch):
     docs |= {f"{c:02}x": " ".join(f"c{c}w{i}" for i in range(4, 30)) for c in range(12)}
     table = spark.createDataFrame(list(docs.items()), "document_id string, text string")
     # one permutation: all texts of a chain that share their least word are one bucket
-    least = {r.document_id: r.s[0] for r in table.select("document_id", dedup.signature(dedup.T.shingles(F.col("text"), 1), 1, 1).alias("s")).collect()}
+    written = dedup._shared(table.select("document_id", dedup.T.shingles(F.col("text"), 1).alias("sh")))
+    least = {r.document_id: r.s[0] for r in written.select("document_id", dedup.signature(F.col("sh"), 1, 1).alias("s")).collect()}
     words = {k: set(t.split()) for k, t in docs.items()}
     root = {k: k for k in docs}
     for a in sorted(docs):
@@ -184,3 +185,61 @@ def test_examples(spark):
     assert corpus.unit_examples(units, docs, split, "polarity").count() == 1
     criteria = spark.createDataFrame([("d1", ["PS3", "PM2"])], "document_id string, codes_met array<string>")
     assert corpus.code_examples(criteria, docs, split).first().input_text == "PM2 PS3"
+
+
+def test_candidates_find_nearly_all_similar_pairs(spark):
+    rng, words = random.Random(5), [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(60)]
+        near = list(base)
+        near[rng.randrange(60)] = "changed"
+        docs += [(f"a{i:03}", " ".join(base)), (f"b{i:03}", " ".join(near))]
+    table = spark.createDataFrame(docs, "document_id string, text string")
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    want = {(a[0], b[0]) for a, b in zip(docs[::2], docs[1::2]) if len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) >= 0.8}
+    clusters = {r.document_id: r.cluster for r in dedup.near_clusters(table, 0.8).collect()}
+    assert len(want) > 30 and all(clusters.get(b) == a for a, b in want)  # recall 1 here; 0.9 is asked for
+    pairs = {(r.a, r.b) for r in dedup.similar_pairs(table, 0.8).collect()}
+    assert pairs == want
+
+
+def test_provenance_and_policies(spark, tmp_path):
+    from evidara.operators import provenance
+
+    path = str(tmp_path / "data")
+    spark.range(20).write.parquet(path)
+    made = provenance.split_manifest(spark, str(tmp_path / "split.json"), path, 3, train=["mlh1"], test=["MSH2"])
+    provenance.verify_dataset(spark, made, path)
+    spark.range(21).write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError):
+        provenance.verify_dataset(spark, made, path)
+    with pytest.raises(ValueError):
+        provenance.split_manifest(spark, str(tmp_path / "s2.json"), path, 3, train=["A"], test=["a"])
+    assert [s["train"] for s in provenance.leave_one_out_manifest(spark, str(tmp_path / "l.json"), ["a", "b"])["splits"]] == [["B"], ["A"]]
+    record = provenance.provenance_record(spark, path, ["b", "a", "a"], spark.range(3), "id", ["y", "x"])
+    import hashlib
+
+    assert record["feature_schema"] == hashlib.sha256(b"a\nb").hexdigest()[:16] and record["split_hash"] == hashlib.sha256(b"0\n1\n2").hexdigest()[:16] and record["sources"] == ["x", "y"]
+    with pytest.raises(KeyError):
+        provenance.task_policy("other")
+    assert not provenance.task_policy("pretraining").mask_codes and provenance.keep_policy(["af"], "classify") == ["af"]
+    with pytest.raises(ValueError):
+        provenance.keep_policy(["stars"], "classify")
+    wrong = spark.createDataFrame([("x", float(i), float(-i)) for i in range(40)], "assay string, damage_score double, prior double")
+    with pytest.raises(Exception, match="wrong direction"):
+        provenance.orientation(wrong, "prior").collect()
+    assert provenance.orientation(wrong.limit(5), "prior").first().spearman is None
+
+
+def test_bootstrap_over_counts(spark):
+    from evidara.operators import resample
+
+    rng = random.Random(1)
+    rows = [("g", i % 2, rng.gauss(i % 2, 1.0)) for i in range(400)]
+    got = resample.bootstrap_ci(spark.createDataFrame(rows, "g string, y int, s double"), "g", "y", "s", n=400).first()
+    pos, neg = [s for _, y, s in rows if y], [s for _, y, s in rows if not y]
+    exact = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(got.auc - exact) < 1e-9 and got.ci_low < exact < got.ci_high and 0.04 < got.ci_high - got.ci_low < 0.16
+    direct = resample.bootstrap(np.array([y for _, y, _ in rows]), np.array([s for *_, s in rows]), 400, 1)
+    assert abs(direct[1] - got.ci_low) < 0.02 and abs(direct[2] - got.ci_high) < 0.02
