@@ -143,13 +143,22 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 
 def platt(y: np.ndarray, p: np.ndarray, rounds: int = 50, ridge: float = 1e-6) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit of the label on the logit, by Newton's method."""
+    """Slope and intercept of a logistic fit of the label on the logit, by Newton's method; a step that does not lower the loss is
+    halved."""
     x = np.stack([logit(p), np.ones(len(p))], axis=1)
+    loss = lambda w: float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ridge / 2 * (w @ w))
     w = np.array([1.0, 0.0])
+    now = loss(w)
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         change = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge * np.eye(2), x.T @ (y - q) - ridge * w)
-        w = w + np.clip(change, -5, 5)
+        for half in range(40):
+            then = loss(w + change / 2**half)
+            if then <= now:
+                break
+        else:
+            break
+        w, now = w + change / 2**half, then
         if np.abs(change).max() < 1e-9:
             break
     return float(w[0]), float(w[1])
