@@ -93,7 +93,7 @@ def test_labels_of_other_types_and_magnitudes(spark):
 
 
 def test_hot_keys_are_dealt(spark, monkeypatch):
-    from evidara.llm import skew
+    from evidara.operators import skew
 
     monkeypatch.setattr(skew, "LEAST", 3)
     monkeypatch.setattr(skew, "SHARE", 50)
