@@ -56,6 +56,7 @@ k as (select l_returnflag, rank() over (partition by l_returnflag order by x) +
   rank() over (partition by l_returnflag order by y) + (count(*) over (partition by l_returnflag, y) - 1) / 2.0::double as ry from r)
 select l_returnflag, corr(rx, ry) as spearman, count(*) as n from k group by 1""")
 def spearman_by_group(spark, sf_dir):
+    """A31."""
     return metrics.spearman(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
 
 
@@ -66,6 +67,7 @@ _AUC = """select {g}count(*) as n, sum({y})::bigint as n_pos, case when sum({y})
 
 @query("roc_auc_by_group", f"with {_LABELLED} " + _AUC.format(g="lang, ", p="partition by lang ", gc="lang, ", y="quality", s="n_chars") + " group by lang")
 def roc_auc_by_group(spark, sf_dir):
+    """A16."""
     return metrics.roc_auc(labelled(spark, sf_dir), ["lang"], "quality", "n_chars")
 
 
@@ -87,6 +89,7 @@ def column_agreement(spark, sf_dir):
 with {_LABELLED}, r as (select lang, quality, sum(quality) over w / count(*) over w::double as p from l window w as (partition by lang order by share desc, doc_id rows unbounded preceding))
 select lang, sum(p * quality) / sum(quality) as average_precision from r group by lang""")
 def average_precision(spark, sf_dir):
+    """A17."""
     return metrics.average_precision(labelled(spark, sf_dir), ["lang"], "quality", "share", "doc_id")
 
 
@@ -120,6 +123,7 @@ c as (select threshold, count_if(quality = 1 and share >= threshold)::bigint as
 
 @query("mcc_threshold_sweep", f"{_SWEEP} select threshold, {_PANEL} from c")
 def mcc_threshold_sweep(spark, sf_dir):
+    """A18, A62, A63."""
     return metrics.threshold_sweep(labelled(spark, sf_dir), [], "quality", "share")
 
 
@@ -144,11 +148,13 @@ _BINS = f"{_LABELLED}, b as (select lang, least(floor(share * 10), 9)::int as bi
 with {_BINS}, e as (select lang, unnest(range(0, 10))::int as bin from (select distinct lang from l))
 select lang, bin, coalesce(n, 0) as n, confidence, accuracy from e left join b using (lang, bin)""")
 def reliability_bins(spark, sf_dir):
+    """A27, A87."""
     return metrics.reliability(labelled(spark, sf_dir), ["lang"], "quality", "share")
 
 
 @query("calibration_errors", f"with {_BINS} select lang, sum(abs(confidence - accuracy) * n) / sum(n) as ece, max(abs(confidence - accuracy)) as mce from b group by lang")
 def calibration_errors(spark, sf_dir):
+    """A28, A66, A67, A69."""
     return metrics.calibration_errors(metrics.reliability(labelled(spark, sf_dir), ["lang"], "quality", "share"), ["lang"])
 
 
@@ -169,6 +175,7 @@ def brier_score(spark, sf_dir):
 with {_LABELLED}, r as (select doc_id, count(*) over w as seen, sum(1 - quality) over w as errors, count(*) over () as n from l window w as (order by share desc, doc_id rows unbounded preceding))
 select doc_id, seen / n::double as coverage, errors / seen::double as risk from r""")
 def risk_coverage(spark, sf_dir):
+    """W04, A85."""
     return metrics.risk_coverage(labelled(spark, sf_dir), [], "share", "quality", "doc_id").select("doc_id", "coverage", "risk")
 
 
@@ -194,6 +201,7 @@ select class, (select count(*) from n where y = class) as support,
   coalesce((select count(*) from n where y = class and p = class) / nullif((select count(*) from n where y = class), 0)::double, 0) as recall,
   2 * (select count(*) from n where y = class and p = class) / ((select count(*) from n where y = class) + (select count(*) from n where p = class))::double as f1 from c""")
 def class_panel(spark, sf_dir):
+    """A46, A83."""
     rows = table(spark, sf_dir, "orders").withColumn("p", F.when(F.col("o_totalprice") > 200000, "1-URGENT").otherwise("3-MEDIUM"))
     return metrics.class_panel(rows, "o_orderpriority", "p")
 
@@ -203,11 +211,13 @@ with {_LABELLED}, x as (select 'lang' as grouping, lang as level, quality, toxic
 c as (select grouping, level, count_if(quality = 1 and toxic = 1)::bigint as tp, count_if(quality = 0 and toxic = 1)::bigint as fp, count_if(quality = 1 and toxic = 0)::bigint as fn, count_if(quality = 0 and toxic = 0)::bigint as tn from x group by all)
 select grouping, level, {_PANEL}, (tp + fp + fn + tn >= 30 and tp + fn >= 5 and fp + tn >= 5) as available from c""")
 def cohort_panels(spark, sf_dir):
+    """A24, P45."""
     return metrics.cohorts(labelled(spark, sf_dir), "quality", F.col("toxic"), ["lang", "source"])
 
 
 @query("fold_small_groups", f"with {_LABELLED}, s as (select source, count(*) as n from l group by 1) select case when n >= 20 then source else 'other' end as source, count(*) as n from l join s using (source) group by 1")
 def fold_small_groups(spark, sf_dir):
+    """A49."""
     return metrics.fold_small_groups(labelled(spark, sf_dir), "source", 20).groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -215,6 +225,7 @@ def fold_small_groups(spark, sf_dir):
 with {_LABELLED}, r as (select source, avg(quality) as rate from l where doc_id % 3 > 0 group by 1)
 select doc_id, coalesce(rate, (select avg(quality) from l where doc_id % 3 > 0)) as rate from l left join r using (source) where doc_id % 3 = 0""")
 def target_rate_encoding(spark, sf_dir):
+    """A45."""
     rows = labelled(spark, sf_dir)
     return metrics.target_rates(rows.filter("doc_id % 3 > 0"), rows.filter("doc_id % 3 = 0"), "source", "quality").select("doc_id", "rate")
 
@@ -223,6 +234,7 @@ def target_rate_encoding(spark, sf_dir):
 with s as (select l_returnflag, l_linenumber, avg(l_quantity) as m, count(distinct l_linestatus) as u from lineitem group by all)
 select l_returnflag, avg(m) as mean, stddev_samp(m) as sd, count(*) as n_seeds, max(u) as n_units from s group by 1""")
 def two_level_mean_std(spark, sf_dir):
+    """A12."""
     return metrics.seed_summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", "l_linenumber", "l_quantity")
 
 
@@ -236,11 +248,13 @@ def benjamini_hochberg(spark, sf_dir):
 
 @query("comparable_runs", "select l_returnflag, count(distinct l_linestatus) as l_linestatus, count(distinct l_linenumber) as l_linenumber from lineitem group by 1 having count(distinct l_linestatus) > 1 or count(distinct l_linenumber) > 1")
 def comparable_runs(spark, sf_dir):
+    """A50, F58."""
     return metrics.comparable(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_linestatus", "l_linenumber"])
 
 
 @query("rounded_table", "select r_regionkey, format('{:.2f}', round_even(r_regionkey + 0.125::double, 2)) as x, case when r_regionkey > 2 then 'n/a' else format('{:.1f}', round_even(r_regionkey * 1.5::double, 1)) end as y from region")
 def rounded_table(spark, sf_dir):
+    """A70."""
     rows = table(spark, sf_dir, "region").select("r_regionkey", (F.col("r_regionkey") + 0.125).alias("x"), F.when(F.col("r_regionkey") <= 2, F.col("r_regionkey") * 1.5).alias("y"))
     return metrics.rounded(rows, {"x": 2, "y": 1})
 
@@ -250,6 +264,7 @@ with e as (select event_id, event_type, case when value < 60 then value end as v
 g as (select event_type, quantile_cont(value, 0.5) as m from e group by 1)
 select event_id, (value is null)::int as is_missing_value, coalesce(value, m) as value from e join g using (event_type)""")
 def impute_medians(spark, sf_dir):
+    """A76, A77."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("value") < 60, F.col("value")).alias("value"))
     return ranking.impute_medians(rows, ["value"], ["event_type"]).select("event_id", "is_missing_value", "value")
 
@@ -257,6 +272,7 @@ def impute_medians(spark, sf_dir):
 @query("standardise", """
 with t as (select avg(p_size) as m, stddev_pop(p_size) as s from part where p_partkey % 2 = 0) select p_partkey, (p_size - m) / s as p_size from part cross join t where p_partkey % 2 = 1""")
 def standardise(spark, sf_dir):
+    """A35, A79."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
     return ranking.standardise(rows.filter("p_partkey % 2 = 0"), rows.filter("p_partkey % 2 = 1"), ["p_size"])
 

@@ -43,6 +43,7 @@ def dedup_first_by_priority(spark, sf_dir):
 select l_partkey, string_agg(distinct l_returnflag, '|' order by l_returnflag) as labels, count(*) as n_rows
 from lineitem group by l_partkey having count(distinct l_returnflag) > 1""")
 def conflict_quarantine(spark, sf_dir):
+    """A01, A55."""
     found = merge.conflicts(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_returnflag")
     return found.select("l_partkey", F.array_join("labels", "|").alias("labels"), "n_rows")
 
@@ -51,6 +52,7 @@ def conflict_quarantine(spark, sf_dir):
 select l_partkey, l_suppkey, arg_min(l_linestatus, (l_orderkey, l_linenumber)) as l_linestatus, min(l_orderkey) as l_orderkey
 from lineitem group by all having count(distinct l_linestatus) = 1""")
 def resolve_binary(spark, sf_dir):
+    """A01."""
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber")
     kept, _ = merge.resolve_binary(rows, ["l_partkey", "l_suppkey"], "l_linestatus", [F.col("l_orderkey"), F.col("l_linenumber")])
     return kept.drop("l_linenumber")
@@ -68,6 +70,7 @@ a as (
   from r group by k)
 select k, case when not quarantined then l end as label, case when not quarantined then src end as label_source, quarantined, discount, label__orders, label__items from a""")
 def precedence_coalesce_pivot(spark, sf_dir):
+    """J02, A55."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     rows = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") > 150000).cast("double").alias("label"), F.lit("orders").alias("label_source"), F.col("o_orderkey").alias("ordinal"), F.lit(None).cast("double").alias("discount"))
     rows = rows.union(items.select("l_orderkey", (F.col("l_quantity") > 25).cast("double"), F.lit("items"), F.expr("l_linenumber * 1000000000L + l_partkey * 1000 + cast(round(l_quantity * 10 + l_discount * 100) as bigint)"), "l_discount"))

@@ -20,6 +20,7 @@ def hash_bucket_split(spark, sf_dir):
 
 @query("group_split", f"select o_orderkey, {_SIDE.format(k='o_custkey')} as split from orders")
 def group_split(spark, sf_dir):
+    """D57, D58."""
     return splits.group_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 42).select("o_orderkey", "split")
 
 
@@ -51,6 +52,7 @@ with e as (select event_id, user_id, strftime(ts, '%Y-%m-%d') as day from events
 select event_id, case when day < cut then case when {_DRAW.format(k='user_id')} < 0.1 then 'validation' else 'train' end when min(day) over (partition by user_id) >= cut then 'test' end as split
 from e cross join (select (select day from e order by day, event_id limit 1 offset (select count(*) // 4 from e)) as cut)""")
 def temporal_split(spark, sf_dir):
+    """W06."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     cutoff = splits.day_at(rows, "day", 0.25)
     return splits.by_time(rows, "user_id", "day", cutoff, "novel", 42, 0.1).select("event_id", "split")
@@ -58,6 +60,7 @@ def temporal_split(spark, sf_dir):
 
 @query("leave_one_group_out", "select o_orderpriority as fold, (select count(*) from orders) - count(*) as n_train, count(*) as n_test from orders group by 1 having count(*) >= 10")
 def leave_one_group_out(spark, sf_dir):
+    """D13."""
     return splits.leave_one_out(table(spark, sf_dir, "orders"), "o_orderpriority", 10)
 
 
@@ -65,11 +68,13 @@ def leave_one_group_out(spark, sf_dir):
 select o_custkey, count_if(split = 'train')::bigint as n_train, count_if(split <> 'train')::bigint as n_held_out from (select o_custkey, {_SIDE.format(k='o_orderkey')} as split from orders) group by 1
 having count_if(split = 'train') > 0 and count_if(split <> 'train') > 0""")
 def straddling_groups(spark, sf_dir):
+    """D14, D54, D12."""
     return splits.straddling(splits.hash_split(table(spark, sf_dir, "orders"), "o_orderkey", 42), "o_custkey")
 
 
 @query("purge_clusters", "select o_orderkey from orders where o_orderkey % 5 > 0 and o_custkey not in (select o_custkey from orders where o_orderkey % 5 = 0)")
 def purge_clusters(spark, sf_dir):
+    """D16."""
     orders = table(spark, sf_dir, "orders")
     return splits.purge(orders.filter("o_orderkey % 5 > 0"), orders.filter("o_orderkey % 5 = 0"), "o_custkey").select("o_orderkey")
 
@@ -85,6 +90,7 @@ def fill_clusters(spark, sf_dir):
 
 @query("capped_rows", f"select o_orderkey from (select o_orderkey, row_number() over (partition by o_orderstatus order by {_DRAW.format(k='o_orderkey')}) as r from orders) where r <= 40")
 def capped_rows(spark, sf_dir):
+    """A54."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return splits.capped(rows, ["o_orderstatus"], F.lit(40), hashing.bucket(F.col("o_orderkey").cast("string"), 42)).select("o_orderkey")
 
@@ -94,6 +100,7 @@ with n as (select o_orderpriority as g, min(n) as least from (select o_orderprio
 r as (select o_orderkey, least, row_number() over (partition by g, o_totalprice > 150000 order by {_DRAW.format(k='o_orderkey')}) as r from orders join n on g = o_orderpriority)
 select o_orderkey from r where r <= least""")
 def balanced_rows(spark, sf_dir):
+    """A53."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") > 150000).alias("y"))
     return splits.balanced(rows, "o_orderpriority", "y", 42, "o_orderkey").select("o_orderkey")
 
@@ -149,6 +156,7 @@ x as (select 'crossing:o_custkey' as "check", sum(n)::double as n from (select o
   select 'late', count(*)::double from o join orders using (o_orderkey) where split = 'train' and o_orderdate >= timestamp '1995-01-01')
 select "check", case when n > 0 then 'critical' else 'ok' end as severity, n from x""")
 def leakage_audit(spark, sf_dir):
+    """D31, D32, D36, D37, D50."""
     rows = splits.hash_split(table(spark, sf_dir, "orders"), "o_orderkey", 42)
     late = leakage.late_training(rows, "o_orderdate", "1995-01-01").withColumn("check", F.lit("late"))
     return leakage.audit([leakage.groups_cross(rows, ["o_custkey", "o_orderkey"]), late])
@@ -177,5 +185,6 @@ def duplicate_id_findings(spark, sf_dir):
 select 'eval_in_index' as "check", case when count(*) > 0 then 'critical' else 'ok' end as severity, count(*)::double as n from (select distinct doc_id from labels where toxic = 1 and doc_id in (select doc_id from documents where lang = 'en')) union all
 select 'not_excluded', case when count(*) > 0 then 'critical' else 'ok' end, count(*)::double from (select distinct doc_id from labels where quality = 0 and doc_id not in (select doc_id from labels where toxic = 1))""")
 def exclusion_findings(spark, sf_dir):
+    """D46, D52."""
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     return leakage.audit([leakage.overlap("eval_in_index", labels.filter("toxic = 1"), docs.filter("lang = 'en'"), "doc_id"), leakage.not_excluded("not_excluded", labels.filter("quality = 0"), labels.filter("toxic = 1"), "doc_id")])

@@ -22,6 +22,7 @@ def asked(spark, sf_dir):
 @query("exact_duplicate_groups", f"""
 select substr(sha256({_NORMAL}), 1, 16) as exact_group, min(doc_id) as first, count(*) as n from documents group by 1 having count(*) > 1""")
 def exact_duplicate_groups(spark, sf_dir):
+    """D01."""
     return dedup.exact_groups(table(spark, sf_dir, "documents"), "doc_id")
 
 
@@ -60,6 +61,7 @@ s as (select item_id as query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) /
 
 @query("bm25_search", f"with {_BM25} select query_id, doc_id, score, n_terms, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s qualify rank <= 5")
 def bm25_search(spark, sf_dir):
+    """F36, F37, T04."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     terms = search.tokenised(docs, "doc_id", "text")
     scored = search.bm25(search.postings(terms, "doc_id"), search.corpus_figures(docs, terms), asked(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
@@ -71,6 +73,7 @@ with a as (select p_brand as query_id, p_partkey, row_number() over (partition b
 u as (select * from a where rank <= 10 union all select * from b where rank <= 10), s as (select query_id, p_partkey, sum(1.0::double / (60 + rank)) as score from u group by all)
 select query_id, p_partkey, score, row_number() over (partition by query_id order by score desc, p_partkey)::int as rank from s""")
 def rank_fusion(spark, sf_dir):
+    """T05, U17."""
     parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), "p_partkey", "p_size", (-F.col("p_retailprice")).alias("cheap"))
     top = lambda c: search.top_k_by_group(parts, ["query_id"], c, "p_partkey", 10).select("query_id", "p_partkey", "rank")
     return search.fuse([top("p_size"), top("cheap")], "p_partkey")
@@ -81,6 +84,7 @@ with v as (select vec_id, embedding::double[] as e from embeddings), q as (selec
 s as (select query_id, vec_id, list_inner_product(q, e) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(e, e))) as score from q cross join v)
 select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s where score > 0 qualify rank <= 5""")
 def cosine_topk(spark, sf_dir):
+    """U16."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search.vector_top(vectors, vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5, "vec_id")
 
@@ -99,6 +103,7 @@ t(a, b) as (select k, k from c union select t.a, l.b from t join l on l.a = t.b)
 d as (select doc_id, root from s join c using (s) join r using (k)), z as (select root, min(doc_id) as cluster from d group by root having count(*) > 1)
 select doc_id, cluster from d join z using (root)""")
 def minhash_clusters(spark, sf_dir):
+    """D02, D03, D04, D05, D55, D56."""
     return dedup.near_clusters(table(spark, sf_dir, "documents"), 0.8, "doc_id")
 
 
@@ -110,6 +115,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
 
 @query("document_clusters")
 def document_clusters(spark, sf_dir):
+    """D07."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", F.col("source").alias("submitter"))
     return dedup.document_clusters(docs)
 
@@ -122,6 +128,7 @@ b as (select item_id, list_distinct(list_transform(range(1, greatest(2, len(w) -
 c as (select item_id, len(s) as n, unnest(s) as h from b)
 select doc_id, item_id, count(*) as shared, count(*) / any_value(n)::double as share from a join c using (h) group by doc_id, item_id""")
 def benchmark_contamination(spark, sf_dir):
+    """D35."""
     return leakage.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
@@ -129,6 +136,7 @@ def benchmark_contamination(spark, sf_dir):
 with s as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>', ' ', 'g') as t from pages)
 select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as text from s""")
 def html_strip_text(spark, sf_dir):
+    """F43."""
     return table(spark, sf_dir, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text"))
 
 
@@ -140,6 +148,7 @@ def url_host_breakdown(spark, sf_dir):
 @query("json_props_extract", """
 select event_type, count(*) as n, sum(json_extract(props, '$.k')::bigint)::bigint as total, count(json_extract(props, '$.absent')) as n_absent from events group by 1""")
 def json_props_extract(spark, sf_dir):
+    """U20."""
     rows = table(spark, sf_dir, "events").select("event_type", T.json_object(F.concat(F.lit("Answer: "), "props", F.lit(" .")), "k bigint, absent string").alias("p"))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"), F.count("p.absent").alias("n_absent"))
 
@@ -172,6 +181,7 @@ def variant_name_parts(spark, sf_dir):
 @query("iso_dates", """
 select o_orderkey, case o_orderkey % 4 when 3 then strftime(o_orderdate, '%Y') || '-01-01' else strftime(o_orderdate, '%Y-%m-%d') end as day from orders""")
 def iso_dates(spark, sf_dir):
+    """F16."""
     form = lambda f: F.date_format("o_orderdate", f)
     k = F.col("o_orderkey") % 4
     said = F.when(k == 0, form("MMM d, yyyy")).when(k == 1, form("yyyy-MM-dd")).when(k == 2, form("yyyy/MM/dd")).otherwise(form("yyyy"))
@@ -191,17 +201,20 @@ def clinical_bands(spark, sf_dir):
 
 @query("sentence_units")
 def sentence_units(spark, sf_dir):
+    """F24, F74."""
     each = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(passages.sentences_udf(F.col("text"))).alias("i", "s"))
     return each.select("conv_id", "turn", "i", "s.start", "s.end", "s.text")
 
 
 @query("evidence_units")
 def evidence_units(spark, sf_dir):
+    """F32, F66."""
     return corpus.evidence_units(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
 @query("masked_conclusions")
 def masked_conclusions(spark, sf_dir):
+    """F26."""
     said = F.concat(F.col("text"), F.lit(" This variant was classified as pathogenic. PM2 and PP3 criteria were met."))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", passages.masked_udf(said).alias("m"), passages.codes_udf(said).alias("c"))
     return rows.select("conv_id", "turn", "m.text", "m.n_masked", F.size("c").alias("n_codes"))
