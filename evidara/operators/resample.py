@@ -120,12 +120,13 @@ def paired_table(predictions: DataFrame, reference: str, n: int = 1000, seed: in
     return left.groupBy("gene").cogroup(right.groupBy("gene")).applyInPandas(one, "arm string, gene string, n long, delta double, ci_low double, ci_high double")
 
 
-def isotonic(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: ascending starts of the steps and their values."""
+def isotonic(y: np.ndarray, p: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators: ascending starts of the steps and their values; a point counts ``w`` times."""
     order = np.argsort(p, kind="stable")
+    w = np.ones(len(p)) if w is None else w
     levels: list[list[float]] = []
-    for x, v in zip(p[order], y[order].astype(float), strict=True):
-        levels.append([x, v, 1.0])
+    for x, v, n in zip(p[order], y[order].astype(float), w[order].astype(float), strict=True):
+        levels.append([x, v, n])
         while len(levels) > 1 and levels[-2][1] >= levels[-1][1]:
             _, v2, w2 = levels.pop()
             levels[-1][1] = (levels[-1][1] * levels[-1][2] + v2 * w2) / (levels[-1][2] + w2)
@@ -142,16 +143,16 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def platt(y: np.ndarray, p: np.ndarray, rounds: int = 50, ridge: float = 1e-6) -> tuple[float, float]:
+def platt(y: np.ndarray, p: np.ndarray, n: np.ndarray | None = None, rounds: int = 50, ridge: float = 1e-6) -> tuple[float, float]:
     """Slope and intercept of a logistic fit of the label on the logit, by Newton's method; a step that does not lower the loss is
     halved."""
-    x = np.stack([logit(p), np.ones(len(p))], axis=1)
-    loss = lambda w: float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ridge / 2 * (w @ w))
+    x, n = np.stack([logit(p), np.ones(len(p))], axis=1), np.ones(len(p)) if n is None else n
+    loss = lambda w: float(n @ np.logaddexp(0, x @ w) - (n * y) @ (x @ w) + ridge / 2 * (w @ w))
     w = np.array([1.0, 0.0])
     now = loss(w)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        change = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge * np.eye(2), x.T @ (y - q) - ridge * w)
+        change = np.linalg.solve(x.T @ (x * (n * q * (1 - q))[:, None]) + ridge * np.eye(2), x.T @ (n * (y - q)) - ridge * w)
         for half in range(40):
             then = loss(w + change / 2**half)
             if then <= now:
@@ -164,13 +165,13 @@ def platt(y: np.ndarray, p: np.ndarray, rounds: int = 50, ridge: float = 1e-6) -
     return float(w[0]), float(w[1])
 
 
-def temperature(y: np.ndarray, p: np.ndarray, low: float = 0.05, high: float = 20.0, rounds: int = 80) -> float:
+def temperature(y: np.ndarray, p: np.ndarray, n: np.ndarray | None = None, low: float = 0.05, high: float = 20.0, rounds: int = 80) -> float:
     """The temperature of least log loss, by golden section over its logarithm."""
     z = logit(p)
 
     def loss(t: float) -> float:
         q = np.clip(1 / (1 + np.exp(-np.clip(z / math.exp(t), -30, 30))), 1e-12, 1 - 1e-12)
-        return float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
+        return float(-np.average(y * np.log(q) + (1 - y) * np.log(1 - q), weights=n))
 
     a, b, g = math.log(low), math.log(high), (math.sqrt(5) - 1) / 2
     c, d = b - g * (b - a), a + g * (b - a)
@@ -180,34 +181,46 @@ def temperature(y: np.ndarray, p: np.ndarray, low: float = 0.05, high: float = 2
     return math.exp((a + b) / 2)
 
 
-def calibrate(validation: DataFrame, test: DataFrame, cell: str, label: str, score: str, method: str) -> DataFrame:
-    """Test rows with ``calibrated``: a calibrator (isotonic, platt or temperature) fitted on each cell's validation rows. Cells
-    without both classes there keep their scores."""
-
-    def one(key, fit: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        fit = fit.dropna(subset=[label, score])
-        y, p, s = fit[label].to_numpy(float), fit[score].to_numpy(float), rows[score].to_numpy(float)
-        if len(set(y)) < 2:
-            out = s
-        elif method == "isotonic":
-            out = step(*isotonic(y, p), s)
-        elif method == "platt":
-            a, b = platt(y, p)
-            out = 1 / (1 + np.exp(-(a * logit(s) + b)))
-        else:
-            out = 1 / (1 + np.exp(-logit(s) / temperature(y, p)))
-        return rows.assign(calibrated=out)
+def score_counts(rows: DataFrame, cell: str, label: str, score: str, digits: int = 4) -> DataFrame:
+    """(cell, p, y, w): labelled rows counted by score to ``digits`` decimals, with their mean score and mean label. At most
+    10,001 rows a cell for scores from 0 to 1, however large the cell is."""
+    known = rows.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score)))
+    counted = known.groupBy(cell, F.round(score, digits).alias("__r")).agg(F.avg(score).alias("p"), F.avg(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
+    return counted.select(cell, "p", "y", "w")
 
-    return renewed(validation).groupBy(cell).cogroup(test.groupBy(cell)).applyInPandas(one, with_double(test, "calibrated"))
+
+def calibrate(validation: DataFrame, test: DataFrame, cell: str, label: str, score: str, method: str) -> DataFrame:
+    """Test rows with ``calibrated``: a calibrator (isotonic, platt or temperature) fitted on counts of each cell's validation
+    scores and applied as an expression. Cells without both classes there keep their scores."""
+
+    def one(key, fit: pd.DataFrame) -> pd.DataFrame:
+        y, p, w = fit.y.to_numpy(float), fit.p.to_numpy(float), fit.w.to_numpy(float)
+        slope = shift = starts = values = None
+        if 0 < y @ w < w.sum():
+            if method == "isotonic":
+                starts, values = isotonic(y, p, w)
+            elif method == "platt":
+                slope, shift = platt(y, p, w)
+            else:
+                slope, shift = 1 / temperature(y, p, w), 0.0
+        return pd.DataFrame([(key[0], slope, shift, starts, values)], columns=[cell, "__slope", "__shift", "__starts", "__values"])
+
+    kind = dict(validation.dtypes)[cell]
+    fitted = score_counts(renewed(validation), cell, label, score).groupBy(cell).applyInPandas(one, f"`{cell}` {kind}, __slope double, __shift double, __starts array<double>, __values array<double>")
+    s = F.col(score).cast("double")
+    inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), s))
+    z = F.col("__slope") * F.log(inside / (1 - inside)) + F.col("__shift")
+    stepped = F.element_at("__values", F.greatest(F.lit(1), F.size(F.filter("__starts", lambda x: x <= s))))
+    made = F.when(F.col("__slope").isNotNull(), 1 / (1 + F.exp(-z))).when(F.col("__starts").isNotNull(), stepped).otherwise(s)
+    return test.join(fitted, cell, "left").withColumn("calibrated", made).select(*test.columns, "calibrated")
 
 
 def calibration_slope(rows: DataFrame, group: str, label: str, score: str) -> DataFrame:
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna()
-        a, b = platt(pdf[label].to_numpy(float), pdf[score].to_numpy(float)) if pdf[label].nunique() > 1 else (None, None)
-        return pd.DataFrame([(key[0], a, b)])
+        y, p, w = (pdf[c].to_numpy(float) for c in ("y", "p", "w"))
+        return pd.DataFrame([(key[0], *(platt(y, p, w) if 0 < y @ w < w.sum() else (None, None)))])
 
-    return rows.select(group, label, score).groupBy(group).applyInPandas(one, f"`{group}` {dict(rows.dtypes)[group]}, slope double, intercept double")
+    return score_counts(rows, group, label, score).groupBy(group).applyInPandas(one, f"`{group}` {dict(rows.dtypes)[group]}, slope double, intercept double")
 
 
 def ridge_gcv(x: np.ndarray, y: np.ndarray, alphas: Sequence[float]) -> tuple[np.ndarray, float, float]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from evidara.operators import resample
+from evidara.operators.graph import shared_folder
 from evidara.plans.registry import query
 from evidara.plans.relational import table
 from evidara.streaming import incremental
@@ -20,8 +20,7 @@ def _events(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidara-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("events_window_stream", """
