@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import jaccard, licences, media, mixing, near_vectors, packing, quality, sharding, token_counts, urls
+from evidara.llm import jaccard, licences, media, mixing, near_vectors, packing, quality, secrets, sharding, token_counts, urls
 from evidara.llm.workspace import Workspace
 
 
@@ -215,6 +215,42 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs.filter(first), path, cache).union(token_counts.count_tokens(docs.filter(~first), path, cache))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
+
+
+OP12_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(source, '') as owner, coalesce(source, '') || '/' || coalesce(lang, '') as repository from documents),
+p(k, kind, pattern) as (values
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'opaque', '[A-Za-z0-9+/_=-]+')),
+x as (
+  select r, k, kind, unnest(regexp_extract_all(t, pattern)) as v, unnest(regexp_split_to_array(t, pattern)[:-2]) as gap, generate_subscripts(regexp_extract_all(t, pattern), 1) as i
+  from d join p on regexp_matches(t, pattern)),
+y as (select r, k, kind, v, sum(len(gap) + len(v)) over (partition by r, k order by i)::bigint as e from x),
+z as (
+  select r, k, kind, e - len(v) as s, e,
+    case when k = 0 then regexp_extract(v, '^[^:=]*[:=] *["'']?(.*)$', 1) else v end as v from y),
+b as (select * from z where (k = 0 and len(v) >= 8) or (k = 1 and len(v) >= 16) or (k = 2 and len(v) >= 32)),
+l as (
+  select *, regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') and len(list_distinct(string_split(v, ''))) >= {secrets.VARIETY} as live from (
+    select * from b union all
+    select * from z where k = 3 and len(v) between {secrets.OPAQUE_LEAST} and {secrets.OPAQUE_MOST} and not exists (select 1 from b where b.r = z.r and b.s < z.e and b.e > z.s))),
+c as (select * from l where k < 3 or live),
+o as (
+  select v, count(distinct owner) >= {secrets.OWNERS} or count(distinct repository) >= {secrets.REPOSITORIES} as copied from c join d using (r) group by v),
+f as (select c.*, case when copied then 'copied' when live then 'live' else 'weak' end as class from c join o using (v) where k < 3 or not copied),
+a as (
+  select r, count_if(k = 0) as n_assign, count_if(k = 1) as n_access, count_if(k = 2) as n_hex, count_if(k = 3) as n_opaque,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (where k < 3), '') as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans,
+    count_if(class = 'live') as n_live, count_if(class = 'copied') as n_copied, count_if(class = 'weak') as n_weak from f group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, coalesce(n_opaque, 0)::bigint as n_opaque,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0)::bigint as n_live, coalesce(n_copied, 0)::bigint as n_copied, coalesce(n_weak, 0)::bigint as n_weak
+from d left join a using (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -227,8 +263,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_url_filters": op10_url_filters,
+        "op12_secret_scan": op12_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_packing": _op2_sql(), "op3_near_vectors": OP3_SQL, "op4_sharding": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_packing": _op2_sql(), "op3_near_vectors": OP3_SQL, "op4_sharding": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL, "op12_secret_scan": OP12_SQL}
