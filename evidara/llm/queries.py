@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import jaccard, licences, media, mixing, near_vectors, packing, quality, secrets, sharding, token_counts, urls
+from evidara.llm import jaccard, licences, media, mixing, near_vectors, negatives, packing, quality, secrets, sharding, token_counts, urls, whitening
 from evidara.llm.workspace import Workspace
 
 
@@ -215,6 +215,30 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs.filter(first), path, cache).union(token_counts.count_tokens(docs.filter(~first), path, cache))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.select("vec_id", "embedding", changed.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+n as (select r, vec_id, label, list_transform(e, lambda x: floor(256 * x)) as x from v),
+s as (
+  select a.r as r, a.vec_id as anchor_id, b.r as q, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+  from n a join n b on a.vec_id % 100 = 0 and b.vec_id is distinct from a.vec_id and len(a.x) = len(b.x)),
+p as (
+  select r, anchor_id, other_id as positive_id, score as positive_score, row_number() over (partition by r order by score desc, other_id nulls last) as positive_rank
+  from s where same qualify positive_rank <= 5)
+select p.anchor_id, positive_id, positive_rank::int as positive_rank, positive_score, other_id as negative_id, score as negative_score,
+  row_number() over (partition by p.r, positive_rank order by score desc, other_id nulls last)::int as rank
+from p join s on p.r = s.r and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
 
@@ -251,6 +275,12 @@ from d left join a using (r)
 """
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds is null here."""
+    made = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return made.withColumn("deviation", F.when(F.col("deviation") <= 2**63 - 1, F.col("deviation")).cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -263,9 +293,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_url_filters": op10_url_filters,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_secret_scan": op12_secret_scan,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_packing": _op2_sql(), "op3_near_vectors": OP3_SQL, "op4_sharding": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL, "op12_secret_scan": OP12_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_packing": _op2_sql(), "op3_near_vectors": OP3_SQL, "op4_sharding": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_secret_scan": OP12_SQL}
