@@ -26,16 +26,52 @@ def exact_duplicate_groups(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("template_text", r"""
-with t as (select o_orderkey, 'Variant c.' || o_orderkey || 'G>A (p.Gly12Val) rs' || o_custkey || ' in MLH1, seen ' || (o_orderkey % 90 + 10) || '% of 12.5 Alanine' as text from orders)
-select o_orderkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '\b(?:[cgnmrp]\.(?:\(?[A-Za-z*]{0,3}[-*]?\d+[^\s,;)]*\)?)|[NX][MRCGP]_\d+(?:\.\d+)?)', ' _hgvs_ ', 'g'), '(?i)\b(?:rs\d+|PMID:?\s*\d+|\d{6,9})\b', ' _id_ ', 'g'),
-  '\b[A-Z][A-Z0-9]{1,9}(?:-[A-Z0-9]+)?\b', ' _gene_ ', 'g'), '(?i)\balanine\b', ' _aa_ ', 'g'), '\b\d+(?:[.,]\d+)*%?\b', ' _num_ ', 'g')), '\s+', ' ', 'g')) as template from t""")
+_PIECES = r"(?i:pmid)[:\x20]+[0-9]+|(?i:aspartic|glutamic)[\x20\x09-\x0D]+(?i:acid)|[0-9]+(?:[.,][0-9]+)+%?|[^\x20\x09-\x0D,;/]+|[,;/]"
+_RESIDUES = ", ".join(f"'{n.lower()}'" for n in [*T.RESIDUE_NAMES, *residues.AMINO_ACIDS])
+#: key and template of t (key, text).
+_TEMPLATES = rf"""
+p as (select key, unnest(regexp_extract_all(text, '{_PIECES}')) as piece, generate_subscripts(regexp_extract_all(text, '{_PIECES}'), 1) as i from t),
+c as (select *, regexp_extract(piece, '^[("''\[{{<]+') as a, regexp_replace(regexp_replace(piece, '^[("''\[{{<]+', ''), '[)"''\]}}>.:!?]+$', '') as core, regexp_extract(piece, '[)"''\]}}>.:!?]+$') as b from p),
+k as (
+  select key, i, piece, a, b, case
+    when regexp_matches(core, '^[cgmnpr]\.[^\n]*[0-9]') or regexp_matches(core, '^[NX][CGMPR]_.*[0-9]') then '_hgvs_'
+    when regexp_full_match(core, '[0-9]{{6,9}}|[Rr][Ss][0-9]+') or starts_with(lower(core), 'pmid') then '_id_'
+    when lower(core) in ({_RESIDUES}) or ends_with(lower(core), ' acid') then '_aa_'
+    when regexp_full_match(core, '[A-Z][A-Z0-9]{{1,9}}(-[A-Z0-9]+)?') then '_gene_'
+    when regexp_full_match(core, '[0-9]+([.,][0-9]+)*%?') then '_num_' end as kind from c),
+m as (select key, trim(regexp_replace(lower(string_agg(coalesce(a || kind || b, piece), ' ' order by i)), '\s+', ' ', 'g')) as template from k group by key)"""
+
+
+@query("template_text", rf"""
+with t as (select o_orderkey as key, 'Variant c.' || o_orderkey || 'G>A (p.Gly12Val) rs' || o_custkey || ' in MLH1, seen ' || (o_orderkey % 90 + 10) || '% of 12.5 Alanine' as text from orders),
+{_TEMPLATES} select key as o_orderkey, template from m""")
 def template_text(spark, sf_dir):
+    """F36."""
     text = F.concat(F.lit("Variant c."), "o_orderkey", F.lit("G>A (p.Gly12Val) rs"), "o_custkey", F.lit(" in MLH1, seen "), F.col("o_orderkey") % 90 + 10, F.lit("% of 12.5 Alanine"))
     return table(spark, sf_dir, "orders").select("o_orderkey", T.template(text).alias("template"))
 
 
+@query("template_notation", rf"""
+with t as (select c_custkey as key, 'Variant c.' || c_custkey || 'G>A (p.Gly12Val), rs' || c_nationkey || ' in MLH1/BRCA2-' || c_name || ', seen ' || (c_custkey % 90 + 10) || '% of 12.5 Alanine. ' || c_mktsegment || ' [PMID: ' || c_nationkey || '] NM_' || c_custkey || '.3:c.1A>T; aspartic acid (glu)' as text from customer),
+{_TEMPLATES} select key as c_custkey, template from m""")
+def template_notation(spark, sf_dir):
+    """accessions, references, lists, acids of two words, and marks around pieces."""
+    text = F.concat(
+        F.lit("Variant c."), "c_custkey", F.lit("G>A (p.Gly12Val), rs"), "c_nationkey", F.lit(" in MLH1/BRCA2-"), "c_name", F.lit(", seen "), F.col("c_custkey") % 90 + 10, F.lit("% of 12.5 Alanine. "),
+        "c_mktsegment", F.lit(" [PMID: "), "c_nationkey", F.lit("] NM_"), "c_custkey", F.lit(".3:c.1A>T; aspartic acid (glu)"),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", T.template(text).alias("template"))
+
+
+@query("document_templates", rf"""
+with t as (select doc_id as key, text from documents), {_TEMPLATES}
+select doc_id, sha256(coalesce(template, '')) as template_sha256, (len(regexp_extract_all(template, '_(hgvs|id|aa|gene|num)_')))::int as n_placeholders from documents left join m on doc_id = key""")
+def document_templates(spark, sf_dir):
+    """F36 over whole documents."""
+    made = table(spark, sf_dir, "documents").select("doc_id", T.template(F.col("text")).alias("t"))
+    return made.select("doc_id", F.sha2("t", 256).alias("template_sha256"), F.regexp_count("t", F.lit("_(hgvs|id|aa|gene|num)_")).alias("n_placeholders"))
+
+
 _TOKENS = rf"""w as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._:>+\-*][A-Za-z0-9]+)*'))) as w from documents),
 k as (select doc_id, w from w where w not in ({_STOP}) and w not in (select unnest(['{"', '".join(T.EXPANSIONS)}']))),
 p as (select doc_id, unnest(regexp_split_to_array(w, '[._:>+\-*]')) as t from k where regexp_matches(w, '[._:>+\-*]')),
