@@ -8,8 +8,11 @@ A merge reads whole shards and shuffles nothing: small scan partitions are joine
 The manifest of a version lists its runs, a folder of files each, with their rows and bytes; tiers keep their number small,
 whatever the number of files. It is written beside its place and renamed there by the holder of the version's lock, so of two
 writers one commits and the other has to start from the new version. A lock whose writer was lost is taken over after
-``lease`` seconds. Readers take the highest version; folders that no manifest lists are no part of the store, whatever a lost
-task or writer left behind. ``vacuum`` deletes those of them that are older than the lease; merges delete what they replaced.
+``lease`` seconds; a writer that is slower than that finds another's name in the lock and does not commit. Readers take the
+highest version or any older one: a merge deletes nothing, so what a reader has planned on stays. ``vacuum`` drops the manifests
+behind the newest ``keep`` that were replaced more than ``retain`` seconds ago, with the runs that only they list. Folders that no manifest lists
+are no part of the store, whatever a lost task or writer left behind; ``vacuum`` deletes those that are older than the lease.
+``shard``, which loads a new store, drops its own intermediate versions at once but for the last two.
 
 Bytes are those of the text column (null: 0), so tiers do not depend on the file format. Null in any column, empty and long
 texts, repeated rows and further columns of any name are kept as they are; an empty arrival adds no run; a store without
@@ -55,12 +58,10 @@ class Store:
         version = max(self.versions(), default=0) if version is None else version
         if not version:
             return {"version": 0, "runs": []}
-        fs, path = self._fs()
-        stream = fs.open(path(f"{self.root}/manifests/v{version:09d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        found = self._read(self._fs()[1](f"{self.root}/manifests/v{version:09d}.json"))
+        if found is None:
+            raise LookupError(f"version {version} is not in the store; there are {self.versions()}")
+        return json.loads(found)
 
     def commit(self, read: int, runs: list[dict]) -> dict:
         """Makes ``runs`` version ``read`` + 1, or raises ``Conflict``."""
@@ -71,26 +72,42 @@ class Store:
         stream.write(bytearray(json.dumps(made, sort_keys=True).encode()))
         stream.close()
         # the lock file is created by one writer only; a rename alone may replace its target on some stores
-        lock = path(f"{self.root}/manifests/.lock{read + 1:09d}")
-        if not self._locked(lock) or fs.exists(place):
+        lock, name = path(f"{self.root}/manifests/.lock{read + 1:09d}"), uuid.uuid4().hex
+        if not self._locked(lock, name) or fs.exists(place) or not self._holds(lock, name) or not fs.rename(beside, place):
             fs.delete(beside, False)
             raise Conflict(f"version {read + 1} is committed by another writer")
-        if not fs.rename(beside, place):
-            raise Conflict(f"version {read + 1} was committed by another writer")
         return made
 
-    def _locked(self, lock) -> bool:
-        """Creates the lock; one older than the lease belongs to a lost writer and is moved away first."""
+    def _locked(self, lock, name: str) -> bool:
+        """Creates the lock with the writer's name; one older than the lease belongs to a lost writer and is moved away first."""
         fs, path = self._fs()
         for _ in range(2):
             try:
-                fs.create(lock, False).close()
-                return True
+                stream = fs.create(lock, False)
             except Exception:
                 if not self._stale(lock) or not fs.rename(lock, path(f"{self.root}/manifests/.stale-{uuid.uuid4().hex}")):
                     return False
+                continue
+            stream.write(bytearray(name.encode()))
+            stream.close()
+            return True
         return False
 
+    def _holds(self, lock, name: str) -> bool:
+        """Whether the lock is still this writer's."""
+        return self._read(lock) == name
+
+    def _read(self, at) -> str | None:
+        fs, _ = self._fs()
+        try:
+            stream = fs.open(at)
+        except Exception:  # moved away by the writer that took over
+            return None
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def _stale(self, at) -> bool:
         fs, _ = self._fs()
         return fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > self.lease
@@ -151,7 +168,6 @@ class Store:
             merged = self.write(self.rows(due).coalesce(files), rows_a_file=-(-n_rows * 5 // (files * 4)))
             merged = [r | {"tier": max(r["tier"], due[0]["tier"] + 1)} for r in merged]
             held = self.commit(held["version"], [r for r in held["runs"] if r not in due] + merged)
-            self._delete([r["run"] for r in due])
         return held
 
     def _delete(self, runs: list[str]) -> None:
@@ -159,11 +175,23 @@ class Store:
         for run in runs:
             fs.delete(path(f"{self.root}/{run}"), True)
 
-    def vacuum(self) -> None:
-        """Deletes folders that the last manifest does not list and that are older than the lease: replaced runs and what lost
-        writers left."""
+    def _age(self, at) -> float:
+        return time.time() - self._fs()[0].getFileStatus(at).getModificationTime() / 1000
+
+    def vacuum(self, keep: int = 10, retain: float | None = None) -> list[int]:
+        """Drops versions and the runs that only they list, and old folders of lost writers; the versions that are left. A
+        version is kept if it is one of the newest ``keep`` or its successor is younger than ``retain`` seconds (the lease, if
+        not given). Manifests go first, so no version is listed whose files may be gone."""
         fs, path = self._fs()
-        live = {r["run"] for r in self.manifest()["runs"]}
+        at = lambda v: path(f"{self.root}/manifests/v{v:09d}.json")
+        retain, versions = self.lease if retain is None else retain, self.versions()
+        old = [v for v, after in zip(versions, versions[1:], strict=False) if v <= versions[-1] - max(1, keep) and self._age(at(after)) >= retain]
+        listed = {v: {r["run"] for r in self.manifest(v)["runs"]} for v in versions}
+        live = set().union(*(runs for v, runs in listed.items() if v not in old))
+        for v in old:
+            fs.delete(at(v), False)
+        replaced = set().union(*(listed[v] for v in old)) - live
+        self._delete(sorted(replaced))
         found = []
         for top in fs.listStatus(path(self.root)):
             name = top.getPath().getName()
@@ -171,6 +199,7 @@ class Store:
                 below = [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(top.getPath()) if s.isDirectory() and "=" in s.getPath().getName()]
                 found += [b for b in below if b not in live] if any(b in live for b in below) else [name]
         self._delete(found)
+        return [v for v in versions if v not in old]
 
 
 def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, **options) -> Store:
@@ -182,4 +211,5 @@ def shard(docs: DataFrame, root: str, arrival: int = ARRIVAL, **options) -> Stor
     for run in store.write(docs.withColumn(name, F.pmod(F.spark_partition_id(), F.lit(n))), name):
         store.add([run])
         store.compact()
+        store.vacuum(keep=2, retain=0)
     return store
