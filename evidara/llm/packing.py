@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidara.llm.repeats import numbered
+from evidara.llm.repeats import digest_of, numbered
+from evidara.llm.skew import attach
 from evidara.llm.words import WORD, word_count
 from evidara.llm.workspace import Workspace
 
@@ -69,41 +70,42 @@ def lot(doc_id: Column, piece: Column, digest: Column, ordinal: Column, seed: in
 PIECE = ["doc_id", "digest", "ordinal", "piece", "first_word", "n_words"]
 
 
-def pieces(docs: DataFrame, longest: int | None, length: str | None) -> DataFrame:
-    """``numbered`` rows as their pieces: ``PIECE``, with piece from 0."""
-    size = word_count(F.col("doc.text")) if length is None else F.coalesce(F.col(f"doc.`{length}`").cast("long"), F.lit(0).cast("long"))
-    sized = docs.select("doc.doc_id", "digest", "ordinal", size.alias("words"))
-    if longest is None or length:
+def pieces(rows: DataFrame, longest: int | None) -> DataFrame:
+    """``numbered`` rows (doc_id, words, and their digest as text) as their pieces: ``PIECE``, with piece from 0."""
+    sized = rows.select("doc.doc_id", F.col("doc.text").alias("digest"), "ordinal", "doc.words")
+    if longest is None:
         return sized.select("doc_id", "digest", "ordinal", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_word"), F.col("words").alias("n_words"))
     last = F.greatest(F.lit(0), F.ceil(F.col("words") / longest) - 1).cast("int")
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first_word", F.col("piece").cast("long") * longest)
     return cut.withColumn("n_words", F.least(F.lit(longest), F.col("words") - F.col("first_word")).cast("int")).select(PIECE)
 
 
+def key_of(doc_id: Column, digest: Column) -> Column:
+    """What equal documents share."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
+
+
 def text_pieces(docs: DataFrame, longest: int | None) -> DataFrame:
-    """``pieces`` with their text; a document's pieces joined together are its text."""
+    """key, piece and text of the pieces of each different document; joined together, they are its text."""
     word = re.compile(WORD.encode())
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "ordinal")), strict=True)
-            for own, item in zip(keys, batch.column("data"), strict=True):
+            for key, item in zip(batch.column("key").to_pylist(), batch.column("data"), strict=True):
                 data = item.as_py()
-                words = len(data.split())  # bytes: at ASCII white space only
-                if longest is None or words <= longest:
-                    rows.append((*own, 0, 0, words, data.decode()))
+                if longest is None or len(data.split()) <= longest:  # bytes: at ASCII white space only
+                    rows.append((key, 0, data.decode()))
                     continue
                 starts = [m.start() for i, m in enumerate(word.finditer(data)) if i % longest == 0]
                 bounds = [0, *starts[1:], len(data)]
-                rows += [(*own, i, i * longest, min(longest, words - i * longest), data[a:b].decode()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*PIECE, "text"])
+                rows += [(key, i, data[a:b].decode()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], ["key", "piece", "text"])
 
-    data = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary").alias("data")
-    kept = docs.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "digest", "ordinal", data)
-    return kept.mapInArrow(cut, "doc_id long, digest string, ordinal long, piece int, first_word long, n_words int, text string")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    one = docs.select(key_of(F.col("doc_id"), digest_of(text)).alias("key"), text.cast("binary").alias("data")).groupBy("key").agg(F.first("data").alias("data"))
+    return one.mapInArrow(cut, "key string, piece int, text string")
 
 
 def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, longest: int | None = 2048, seed: int = 7, texts: bool = False, length: str | None = None) -> DataFrame:
@@ -111,9 +113,12 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, longest: int |
     of every piece of ``docs`` (doc_id, text), and with ``texts`` its text. ``length``: a column of lengths that stand for words;
     then, or without ``longest``, documents are packed whole."""
     space = Workspace(docs.sparkSession, "packing")
-    docs = numbered(docs.select("doc_id", "text", *[length] * bool(length)), space)
-    bare = space.save(pieces(docs, longest, length), "pieces")
-    grain = max(1, -(-(bare.agg(F.max("n_words")).first()[0] or 0) // CLASSES)) if longest is None or length else 1
+    longest = None if length else longest
+    words = word_count(F.col("text")) if length is None else F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0).cast("long"))
+    # documents are numbered by their digests, so no text moves
+    narrow = space.save(docs.select("doc_id", digest_of(F.col("text")).alias("text"), words.alias("words")), "narrow")
+    bare = space.save(pieces(numbered(narrow, space), longest), "pieces")
+    grain = max(1, -(-(bare.agg(F.max("n_words")).first()[0] or 0) // CLASSES)) if longest is None else 1
     rounded = (F.ceil(F.col("n_words") / grain) * grain).cast("long") if grain > 1 else F.col("n_words")
     histogram = bare.groupBy(rounded.alias("n_words")).agg(F.count("*").alias("n")).orderBy("n_words").collect()  # ``longest`` + 1 or ``CLASSES`` + 1 rows at most
     ends = bucket_ends(np.array([r["n_words"] for r in histogram]), np.array([r["n"] for r in histogram]), buckets)
@@ -131,13 +136,13 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, longest: int |
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = space.save(sizes.select("bucket", "shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "starts")
     order = Window.partitionBy("bucket", "shard").orderBy("lot", "doc_id", "piece", "digest", "ordinal")
-    cut = bare
-    if texts and length:
-        cut = text_pieces(docs, None).drop("n_words").join(bare.select("doc_id", "digest", "ordinal", "n_words").withColumnsRenamed({"doc_id": "i", "digest": "d", "ordinal": "o"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")) & (F.col("ordinal") == F.col("o")))
-    elif texts:
-        cut = text_pieces(docs, longest)
-    placed = dealt(cut).withColumn("place", F.row_number().over(order)).join(starts, ["bucket", "shard"])
+    placed = dealt(bare).withColumn("place", F.row_number().over(order)).join(starts, ["bucket", "shard"])
     number = F.col("start") + F.col("place") - 1
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
     placed = placed.withColumn("batch", F.floor(number / each).cast("long")).withColumn("slot", F.pmod(number, each).cast("int"))
-    return placed.select("doc_id", "piece", "first_word", "n_words", "bucket", "batch", "slot", *["text"] * texts)
+    out = ["doc_id", "piece", "first_word", "n_words", "bucket", "batch", "slot"]
+    if not texts:
+        return placed.select(out)
+    placed = space.save(placed.select(*out, key_of(F.col("doc_id"), F.col("digest")).alias("key")), "placed")
+    # one text of each different document goes to its pieces; a document that is repeated often is dealt
+    return attach(placed, text_pieces(docs, longest), ["key", "piece"]).select(*out, "text")
