@@ -1,45 +1,193 @@
-"""Geometry of protein structures, one structure at a time: contacts, exposure, dihedral angles, local superposition."""
+"""Geometry of protein structures: exposed surface, contacts, exposure of half spheres, backbone angles, local superposition.
+
+Neighbours are found in boxes. Space is cut into boxes of ``EDGE``; an atom is at home in one and a guest in each box that is within
+reach of it, eight at most when the reach is under half an edge. Boxes are grouped apart, so a task holds the atoms around one box
+and never a structure, however large it is; residues are joined to their neighbours along the chain by windows.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-
-FEATURES = "structure string, position int, residue string, n_contacts int, half_sphere_up int, half_sphere_down int, phi double, psi double"
-
-
-def dihedral(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> float:
-    """Angle in degrees between the planes of a, b, c and of b, c, d."""
-    axis = (c - b) / np.linalg.norm(c - b)
-    u, v = (a - b) - ((a - b) @ axis) * axis, (d - c) - ((d - c) @ axis) * axis
-    return float(np.degrees(np.arctan2(np.cross(axis, u) @ v, u @ v)))
-
-
-def residue_features(atoms: DataFrame, radius: float = 10.0, sphere: float = 13.0) -> DataFrame:
-    """Contacts of alpha carbons, half-sphere exposure and backbone angles of each residue; a structure is one group."""
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {name: part.drop_duplicates("position").set_index("position")[["x", "y", "z"]] for name, part in pdf.groupby("atom")}
-        ca = by.get("CA")
-        if ca is None:
-            return pd.DataFrame([], columns=["structure", "position", "residue", "n_contacts", "half_sphere_up", "half_sphere_down", "phi", "psi"])
-        names = pdf[pdf.atom == "CA"].drop_duplicates("position").set_index("position").residue
-        xyz, at = ca.to_numpy(), ca.index.to_numpy()
-        far = np.linalg.norm(xyz[:, None] - xyz[None], axis=2)
-        get = lambda atom, p: by[atom].loc[p].to_numpy() if atom in by and p in by[atom].index else None
-        rows = []
-        for i, p in enumerate(at):
-            side = get("CB", p)
-            toward = side - xyz[i] if side is not None else np.zeros(3)
-            near = (far[i] < sphere) & (far[i] > 0)
-            up = int(((xyz[near] - xyz[i]) @ toward > 0).sum())
-            around = [get("C", p - 1), get("N", p), xyz[i], get("C", p), get("N", p + 1)]
-            angle = lambda q: dihedral(*q) if all(x is not None for x in q) else None
-            rows.append((key[0], int(p), names.loc[p], int(((far[i] < radius) & (far[i] > 0)).sum()), up, int(near.sum()) - up, angle(around[:4]), angle(around[1:])))
-        return pd.DataFrame(rows, columns=["structure", "position", "residue", "n_contacts", "half_sphere_up", "half_sphere_down", "phi", "psi"])
-
-    return atoms.groupBy("structure").applyInPandas(one, FEATURES)
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+EDGE = 24.0
+# Radii of elements in angstroms, that of any other, the probe's, and the largest area of each residue (Tien et al.
+# 2013, theoretical) with that of any other.
+RADII = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "SE": 1.9}
+OTHER_RADIUS, PROBE = 1.8, 1.4
+LARGEST = {
+    "A": 129.0, "C": 167.0, "D": 193.0, "E": 223.0, "F": 240.0, "G": 104.0, "H": 224.0, "I": 197.0, "K": 236.0, "L": 201.0,
+    "M": 224.0, "N": 195.0, "P": 159.0, "Q": 225.0, "R": 274.0, "S": 155.0, "T": 172.0, "V": 174.0, "W": 285.0, "Y": 263.0,
+}
+OTHER_AREA, MOST_EXPOSED = 200.0, 1.5
+#: Ideal place of a missing CB, in terms of N to CA (b), CA to C (c) and b x c: published constants.
+IDEAL_CB = (-0.54067466, 0.56802827, -0.58273431)
+#: A CB farther than this from its CA belongs to no real residue; its contacts are counted in the boxes that its CA reaches.
+SIDE = 2.0
+#: Degrees of the backbone angles that count as helix: phi from, to, psi from, to; and as strand: phi from, to, psi beyond.
+HELIX, STRAND = (-160.0, -20.0, -120.0, 50.0), (-180.0, -45.0, 90.0, -150.0)
+
+
+def sphere(n: int) -> np.ndarray:
+    """``n`` points spread evenly over the unit sphere: equal steps along an axis, each turned on by the golden angle."""
+    i = np.arange(n)
+    z = 1 - (2 * i + 1) / n
+    turn = i * (math.pi * (3 - math.sqrt(5)))
+    flat = np.sqrt(1 - z * z)
+    return np.column_stack([flat * np.cos(turn), flat * np.sin(turn), z])
+
+
+def boxed(points: DataFrame, reach: float, edge: float = EDGE) -> DataFrame:
+    """``points`` (x, y, z and more) with box and whether each is at home there, in every box within ``reach``."""
+    cell = lambda c, by: F.floor((F.col(c) + by) / edge)
+    out = points
+    for c in ("x", "y", "z"):
+        out = out.withColumn(f"box_{c}", F.explode(F.sequence(cell(c, -reach), cell(c, reach))))
+    home = (F.col("box_x") == cell("x", 0)) & (F.col("box_y") == cell("y", 0)) & (F.col("box_z") == cell("z", 0))
+    return out.withColumn("home", home)
+
+
+BOX = ["structure", "box_x", "box_y", "box_z"]
+
+
+def exposed(xyz: np.ndarray, radius: np.ndarray, home: np.ndarray, points: np.ndarray, strip: int = 256) -> np.ndarray:
+    """Area of each atom of ``home`` that no other atom's sphere covers; ``radius`` includes the probe."""
+    at = np.nonzero(home)[0]
+    out = np.empty(len(at))
+    for i in range(0, len(at), strip):
+        own = at[i : i + strip]
+        apart = ((xyz[own, None] - xyz[None]) ** 2).sum(axis=2)
+        close = apart < (radius[own, None] + radius[None]) ** 2
+        close[np.arange(len(own)), own] = False
+        for k, atom in enumerate(own):
+            near = np.nonzero(close[k])[0]
+            surface = xyz[atom] + radius[atom] * points
+            covered = (((surface[:, None] - xyz[near][None]) ** 2).sum(axis=2) < radius[near] ** 2).any(axis=1)
+            out[i + k] = 4 * math.pi * radius[atom] ** 2 * (1 - covered.mean())
+    return out
+
+
+def one_of_each(atoms: DataFrame) -> DataFrame:
+    """The last of the atoms of one name in a residue, as it stands in the file; rows without coordinates are left out."""
+    known = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    last = known.groupBy("structure", "position", "atom").agg(F.max_by(F.struct("residue", "x", "y", "z", "b_factor"), "line").alias("a"))
+    return last.select("structure", "position", "atom", "a.*")
+
+
+def surface_areas(atoms: DataFrame, n: int = 96) -> DataFrame:
+    """area of each atom of ``one_of_each`` but hydrogens, by rolling a probe (``n`` points an atom)."""
+    table = F.create_map(*[F.lit(v) for pair in RADII.items() for v in pair])
+    element = F.when(F.startswith("atom", F.lit("SE")), "SE").otherwise(F.substring("atom", 1, 1))
+    spheres = atoms.filter(element != "H").withColumn("radius", F.coalesce(F.element_at(table, element), F.lit(OTHER_RADIUS)) + PROBE)
+    points = sphere(n)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        home = pdf.home.to_numpy(bool)
+        own = pdf.loc[home, ["structure", "position", "atom"]]
+        return own.iloc[:0].assign(area=0.0) if own.empty else own.assign(area=exposed(pdf[["x", "y", "z"]].to_numpy(float), pdf.radius.to_numpy(float), home, points))
+
+    reach = 2 * (max(*RADII.values(), OTHER_RADIUS) + PROBE)
+    placed = boxed(spheres.select("structure", "position", "atom", "x", "y", "z", "radius"), reach)
+    return placed.groupBy(BOX).applyInPandas(block, "structure string, position int, atom string, area double")
+
+
+def dihedral(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Angles in degrees between the planes of a, b, c and of b, c, d (rows of points); not a number where a point is missing."""
+    first, axis, last = b - a, c - b, d - c
+    beyond = np.cross(axis, last)
+    return np.degrees(np.arctan2(np.linalg.norm(axis, axis=1) * (first * beyond).sum(axis=1), (np.cross(first, axis) * beyond).sum(axis=1)))
+
+
+def _points(pdf: pd.DataFrame, name: str) -> np.ndarray:
+    return np.array([[np.nan] * 3 if v is None else v for v in pdf[name]], float).reshape(-1, 3)
+
+
+POINTS = "structure string, position int, residue string, n array<double>, ca array<double>, c array<double>, cb array<double>, confidence double"
+
+
+def residue_points(atoms: DataFrame) -> DataFrame:
+    """``POINTS``: a row for each residue of ``one_of_each`` with its backbone atoms, its CB (an ideal one where it has none, else
+    its CA) and its confidence."""
+    point = lambda name: F.max(F.when(F.col("atom") == name, F.array("x", "y", "z"))).alias(name.lower())
+    rows = atoms.groupBy("structure", "position").agg(F.max("residue").alias("residue"), *map(point, ("N", "CA", "C", "CB")), F.max(F.when(F.col("atom") == "CA", F.col("b_factor"))).alias("confidence"))
+
+    def with_side(parts):
+        for pdf in parts:
+            n, ca, c, cb = (_points(pdf, name) for name in ("n", "ca", "c", "cb"))
+            b, on = ca - n, c - ca
+            ideal = IDEAL_CB[0] * on + IDEAL_CB[1] * b + IDEAL_CB[2] * np.cross(b, on) + ca
+            cb = np.where(np.isnan(cb), np.where(np.isnan(ideal), ca, ideal), cb)
+            yield pdf.assign(cb=[None if np.isnan(v).any() else v for v in cb])
+
+    return rows.mapInPandas(with_side, POINTS)
+
+
+def backbone(points: DataFrame) -> DataFrame:
+    """phi, psi, helix, strand and curvature (the angle at the CA between those before and behind) of each residue."""
+    order = Window.partitionBy("structure").orderBy("position")
+    around = [F.lag("c").over(order).alias("c_before"), F.lead("n").over(order).alias("n_behind"), F.lag("ca").over(order).alias("ca_before"), F.lead("ca").over(order).alias("ca_behind")]
+
+    def angles(parts):
+        for pdf in parts:
+            n, ca, c, c_before, n_behind, before, behind = (_points(pdf, name) for name in ("n", "ca", "c", "c_before", "n_behind", "ca_before", "ca_behind"))
+            phi, psi = dihedral(c_before, n, ca, c), dihedral(n, ca, c, n_behind)
+            u, v = before - ca, behind - ca
+            with np.errstate(invalid="ignore", divide="ignore"):
+                bend = np.degrees(np.arccos(np.clip((u * v).sum(axis=1) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)), -1, 1)))
+                helix = (phi >= HELIX[0]) & (phi <= HELIX[1]) & (psi >= HELIX[2]) & (psi <= HELIX[3])
+                strand = (phi >= STRAND[0]) & (phi <= STRAND[1]) & ((psi >= STRAND[2]) | (psi <= STRAND[3]))
+            yield pdf[["structure", "position"]].assign(phi=phi, psi=psi, helix=helix, strand=strand & ~np.isnan(phi), curvature=bend)
+
+    made = points.select("structure", "position", "n", "ca", "c", *around).mapInPandas(angles, "structure string, position int, phi double, psi double, helix boolean, strand boolean, curvature double")
+    return made.select("structure", "position", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("phi", "psi")], "helix", "strand", F.nanvl("curvature", F.lit(None).cast("double")).alias("curvature"))
+
+
+def contacts(points: DataFrame, near: float = 8.0, far: float = 12.0, half: float = 13.0) -> DataFrame:
+    """contacts_near and contacts_far (other residues' CB within those distances) and half_sphere_up (other CA within ``half`` on
+    the side of the CB) of each residue with a CA."""
+    flat = points.filter("ca is not null").select("structure", "position", *[F.get("ca", F.lit(i)).alias(c) for i, c in enumerate("xyz")], *[F.get("cb", F.lit(i)).alias(f"cb_{c}") for i, c in enumerate("xyz")])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        home = np.nonzero(pdf.home.to_numpy(bool))[0]
+        ca, cb, out = pdf[["x", "y", "z"]].to_numpy(float), pdf[["cb_x", "cb_y", "cb_z"]].to_numpy(float), []
+        for i in home:
+            apart, toward = ((cb - cb[i]) ** 2).sum(axis=1), cb[i] - ca[i]
+            around = ((ca - ca[i]) ** 2).sum(axis=1) <= half**2
+            around[i] = False
+            up = int(((ca - ca[i]) @ toward > 0)[around].sum()) if (toward**2).sum() >= 1e-12 else 0
+            out.append((int((apart <= near**2).sum()) - 1, int((apart <= far**2).sum()) - 1, up))
+        if not out:
+            return pd.DataFrame([], columns=["structure", "position", "contacts_near", "contacts_far", "half_sphere_up"])
+        made = pd.DataFrame(out, columns=["contacts_near", "contacts_far", "half_sphere_up"])
+        return pdf.loc[home, ["structure", "position"]].reset_index(drop=True).join(made)
+
+    # boxes are of CA: those of two CB within ``far`` are as far apart at most as that and each one's way from its CB
+    out = "structure string, position int, contacts_near int, contacts_far int, half_sphere_up int"
+    return boxed(flat, max(half, far + 2 * SIDE)).groupBy(BOX).applyInPandas(block, out)
+
+
+def residue_features(atoms: DataFrame) -> DataFrame:
+    """structure, position, residue, confidence, area, exposure (of the residue's largest area), contacts, half sphere and backbone
+    of each residue of ``atoms`` (structure, line, atom, residue, position, x, y, z, b_factor)."""
+    kept = one_of_each(atoms)
+    points = residue_points(kept)
+    area = surface_areas(kept).groupBy("structure", "position").agg(F.sum("area").alias("area"))
+    largest = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in LARGEST.items() for v in pair]), F.col("residue")), F.lit(OTHER_AREA))
+    key = ["structure", "position"]
+    rows = points.select(*key, "residue", "confidence").join(area, key, "left").join(contacts(points), key, "left").join(backbone(points), key, "left")
+    return rows.withColumn("exposure", F.least(F.lit(MOST_EXPOSED), F.col("area") / largest))
+
+
+def mismatched(features: DataFrame, sequences: DataFrame) -> DataFrame:
+    """structure and n_wrong of structures whose residues are not those of ``sequences`` (structure, sequence): models of another
+    isoform, which are refused and never mapped."""
+    held = features.join(sequences, "structure")
+    fits = F.col("position").between(1, F.length("sequence")) & (F.substring(F.col("sequence"), F.col("position"), F.lit(1)) == F.coalesce("residue", F.lit("X")))
+    return held.filter(~fits).groupBy("structure").agg(F.count("*").alias("n_wrong"))
 
 
 def superposed_rmsd(a: np.ndarray, b: np.ndarray) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidara import schemas
 from evidara.functions import residues as R
+from evidara.operators import structure
 from evidara.operators.graph import shared_folder
 from evidara.plans.registry import query
 from evidara.plans.relational import table
@@ -308,6 +309,51 @@ def structure_confidence(spark, sf_dir):
     return nested.residue_confidence(nested.atoms(spark, path)).join(named, "structure").select(F.col("n_nationkey").alias("structure"), "position", "plddt", "band", "disordered")
 
 
+_NAMES = ("ALA", "GLY", "LEU", "TRP", "LYS")
+_COORDINATES = {"x": (7919, 104729), "y": (15485, 32452), "z": (49979, 86028)}
+#: Thousandths of an angstrom from 0 to 60,000, of a customer's atom number ``a``.
+_AT = ", ".join(f"((c_custkey * {k} + a * {s}) % 60000) / 1000.0::double as {c}" for c, (k, s) in _COORDINATES.items())
+
+
+@query("structure_surfaces", f"""
+with r as (select c_custkey, 's' || (c_custkey // 400) as structure, (c_custkey % 400 + 1)::int as position, c_custkey % 5 as kind from customer),
+t as (select c_custkey, structure, position, kind, unnest(range(case when kind = 1 then 3 else 4 end)) as a from r),
+p as (select *, ['N', 'CA', 'C', 'CB'][a::int + 1] as atom, [1.55, 1.7, 1.7, 1.7][a::int + 1]::double + 1.4::double as radius, {_AT} from t),
+s as (
+  select i, sqrt(1 - z * z) * cos(i * (pi() * (3 - sqrt(5::double)))) as u, sqrt(1 - z * z) * sin(i * (pi() * (3 - sqrt(5::double)))) as v, z as w
+  from (select i, 1 - (2 * i + 1) / 96.0::double as z from range(96) q(i))),
+n as (
+  select p.structure, p.position, p.a, q.x as nx, q.y as ny, q.z as nz, q.radius as nr from p join p q
+  on p.structure = q.structure and (p.position, p.a) <> (q.position, q.a) and (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 < (p.radius + q.radius) ** 2),
+h as (
+  select distinct p.structure, p.position, p.a, i from p join n using (structure, position, a) cross join s
+  where (x + radius * u - nx) ** 2 + (y + radius * v - ny) ** 2 + (z + radius * w - nz) ** 2 < nr ** 2),
+k as (select structure, position, a, count(*) as hidden from h group by all),
+e as (
+  select structure, position, sum(4 * pi() * radius ** 2 * (1 - coalesce(hidden, 0) / 96.0::double)) as area from p left join k using (structure, position, a) group by all),
+m as (select a.structure, a.position, a.x, a.y, a.z, b.x as bx, b.y as b_y, b.z as bz from p a join p b using (structure, position) where a.atom = 'CA' and b.atom = 'CB'),
+c as (
+  select m.structure, m.position, count_if((m.bx - o.bx) ** 2 + (m.b_y - o.b_y) ** 2 + (m.bz - o.bz) ** 2 <= 64) as near,
+    count_if((m.x - o.x) ** 2 + (m.y - o.y) ** 2 + (m.z - o.z) ** 2 <= 169 and (o.x - m.x) * (m.bx - m.x) + (o.y - m.y) * (m.b_y - m.y) + (o.z - m.z) * (m.bz - m.z) > 0) as up
+  from m join m o on m.structure = o.structure and m.position <> o.position group by all)
+select r.structure, r.position, ['A', 'G', 'L', 'W', 'K'][kind::int + 1] as residue, round(area, 4) as area,
+  round(least(1.5, area / [129.0, 104.0, 201.0, 285.0, 236.0][kind::int + 1]), 6)::double as exposure
+from r join e using (structure, position)""")
+def structure_surfaces(spark, sf_dir):
+    """Exposed surface of the residues in structure files that are written from customers, 400 residues a structure."""
+    rows = table(spark, sf_dir, "customer").withColumn("kind", F.col("c_custkey") % 5).withColumn("position", (F.col("c_custkey") % 400 + 1).cast("int"))
+    each = rows.withColumn("a", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 1, 2).otherwise(3))))
+    at = [((F.col("c_custkey") * k + F.col("a") * s) % 60000) / 1000 for k, s in _COORDINATES.values()]
+    name = F.get(F.array(*map(F.lit, ("N  ", "CA ", "C  ", "CB "))), F.col("a"))
+    line = F.format_string("ATOM  %5d  %s %s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.col("position"), name, _pick(F.col("c_custkey"), *_NAMES), F.col("position"), *at, F.lit(1.0), F.lit(80.0))
+    path = _place(spark, "surfaces")
+    files = each.groupBy(F.concat(F.lit("s"), F.floor(F.col("c_custkey") / 400)).alias("model")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("value"))
+    files.write.partitionBy("model").text(path)  # a file is one structure, of 1,600 lines at most
+    atoms = nested.atoms(spark, path, F.regexp_extract("_metadata.file_path", "model=([^/]+)/", 1))
+    made = structure.residue_features(atoms)
+    return made.select("structure", "position", "residue", F.round("area", 4).alias("area"), F.round("exposure", 6).alias("exposure"))
+
+
 # Text sources
 
 def _escaped(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,11 +87,12 @@ def entry_intervals(spark: SparkSession, path: str) -> DataFrame:
     return loc.select("uniprot_id", "entry", "name", "type", F.explode("l.fragments").alias("f")).select("uniprot_id", "entry", "name", "type", "f.start", "f.end").distinct()
 
 
-def atoms(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of the first model of each structure file, alternative location A or none, by fixed columns."""
+def atoms(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """Atoms of the first model of each structure file, alternative location A or none, by fixed columns. A structure is called
+    after its file, or by ``name``, an expression over ``_metadata``."""
     from evidara.sources.delimited import ordinal
 
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("structure"), F.posexplode(F.split(F.substring_index("value", "\nENDMDL", 1), "\n")).alias("line", "value"))
+    rows = spark.read.text(path, wholetext=True).select((F.col("_metadata.file_name") if name is None else name).alias("structure"), F.posexplode(F.split(F.substring_index("value", "\nENDMDL", 1), "\n")).alias("line", "value"))
     assert ordinal
     cut = lambda a, n: F.trim(F.substring("value", a, n))
     out = rows.filter(F.col("value").startswith("ATOM") & F.substring("value", 17, 1).isin(" ", "A"))
