@@ -285,19 +285,72 @@ def span_f1(matched: DataFrame) -> DataFrame:
     return sums.select(share(tp, p).alias("precision"), share(tp, g).alias("recall"), share(2 * tp, p + g).alias("f1"))
 
 
-def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
-    """Share of pairs in which x is larger (ties half) and a two-sided p-value by the normal approximation with tie correction."""
-    n, m = len(x), len(y)
+#: Pairs of rows up to which the distribution of a rank sum is counted exactly.
+EXACT_PAIRS = 4000
+
+
+def rank_counts(n: int, m: int) -> np.ndarray:
+    """Of all ways to draw ``n`` of ``n`` + ``m`` ranks, how many have each value of U (from 0 to n * m), as a share."""
+    ways = np.zeros(n * m + 1)
+    ways[0] = 1.0
+    for k in range(1, n + 1):  # times (1 - q^(m + k)) / (1 - q^k), one step of the Gaussian binomial
+        if m + k < len(ways):
+            ways[m + k :] -= ways[: -(m + k)].copy()
+        for i in range(k, len(ways)):
+            ways[i] += ways[i - k]
+    return ways / ways.sum()
+
+
+def rank_test(u2: int, n: int, m: int, ties: float) -> tuple[float | None, float | None]:
+    """Share of pairs in which x is larger (ties half) and a two-sided p-value, from twice U, both sizes and the sum of t^3 - t over
+    tied values: exact without ties and up to ``EXACT_PAIRS`` pairs, else normal with tie and continuity correction."""
     if not n or not m:
         return None, None
-    both = pd.Series(np.r_[x, y])
-    u = both.rank()[:n].sum() - n * (n + 1) / 2
-    ties = both.value_counts().to_numpy()
-    variance = n * m / 12 * (n + m + 1 - (ties**3 - ties).sum() / max(1, (n + m) * (n + m - 1)))
+    u, pairs = u2 / 2, n * m
+    if not ties and pairs <= EXACT_PAIRS:
+        ways = rank_counts(min(n, m), max(n, m))
+        return u / pairs, min(1.0, 2 * float(ways[round(max(u, pairs - u)) :].sum()))
+    variance = pairs / 12 * (n + m + 1 - ties / max(1, (n + m) * (n + m - 1)))
     if variance <= 0:
-        return u / (n * m), 1.0
-    z = max(0.0, abs(u - n * m / 2) - 0.5) / math.sqrt(variance)
-    return float(u / (n * m)), math.erfc(z / math.sqrt(2))
+        return u / pairs, 1.0
+    z = max(0.0, abs(u - pairs / 2) - 0.5) / math.sqrt(variance)
+    return u / pairs, math.erfc(z / math.sqrt(2))
+
+
+def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
+    """``rank_test`` of two samples in memory."""
+    both = pd.Series(np.r_[x, y])
+    t = both.value_counts().to_numpy().astype(float)
+    return rank_test(round(2 * both.rank()[: len(x)].sum() - len(x) * (len(x) + 1)), len(x), len(y), float((t**3 - t).sum()))
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """Chance of a chi-square of ``df`` degrees above ``x``: the regularised upper incomplete gamma, by series or by continued
+    fraction."""
+    a, z = df / 2, x / 2
+    if df <= 0 or z <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= z / k
+            total += term
+        return max(0.0, 1 - total * scale)
+    b, c = z + 1 - a, 1e300
+    d = 1 / b
+    h = d
+    for i in range(1, 10_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b)
+        c = b + step / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * scale
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
@@ -312,20 +365,67 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(p for k in range(max(0, row + column - n), min(row, column) + 1) if (p := chance(k)) <= seen * (1 + 1e-9)))
 
 
-def covariate_tests(rows: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
-    """How each covariate differs between rows with and without an outcome: an exact test for 0/1 columns, else ranks; with
-    p-values adjusted for the number of covariates. ``rows`` are the errors of one evaluation."""
+def rank_sums(rows: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
+    """covariate, n and m (rows with and without the outcome), u2 (twice Mann and Whitney's U), ties (the sum of t^3 - t over
+    values), effect (U over all pairs), distinct values, and ones and ones_rest (rows of value 1) where all are 0 or 1. Values are
+    counted first and ranked in ranges, so no task holds a covariate."""
+    from evidara.operators.ranking import tie_counts
+
+    y = F.col(outcome).cast("int").alias("__y")
+    long = rows.select(y, *[F.col(c).cast("double").alias(c) for c in covariates]).unpivot(["__y"], list(covariates), "covariate", "value").dropna()
+    tied = tie_counts(long.filter(~F.isnan("value")), ["covariate"], "value", {"with": F.col("__y"), "rest": 1 - F.col("__y")})
+    here, rest = F.col("n_with"), F.col("n_rest")
+    size = (here + rest).cast("double")
+    one = lambda c: F.sum(F.when(F.col("value") == 1, c).otherwise(0))
+    found = tied.groupBy("covariate").agg(
+        F.sum(here).alias("n"), F.sum(rest).alias("m"), F.sum((here * (2 * F.col("le_rest") - rest)).cast("decimal(38,0)")).alias("u2"), F.sum(size * size * size - size).alias("ties"),
+        F.count("*").alias("n_values"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("binary"), one(here).alias("ones"), one(rest).alias("ones_rest"),
+    )
+    pairs = F.col("n").cast("double") * F.col("m")
+    return found.withColumn("effect", F.when(pairs > 0, F.col("u2").cast("double") / 2 / pairs))
+
+
+def level_counts(rows: DataFrame, outcome: str, covariates: Sequence[str], least: int = 1) -> DataFrame:
+    """covariate, levels (those of ``least`` rows or more), n and chi2 (of level by outcome; with Yates' correction for two levels) of
+    each nominal covariate."""
+    y = F.col(outcome).cast("int").alias("__y")
+    long = rows.select(y, *[F.col(c).cast("string").alias(c) for c in covariates]).unpivot(["__y"], list(covariates), "covariate", "level").dropna()
+    cells = long.groupBy("covariate", "level").agg(F.sum("__y").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    totals = cells.groupBy("covariate").agg(F.sum("a").alias("all_a"), F.sum("n").alias("all_n"), F.count("*").alias("levels"))
+    share = F.col("all_a") / F.col("all_n")
+    away = F.abs(F.col("a") - F.col("n") * share)
+    away = F.when(F.col("levels") == 2, F.greatest(away - 0.5, F.lit(0.0))).otherwise(away)
+    cell = F.when((share > 0) & (share < 1), away * away / (F.col("n") * share) + away * away / (F.col("n") * (1 - share))).otherwise(0.0)
+    return cells.join(totals, "covariate").groupBy("covariate", "levels").agg(F.sum("n").alias("n"), F.sum(cell).alias("chi2"))
+
+
+def covariate_tests(rows: DataFrame, outcome: str, covariates: Sequence[str], nominal: Sequence[str] = ()) -> DataFrame:
+    """How each covariate differs between rows with and without an outcome: Fisher's exact test for 0/1 columns, ranks for numbers,
+    chi-square for ``nominal`` ones (effect: Cramer's V); with p-values adjusted for the number of covariates. Only a row of sums for
+    each covariate reaches the tests. Null and not-a-number values do not count; a nominal covariate of one level has no p-value."""
     from evidara.operators.metrics import benjamini_hochberg
 
-    long = rows.select(F.col(outcome).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in covariates]).unpivot(["y"], list(covariates), "covariate", "value").dropna()
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.y == 1].value.to_numpy(), pdf[pdf.y == 0].value.to_numpy()
-        if set(pdf.value) <= {0.0, 1.0}:
-            a, c = int(x.sum()), int(y.sum())
-            effect = (a / len(x) if len(x) else 0.0) - (c / len(y) if len(y) else 0.0)
-            return pd.DataFrame([(key[0], "exact", len(pdf), effect, fisher_exact(a, len(x) - a, c, len(y) - c))])
-        effect, p = mann_whitney(x, y)
-        return pd.DataFrame([(key[0], "ranks", len(pdf), effect, p)])
-
-    return benjamini_hochberg(long.groupBy("covariate").applyInPandas(one, "covariate string, test string, n long, effect double, p double"), "p")
+    out = "covariate string, test string, n long, effect double, p double"
+
+    def by_ranks(parts):
+        for pdf in parts:
+            told = []
+            for r in pdf.itertuples():
+                n, m = int(r.n), int(r.m)
+                if r.binary:
+                    a, c = int(r.ones), int(r.ones_rest)
+                    effect, p = (a / n if n else 0.0) - (c / m if m else 0.0), fisher_exact(a, n - a, c, m - c)
+                else:
+                    effect, p = rank_test(int(r.u2), n, m, float(r.ties))
+                told.append((r.covariate, "exact" if r.binary else "ranks", n + m, effect, p))
+            yield pd.DataFrame(told, columns=["covariate", "test", "n", "effect", "p"])
+
+    def by_levels(parts):
+        for pdf in parts:
+            told = [(r.covariate, "chi2", int(r.n), math.sqrt(r.chi2 / r.n), chi_square_tail(float(r.chi2), int(r.levels) - 1) if r.levels > 1 else None) for r in pdf.itertuples()]
+            yield pd.DataFrame(told, columns=["covariate", "test", "n", "effect", "p"])
+
+    found = rank_sums(rows, outcome, covariates).mapInPandas(by_ranks, out)
+    if nominal:
+        found = found.union(level_counts(rows, outcome, nominal).mapInPandas(by_levels, out))
+    return benjamini_hochberg(found, "p")

@@ -11,12 +11,18 @@ from evidara.plans.registry import query
 from evidara.plans.relational import table
 
 
-@query("task_policies", """
-select task, true as mask_conclusions, task not in ('classify_from_codes', 'pretraining') as mask_codes, 4::int as n_forbidden
-from (select unnest(['classify', 'classify_from_codes', 'acmg_codes', 'evidence_type', 'evidence_polarity', 'vus_priority', 'explanation', 'pretraining']) as task)""")
+_TASKS = ["classify", "classify_from_codes", "acmg_codes", "evidence_type", "evidence_polarity", "vus_priority", "explanation", "pretraining"]
+
+
+@query("task_policies", f"""
+with t as (select {_TASKS}[(doc_id % 8)::int + 1] as task, text from documents)
+select task, true as mask_conclusions, task not in ('classify_from_codes', 'pretraining') as mask_codes, 4::int as n_forbidden, count(*) as n_documents, count_if(length(text) > 1000) as n_long from t group by task""")
 def task_policies(spark, sf_dir):
-    """U32: what each task masks."""
-    return provenance.policy_table(spark)
+    """U32: what each task masks in the documents that are dealt to it."""
+    task = F.get(F.array(*map(F.lit, _TASKS)), (F.col("doc_id") % 8).cast("int")).alias("task")
+    docs = table(spark, sf_dir, "documents").select(task, F.coalesce(F.length("text") > 1000, F.lit(False)).alias("long"))
+    held = docs.groupBy("task").agg(F.count("*").alias("n_documents"), F.count_if("long").alias("n_long"))
+    return provenance.policy_table(spark).join(held, "task")
 
 
 @query("applicable_codes", """
@@ -315,10 +321,26 @@ def answer_citations(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", passages.citations_udf(answer, F.lit(3)).alias("c")).select("item_id", "c.n_claims", "c.n_cited", F.array_join("c.wrong", ",").alias("wrong"))
 
 
-@query("masked_codes", "select doc_id, 'Applied here.' as text, 2 as n_codes, 'PM2:true,PP3:true' as found, 'classification_statement' as verdict, 'pathogenic' as direction from documents")
+_CODES = (["PM2", "PS3", "PVS1", "PM5"], ["", "_supporting", " strong", "-moderate"], ["PP3", "BP4", "BS1"], ["BA1", "PP5", "BP7", "PS1", "PM1"], ["pathogenic", "likely pathogenic", "benign", "likely benign"])
+
+
+@query("masked_codes", rf"""
+with c as (
+  select doc_id, coalesce(text, '') as text, {_CODES[0]}[(doc_id % 4)::int + 1] as a, {_CODES[2]}[(doc_id % 3)::int + 1] as b, {_CODES[3]}[(doc_id % 5)::int + 1] as c, {_CODES[4]}[(doc_id % 4)::int + 1] as word from documents),
+m as (
+  select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || '; applied (, ) here; ' || case when doc_id % 6 = 0 then ' was not met' else ' was met' end,
+    '\(\s*[,;\s]*\)|\[\s*[,;\s]*\]', '', 'g'), '(?:\s*,){{2,}}', ',', 'g'), '[ \t]{{2,}}', ' ', 'g'), '\s+([.,;:])', '\1', 'g') as masked from c)
+select doc_id, sha256(regexp_replace(masked, '^\s+|\s+$', '', 'g')) as text_sha256, 3 as n_codes, a || ':true,' || b || ':true,' || c || ':' || (doc_id % 6 <> 0) as found,
+  'classification_statement' as verdict, case when word like '%benign' then 'benign' else 'pathogenic' end as direction from m""")
 def masked_codes(spark, sf_dir):
-    """criteria codes found and masked, a sentence's verdict and the direction of its evidence."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Applied (PM2, PP3) here."), F.substring("text", 1, 0)).alias("said"))
-    made = docs.select("doc_id", passages.codes_masked_udf(F.col("said")).alias("m"), passages.codes_udf(F.col("said")).alias("c"), passages.verdict_udf(F.concat(F.col("said"), F.lit(" It is likely pathogenic."))).alias("v"))
+    """criteria codes of various strengths behind whole documents, found and masked; a sentence's verdict and the
+    direction of its evidence."""
+    pick = lambda i, by: F.get(F.array(*map(F.lit, _CODES[i])), (by % len(_CODES[i])).cast("int"))
+    k = F.col("doc_id")
+    met = F.when(k % 6 == 0, " was not met").otherwise(" was met")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("; applied ("), pick(0, k), pick(1, F.floor(k / 4)), F.lit(", "), pick(2, k), F.lit(") here; "), pick(3, k), met)
+    verdict = F.concat(F.lit("This variant is classified as "), pick(4, k), F.lit("."))
+    docs = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"), verdict.alias("verdict"))
+    made = docs.select("doc_id", passages.codes_masked_udf(F.col("said")).alias("m"), passages.codes_udf(F.col("said")).alias("c"), passages.verdict_udf(F.col("verdict")).alias("v"))
     found = F.array_join(F.transform("c", lambda x: F.concat(x["code"], F.lit(":"), x["met"].cast("string"))), ",")
-    return made.select("doc_id", "m.text", "m.n_codes", found.alias("found"), "v.verdict", "v.direction")
+    return made.select("doc_id", F.sha2("m.text", 256).alias("text_sha256"), "m.n_codes", found.alias("found"), "v.verdict", "v.direction")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions import arrays
-from evidara.operators import metrics, ranking
+from evidara.operators import metrics, ranking, resample
 from evidara.plans.registry import query
 from evidara.plans.relational import table
 
@@ -311,3 +311,31 @@ def mutual_information(spark, sf_dir):
 def abstain_reasons(spark, sf_dir):
     found = arrays.abstain(F.slice("embedding", 1, 4), 0.1, evidence=F.col("vec_id") % 7)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(found, "|").alias("reasons"))
+
+
+@query("covariate_rank_sums", """
+with o as (select (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as y, o_totalprice, (o_custkey % 50)::double as custkey, (o_orderkey % 3 = 0)::int::double as third, case when o_orderkey % 7 > 0 then (o_orderkey % 1000) / 8 end as partly from orders),
+l as (select 'o_totalprice' as covariate, y, o_totalprice as value from o union all select 'custkey', y, custkey from o union all select 'third', y, third from o union all select 'partly', y, partly from o where partly is not null),
+r as (select covariate, y, value, rank() over (partition by covariate order by value) + (count(*) over (partition by covariate, value) - 1) / 2.0::double as rk from l),
+t as (select covariate, sum(c::double ** 3 - c) as ties, count(*) as n_values from (select covariate, value, count(*) as c from l group by all) group by 1),
+s as (select covariate, sum(y)::bigint as n, sum(1 - y)::bigint as m, sum(case when y = 1 then rk end) as sum_rank, sum((value = 1)::int * y)::bigint as ones from r group by 1)
+select covariate, n, m, round(2 * sum_rank - n::double * (n + 1))::double as u2, ties::double as ties, n_values, case when covariate = 'third' then ones end as ones,
+  round((sum_rank - n::double * (n + 1) / 2) / (n::double * m), 9) as effect from s join t using (covariate)""")
+def covariate_rank_sums(spark, sf_dir):
+    """Tie-corrected rank sums of covariates between urgent and other orders."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("y")
+    partly = F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_orderkey") % 1000) / 8).alias("partly")
+    rows = table(spark, sf_dir, "orders").select(urgent, "o_totalprice", (F.col("o_custkey") % 50).alias("custkey"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("third"), partly)
+    found = resample.rank_sums(rows, "y", ["o_totalprice", "custkey", "third", "partly"])
+    return found.select("covariate", "n", "m", F.col("u2").cast("double").alias("u2"), "ties", "n_values", F.when(F.col("binary"), F.col("ones")).alias("ones"), F.round("effect", 9).alias("effect"))
+
+
+@query("covariate_levels", """
+with o as (select (o_orderstatus = 'F')::int as y, o_orderpriority as level from orders), c as (select level, sum(y) as a, count(*) as n from o group by 1 having count(*) >= 5),
+t as (select sum(a) / sum(n)::double as share from c)
+select 'priority' as covariate, count(*) as levels, sum(n)::bigint as n, round(sum((a - n * share) ** 2 / (n * share) + (a - n * share) ** 2 / (n * (1 - share))), 6) as chi2 from c cross join t""")
+def covariate_levels(spark, sf_dir):
+    """Chi-square of a nominal covariate."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_orderpriority").alias("priority"))
+    found = resample.level_counts(rows, "y", ["priority"])
+    return found.select("covariate", "levels", "n", F.round("chi2", 6).alias("chi2"))
