@@ -71,9 +71,11 @@ def fuse(rankings: Sequence[DataFrame], key: str, query: str = "query_id", const
 
 
 def hybrid(documents: DataFrame, queries: DataFrame, key: str, k: int = 6, candidates: int = 40) -> DataFrame:
-    """BM25 and vectors, ``candidates`` of each, fused, the best k."""
+    """BM25 and vectors, ``candidates`` of each, fused, the best k. Terms are scored to six decimals, so that no tie hangs on the
+    order of a sum; a query that is null or empty in one of the two is answered by the other."""
     terms = tokenised(documents, key, "text")
-    words = top_k_by_group(bm25(postings(terms, key), corpus_figures(documents, terms), queries, key), ["query_id"], "score", key, candidates)
+    scored = bm25(postings(terms, key), corpus_figures(documents, terms), queries, key).withColumn("score", F.round("score", 6))
+    words = top_k_by_group(scored, ["query_id"], "score", key, candidates)
     near = vector_top(documents, queries, candidates, key)
     return fuse([words, near], key).filter(F.col("rank") <= k)
 

@@ -104,6 +104,39 @@ def bm25_search(spark, sf_dir):
     return search.top_k_by_group(scored, ["query_id"], "score", "doc_id", 5)
 
 
+@query("hybrid_search", f"""
+with vectors as (select vec_id, embedding::double[] as x from embeddings), documents as (select d.doc_id, d.text, x from main.documents d join vectors on doc_id = vec_id), {_BM25},
+a as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from s qualify rank <= 40),
+v as (
+  select item_id as query_id, d.doc_id, list_inner_product(q.x, d.x) / (sqrt(list_inner_product(q.x, q.x)) * sqrt(list_inner_product(d.x, d.x))) as score
+  from benchmark join vectors q on item_id = q.vec_id cross join documents d),
+b as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from v where score > 0 qualify rank <= 40),
+fused as (select query_id, doc_id, sum(1 / (60.0::double + rank)) as score from (select * from a union all select * from b) group by all)
+select query_id, doc_id, round(score, 9) as score, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from fused qualify rank <= 6""")
+def hybrid_search(spark, sf_dir):
+    """Benchmark items as queries, by their text and by the vector of their number, over documents that have a vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding")
+    queries = asked(spark, sf_dir).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "text", "embedding")
+    found = search.hybrid(docs, asked(spark, sf_dir).join(queries.select("query_id", "embedding"), "query_id", "left"), "doc_id")
+    return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("as_of_documents", """
+select o_orderkey, o_custkey from orders where strftime(o_orderdate, '%Y-%m-%d') <= '1996-06-30' and o_custkey not in (select c_custkey from customer where c_nationkey % 3 = 0)""")
+def as_of_documents(spark, sf_dir):
+    """Orders as documents known by a date, without those of excluded customers."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    gone = table(spark, sf_dir, "customer").filter("c_nationkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return search.as_of(docs, "1996-06-30", gone, on="o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("every_tenth_document", "select doc_id from documents where floor(('0x' || substr(sha1('3:' || doc_id::varchar), 1, 13))::bigint / 4503599627370496.0::double * 10) = 0")
+def every_tenth_document(spark, sf_dir):
+    """The sampling operator over all documents."""
+    return corpus.every_kth(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10, 3)
+
+
 @query("rank_fusion", """
 with a as (select p_brand as query_id, p_partkey, row_number() over (partition by p_brand order by p_size desc, p_partkey) as rank from part), b as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as rank from part),
 u as (select * from a where rank <= 10 union all select * from b where rank <= 10), s as (select query_id, p_partkey, sum(1.0::double / (60 + rank)) as score from u group by all)
