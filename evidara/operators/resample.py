@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evidara.functions.hashing import derived_seed
 
@@ -32,10 +31,6 @@ def renewed(rows: DataFrame) -> DataFrame:
     return named.toDF(*rows.columns)
 
 
-def with_double(rows: DataFrame, name: str) -> StructType:
-    return StructType([*rows.schema.fields, StructField(name, DoubleType())])
-
-
 def _none(x: float) -> float | None:
     return None if x is None or not math.isfinite(x) else float(x)
 
@@ -223,39 +218,6 @@ def calibration_slope(rows: DataFrame, group: str, label: str, score: str) -> Da
     return score_counts(rows, group, label, score).groupBy(group).applyInPandas(one, f"`{group}` {dict(rows.dtypes)[group]}, slope double, intercept double")
 
 
-def ridge_gcv(x: np.ndarray, y: np.ndarray, alphas: Sequence[float]) -> tuple[np.ndarray, float, float]:
-    """Ridge weights, intercept and the penalty of least leave-one-out error (closed form from one decomposition)."""
-    mx, my = x.mean(axis=0), y.mean()
-    u, s, vt = np.linalg.svd(x - mx, full_matrices=False)
-    uy = u.T @ (y - my)
-    best = None
-    for alpha in alphas:
-        d = s**2 / (s**2 + alpha)
-        left = (y - my - u @ (d * uy)) / (1 - (u**2 @ d) - 1 / len(y))
-        error = float((left**2).mean())
-        if best is None or error < best[0]:
-            best = (error, alpha)
-    w = vt.T @ (s / (s**2 + best[1]) * uy)
-    return w, float(my - mx @ w), best[1]
-
-
-def out_of_fold_ridge(rows: DataFrame, assay: str, features: Sequence[str], target: str, fold: str, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
-    """Every row's prediction by a ridge model of its assay's other folds."""
-    features = list(features)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.full(len(pdf), np.nan)
-        x, y, f = pdf[features].to_numpy(float), pdf[target].to_numpy(float), pdf[fold].to_numpy()
-        for k in sorted(set(f)):
-            train = f != k
-            if train.sum() > 2:
-                w, b, _ = ridge_gcv(x[train], y[train], alphas)
-                out[~train] = x[~train] @ w + b
-        return pdf.assign(predicted=out)
-
-    return rows.groupBy(assay).applyInPandas(one, with_double(rows, "predicted"))
-
-
 def match_spans(predicted: DataFrame, gold: DataFrame, document: str, least: float = 0.5) -> DataFrame:
     """(document, label, tp, n_predicted, n_gold): spans (start, end, label) matched one to one, the largest overlap first."""
 

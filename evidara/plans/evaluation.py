@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions import arrays
-from evidara.operators import metrics, ranking, resample
+from evidara.operators import metrics, ranking, resample, ridge
 from evidara.plans.registry import query
 from evidara.plans.relational import table
 
@@ -339,3 +339,65 @@ def covariate_levels(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_orderpriority").alias("priority"))
     found = resample.level_counts(rows, "y", ["priority"])
     return found.select("covariate", "levels", "n", F.round("chi2", 6).alias("chi2"))
+
+
+#: Ridge on two columns (a, b) by cells (g) and folds (f), solved by Cramer's rule, over a table r; the chosen models are in c.
+_RIDGE = """k as (select distinct g, f as k from r),
+m as (select g, k, count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my from r join k using (g) where f <> k group by all),
+s as (select g, k, n, ma, mb, my, sum((a - ma) ** 2) as aa, sum((a - ma) * (b - mb)) as ab, sum((b - mb) ** 2) as bb, sum((a - ma) * (y - my)) as ay, sum((b - mb) * (y - my)) as bt from r join m using (g) where f <> k group by all),
+p as (select *, (aa + al) * (bb + al) - ab * ab as det from s cross join (select unnest([1.0::double, 100.0::double, 10000.0::double]) as al)),
+w as (select *, ((bb + al) * ay - ab * bt) / det as wa, ((aa + al) * bt - ab * ay) / det as wb from p),
+e as (select g, k, al, avg(((y - my - wa * (a - ma) - wb * (b - mb)) / (1 - 1.0::double / n - ((bb + al) * (a - ma) ** 2 - 2 * ab * (a - ma) * (b - mb) + (aa + al) * (b - mb) ** 2) / det)) ** 2) as err from r join w using (g) where f <> k group by all),
+c as (select w.* from w join (select g, k, arg_min(al, err) as al from e group by all) using (g, k, al)),
+o as (select r.*, my + wa * (a - ma) + wb * (b - mb) as predicted, al from r join c on r.g = c.g and r.f = c.k)"""
+_PENALTIES = [1.0, 100.0, 10000.0]
+
+
+def _priced(spark, sf_dir):
+    """Lines with a price to be told from quantity and discount; the kind of a line is its assay."""
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    kind = F.concat("l_returnflag", "l_linestatus").alias("kind")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", kind, (F.col("l_orderkey") % 5).alias("fold"), (F.col("l_partkey") % 4).alias("part_fold"), number("l_quantity", "quantity"), (F.col("l_discount") * 100).alias("discount"), number("l_extendedprice", "price"))
+
+
+_PRICED = "l as (select l_orderkey, l_linenumber, l_partkey, l_returnflag || l_linestatus as kind, l_orderkey % 5 as fold, l_partkey % 4 as part_fold, l_quantity as a, l_discount * 100 as b, l_extendedprice as y from lineitem)"
+
+
+@query("out_of_fold_ridge", f"""
+with {_PRICED}, r as (select l_orderkey, l_linenumber, l_partkey, kind as g, fold as f, a, b, y from l), {_RIDGE}
+select l_orderkey, l_linenumber, l_partkey, round(predicted, 5) as predicted, al as alpha from o""")
+def out_of_fold_ridge(spark, sf_dir):
+    """Prices predicted by ridge models of the other folds, penalties chosen by leave-one-out errors."""
+    done = ridge.out_of_fold_ridge(_priced(spark, sf_dir), "kind", ["quantity", "discount"], "price", "fold", _PENALTIES)
+    return done.select("l_orderkey", "l_linenumber", "l_partkey", F.round("predicted", 5).alias("predicted"), "alpha")
+
+
+@query("individual_and_combined", f"""
+with {_PRICED}, r as (select kind, kind as g, fold as f, a, b, y from l union all select kind, 'all', part_fold, a, b, y from l), {_RIDGE},
+q as (select g, kind, rank() over (partition by g, kind order by predicted) + (count(*) over (partition by g, kind, predicted) - 1) / 2.0::double as x,
+  rank() over (partition by g, kind order by y) + (count(*) over (partition by g, kind, y) - 1) / 2.0::double as z from o),
+t as (select g, kind, count(*) as n, corr(x, z) as rho from q group by all)
+select i.kind, i.n, round(i.rho, 9) as individual, round(j.rho, 9) as combined, round(j.rho - i.rho, 9) as gain from t i join t j on i.kind = j.kind and i.g <> 'all' and j.g = 'all'""")
+def individual_and_combined(spark, sf_dir):
+    """Rank correlation of prices with models of one kind of line and with one model of all kinds."""
+    done = ridge.individual_and_combined(_priced(spark, sf_dir), "kind", ["quantity", "discount"], "price", "fold", "part_fold", _PENALTIES)
+    return done.select("kind", "n", *[F.round(c, 9).alias(c) for c in ("individual", "combined", "gain")])
+
+
+@query("against_published", """
+with a as (select p_brand as brand, l_quantity as q, l_extendedprice as y, l_discount as z from lineitem join part on l_partkey = p_partkey),
+k as (select brand, rank() over (partition by brand order by q) + (count(*) over (partition by brand, q) - 1) / 2.0::double as rq, rank() over (partition by brand order by y) + (count(*) over (partition by brand, y) - 1) / 2.0::double as ry,
+  rank() over (partition by brand order by z) + (count(*) over (partition by brand, z) - 1) / 2.0::double as rz from a),
+c as (select brand, corr(rq, ry) as ours, case when brand <> 'Brand#11' then corr(rq, ry) + corr(rq, rz) end as published from k group by 1),
+r as (select *, ours - published as gap from c),
+b as (select corr(ours, published) as pearson, corr(ro, rp) as rank_correlation from (select ours, published, rank() over (order by ours)::double as ro, rank() over (order by published)::double as rp from r where gap is not null))
+select count(*) as assays, count(gap) as compared, round(avg(ours), 9) as mean_ours, round(avg(published), 9) as mean_published, round(avg(abs(gap)), 9) as mean_abs_diff, avg((abs(gap) <= 0.02)::int) as within_002, avg((abs(gap) <= 0.05)::int) as within_005,
+  round(median(gap), 9) as median_diff, round(any_value(pearson), 9) as pearson, round(any_value(rank_correlation), 9) as rank_correlation from r cross join b""")
+def against_published(spark, sf_dir):
+    """Own correlations of each assay beside others' (those of the price with the quantity, by brand, against a shifted copy)."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand")), "l_partkey")
+    ours = metrics.spearman(rows, ["brand"], "l_quantity", "l_extendedprice").select("brand", "spearman")
+    shift = metrics.spearman(rows, ["brand"], "l_quantity", "l_discount").select("brand", F.col("spearman").alias("shift"))
+    published = ours.join(shift, "brand").filter("brand != 'Brand#11'").select("brand", (F.col("spearman") + F.col("shift")).alias("published"))
+    done = ridge.against_published(ours, published, "brand")
+    return done.select("assays", "compared", "within_002", "within_005", *[F.round(c, 9).alias(c) for c in ("mean_ours", "mean_published", "mean_abs_diff", "median_diff", "pearson", "rank_correlation")])
