@@ -83,38 +83,6 @@ def bootstrap_ci(rows: DataFrame, group: str, label: str, score: str, n: int = 1
     return roc_auc(known, [group], label, score).select(group, "n", "auc").join(ends, group, "left")
 
 
-def paired_delta(y: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, seed: int) -> tuple[float | None, float | None, float | None]:
-    """Difference in AUC of two arms (rows x seeds, averaged over seeds) on the same rows, resampled together."""
-    rng = np.random.default_rng(seed)
-    mean = lambda m, i: np.mean([auc(y[i], m[i, k]) for k in range(m.shape[1])])
-    all_ = np.arange(len(y))
-    picks = [rng.integers(0, len(y), len(y)) for _ in range(n)]
-    return _none(mean(a, all_) - mean(b, all_)), *interval([mean(a, i) - mean(b, i) for i in picks])
-
-
-def paired_table(predictions: DataFrame, reference: str, n: int = 1000, seed: int = 0) -> DataFrame:
-    """predictions (arm, gene, seed, variant_key, label, score): every arm against the reference on each gene, with an interval
-    of the difference. An arm that has other variants than the reference is refused."""
-
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["arm", "gene", "n", "delta", "ci_low", "ci_high"]
-        wide = lambda d: d.pivot_table(index=["variant_key", "label"], columns="seed", values="score", aggfunc="first").sort_index()
-        out = []
-        if len(right):
-            b = wide(right)
-            for arm, part in left.groupby("arm"):
-                a = wide(part)
-                if not a.index.equals(b.index):
-                    raise ValueError(f"{arm} and {reference} are not scored on the same variants of {key[0]}")
-                y = a.index.get_level_values("label").to_numpy()
-                out.append((arm, key[0], len(y), *paired_delta(y, a.to_numpy(), b.to_numpy(), n, derived_seed(seed, f"{arm}:{key[0]}"))))
-        return pd.DataFrame(out, columns=columns)
-
-    cols = ["arm", "gene", "seed", "variant_key", "label", "score"]
-    left, right = predictions.select(cols).filter(F.col("arm") != reference), renewed(predictions.select(cols).filter(F.col("arm") == reference))
-    return left.groupBy("gene").cogroup(right.groupBy("gene")).applyInPandas(one, "arm string, gene string, n long, delta double, ci_low double, ci_high double")
-
-
 def isotonic(y: np.ndarray, p: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: ascending starts of the steps and their values; a point counts ``w`` times."""
     order = np.argsort(p, kind="stable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions import arrays
-from evidara.operators import metrics, ranking, resample, ridge
+from evidara.operators import metrics, paired, ranking, resample, ridge
 from evidara.plans.registry import query
 from evidara.plans.relational import table
 
@@ -401,3 +401,37 @@ def against_published(spark, sf_dir):
     published = ours.join(shift, "brand").filter("brand != 'Brand#11'").select("brand", (F.col("spearman") + F.col("shift")).alias("published"))
     done = ridge.against_published(ours, published, "brand")
     return done.select("assays", "compared", "within_002", "within_005", *[F.round(c, 9).alias(c) for c in ("mean_ours", "mean_published", "mean_abs_diff", "median_diff", "pearson", "rank_correlation")])
+
+
+def _urgent_arms(spark, sf_dir):
+    """Predictions of two arms and two seeds on orders, whose statuses stand for genes."""
+    y = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("label")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("gene"), F.col("o_orderkey").alias("variant_key"), y, "o_custkey")
+    each = orders.withColumn("a", F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(seed).alias("seed")) for arm in ("base", "other") for seed in (0, 1)])))
+    score = F.when(F.col("a.arm") == "base", (F.col("o_custkey") * 31 + F.col("a.seed") * 7) % 101 + 10 * F.col("label")).otherwise((F.col("o_custkey") * 17 + F.col("a.seed") * 5) % 89 + 14 * F.col("label"))
+    return each.select("a.arm", "a.seed", "gene", "variant_key", "label", score.cast("double").alias("score"))
+
+
+_ARMS = """o as (select o_orderstatus as gene, (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as y, o_custkey as c from orders),
+s as (select gene, y, 'base' as arm, seed, (c * 31 + seed * 7) % 101 + 10 * y as score from o cross join (values (0), (1)) v(seed) union all select gene, y, 'other', seed, (c * 17 + seed * 5) % 89 + 14 * y from o cross join (values (0), (1)) v(seed)),
+k as (select *, rank() over w + (count(*) over (partition by arm, gene, seed, score) - 1) / 2.0::double as r from s window w as (partition by arm, gene, seed order by score)),
+u as (select arm, gene, seed, count(*) as n, sum(1 - y)::bigint as n_benign, (sum(case when y = 1 then r end) - sum(y)::double * (sum(y) + 1) / 2) / (sum(y)::double * sum(1 - y)) as auc from k group by all),
+m as (select arm, gene, any_value(n) as n, any_value(n_benign) as n_benign, count(*) as seeds, avg(auc) as auc from u group by all),
+t as (select a.arm, gene, a.n, a.n_benign, a.seeds, a.auc, b.auc as auc_reference, a.auc - b.auc as delta from m a join m b using (gene) where a.arm = 'other' and b.arm = 'base')"""
+
+
+@query("paired_auc", f"with {_ARMS} select arm, gene, n, n_benign, seeds, round(auc, 9) as auc, round(auc_reference, 9) as auc_reference, round(delta, 9) as delta, n >= 50 as scoreable, true as inside from t")
+def paired_auc(spark, sf_dir):
+    """An arm against the reference, gene by gene; the interval holds the difference."""
+    found = paired.paired_table(_urgent_arms(spark, sf_dir), "base", n=200)
+    inside = (F.col("ci_low") <= F.col("delta")) & (F.col("delta") <= F.col("ci_high"))
+    return found.select("arm", "gene", "n", "n_benign", "seeds", *[F.round(c, 9).alias(c) for c in ("auc", "auc_reference", "delta")], "scoreable", inside.alias("inside"))
+
+
+@query("paired_auc_means", f"""
+with {_ARMS} select arm, string_agg(gene, '+' order by gene) as genes, sum(n)::bigint as n, sum(n_benign)::bigint as n_benign, round(avg(auc), 9) as auc, round(avg(auc_reference), 9) as auc_reference, round(avg(delta), 9) as delta
+from t where n >= 50 group by 1 having count(*) >= 2""")
+def paired_auc_means(spark, sf_dir):
+    """The mean difference over genes."""
+    found = paired.paired_means(paired.paired_draws(_urgent_arms(spark, sf_dir), "base", n=200))
+    return found.select("arm", "genes", "n", "n_benign", *[F.round(c, 9).alias(c) for c in ("auc", "auc_reference", "delta")])

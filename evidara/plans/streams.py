@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from evidara.operators import resample
+from evidara.operators import paired, resample
 from evidara.operators.graph import shared_folder
 from evidara.plans.registry import query
 from evidara.plans.relational import table
@@ -64,11 +64,12 @@ def bootstrap_ci(spark, sf_dir):
 
 @query("paired_arms")
 def paired_arms(spark, sf_dir):
+    """Arms against the reference with intervals from resampled variants."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     each = rows.select(F.col("lang").alias("gene"), F.col("doc_id").cast("string").alias("variant_key"), F.col("quality").cast("int").alias("label"), "n_chars")
     arms = each.withColumn("a", F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(seed).alias("seed")) for arm in ("base", "other") for seed in (0, 1)])))
     score = F.when(F.col("a.arm") == "base", F.col("n_chars") % 997 / 997.0).otherwise(F.col("n_chars") % 499 / 499.0) + F.col("a.seed") * 0.001
-    return resample.paired_table(arms.select("a.arm", "a.seed", "gene", "variant_key", "label", score.alias("score")), "base", n=100)
+    return paired.paired_table(arms.select("a.arm", "a.seed", "gene", "variant_key", "label", score.alias("score")), "base", n=100)
 
 
 @query("calibrated_scores")
