@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidara.operators.ranking import average_ranks, exact_quantiles, running, tie_counts
+from evidara.operators.graph import _shared
+from evidara.operators.ranking import average_ranks, exact_quantiles, matched, running, tie_counts
 
 
 def _on(groups: Sequence[str]):
@@ -138,9 +139,9 @@ def brier(rows: DataFrame, groups: Sequence[str], label: str, share: str) -> Dat
 def spearman(rows: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
     """Correlation of average ranks, by group, over rows that have both. Rows are counted by distinct pair first, and the mean rank
     is known, so sums over pairs give the result."""
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__w"))
+    both = _shared(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__w")))
     ranked = lambda c: average_ranks(both, groups, c, "__w").select(*groups, c, (F.col("rank") - (F.col("n") + 1) / 2).alias(f"{c}r"))
-    joined = both.join(ranked("__x"), [*groups, "__x"]).join(ranked("__y"), [*groups, "__y"])
+    joined = matched(matched(both, ranked("__x"), [*groups, "__x"]), ranked("__y"), [*groups, "__y"])
     moment = lambda a, b: F.sum(F.col("__w") * F.col(a) * F.col(b))
     xx, yy = moment("__xr", "__xr"), moment("__yr", "__yr")
     return joined.groupBy(*groups).agg(F.when((xx > 0) & (yy > 0), moment("__xr", "__yr") / F.sqrt(xx * yy)).alias("spearman"), F.sum("__w").alias("n"))

@@ -1,8 +1,8 @@
 """Ranks and running sums that no single task has to hold.
 
-A running sum over all rows in order of a score is cut into ranges of the score, by approximate percentiles of each group: sums
-run within a range, and the ranges' totals give where each starts. There are as many ranges as leave ``ROWS`` rows to each, so
-tasks stay as they are when tables grow. Equal scores always share a range, so the edges need not be exact for the result to be.
+A running sum over all rows in order of group and score is cut into ranges of that order: sums run within a range, and the ranges'
+totals give where each starts. There are as many ranges as leave ``ROWS`` rows to each, so tasks stay as they are when tables grow,
+and a hot group is cut like any other. Edges need not be exact for the result to be.
 """
 
 from __future__ import annotations
@@ -13,17 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a range, about, and the most ranges of a group (their totals are summed in one task).
-ROWS, MOST = 250_000, 10_000
+from evidara.operators.graph import _shared
 
+#: Rows of a range, about.
+ROWS = 250_000
 
-def _ranged(rows: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
-    largest = rows.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    n = max(8, min(MOST, -(-largest // ROWS)))
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = rows.groupBy(*groups).agg(F.percentile_approx(score, shares, F.lit(max(1000, 10 * n))).alias("__edges"))
-    joined = rows.join(edges, list(groups)) if groups else rows.join(F.broadcast(edges))  # without groups it is one row
-    return joined.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(score)))).drop("__edges")
+
+def matched(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``a`` joined to ``b`` on keys of which null is a value like any other; without keys ``b`` is one row."""
+    if not keys:
+        return a.join(F.broadcast(b))
+    other = {c: f"__j{i}" for i, c in enumerate(keys)}
+    return a.join(b.withColumnsRenamed(other), [F.col(c).eqNullSafe(F.col(k)) for c, k in other.items()]).drop(*other.values())
 
 
 def exact_quantiles(rows: DataFrame, groups: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
@@ -31,7 +32,7 @@ def exact_quantiles(rows: DataFrame, groups: Sequence[str], column: str, shares:
     ranges, so no buffer holds a group."""
     ties = tie_counts(rows, groups, column, {"rows": F.lit(1)})
     total = rows.filter(F.col(column).isNotNull()).groupBy(*groups).agg(F.count("*").alias("__n"))
-    joined = ties.join(total, list(groups)) if groups else ties.join(F.broadcast(total))
+    joined = matched(ties, total, groups)
     at = lambda q: F.lit(float(q)) * (F.col("__n") - 1)
     value = lambda place: F.min(F.when(F.col("le_rows") > place, F.col(column).cast("double")))
     parts = [c for i, q in enumerate(shares) for c in (value(F.floor(at(q))).alias(f"__l{i}"), value(F.ceil(at(q))).alias(f"__h{i}"))]
@@ -43,14 +44,19 @@ def exact_quantiles(rows: DataFrame, groups: Sequence[str], column: str, shares:
 def running(rows: DataFrame, groups: Sequence[str], score: str, sums: dict[str, str], descending: bool = False, ties: Sequence[Column] = ()) -> DataFrame:
     """Adds, for each of ``sums`` (new column: column), its sum over all rows of the group up to and with this one, in order of
     ``score`` and ``ties``. Rows of a null score are not ranked and are dropped."""
-    ranged = _ranged(rows.filter(F.col(score).isNotNull()), groups, score)
+    held = _shared(rows.filter(F.col(score).isNotNull()))
+    order = [F.desc(score) if descending else F.asc(score), *ties]
+    over = lambda *by: Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    n = -(-held.count() // ROWS)
+    if n <= 1:  # one range
+        return held.withColumns({n: F.sum(c).over(over(*groups)) for n, c in sums.items()})
+    ranged = _shared(held.repartitionByRange(n, *groups, *order).withColumn("__range", F.spark_partition_id()))
     totals = ranged.groupBy(*groups, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     by_range = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    order = F.desc("__range") if descending else F.asc("__range")
-    before = by_range.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = by_range.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*groups, "__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums])
-    inside = Window.partitionBy(*groups, "__range").orderBy(F.desc(score) if descending else F.asc(score), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumns({f"__i_{n}": F.sum(c).over(inside) for n, c in sums.items()}).join(starts, [*groups, "__range"])
+    inside = ranged.withColumns({f"__i_{n}": F.sum(c).over(over(*groups, "__range")) for n, c in sums.items()})
+    out = matched(inside, starts, [*groups, "__range"])
     return out.withColumns({n: F.col(f"__i_{n}") + F.col(f"__s_{n}") for n in sums}).drop("__range", *[f"__{k}_{n}" for n in sums for k in "is"])
 
 
@@ -66,8 +72,7 @@ def average_ranks(rows: DataFrame, groups: Sequence[str], score: str, weight: st
     ties = tie_counts(rows, groups, score, {"rows": one})
     total = rows.filter(F.col(score).isNotNull()).groupBy(*groups).agg(F.sum(one).alias("n"))
     ranked = ties.withColumn("rank", F.col("le_rows") - (F.col("n_rows") - 1) / 2)
-    joined = ranked.join(total, list(groups)) if groups else ranked.join(F.broadcast(total))
-    return joined.select(*groups, score, "rank", "n")
+    return matched(ranked, total, groups).select(*groups, score, "rank", "n")
 
 
 def percentile_rank(rows: DataFrame, groups: Sequence[str], score: str, out: str) -> DataFrame:
