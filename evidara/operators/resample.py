@@ -83,22 +83,50 @@ def bootstrap_ci(rows: DataFrame, group: str, label: str, score: str, n: int = 1
     return roc_auc(known, [group], label, score).select(group, "n", "auc").join(ends, group, "left")
 
 
-def isotonic(y: np.ndarray, p: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: ascending starts of the steps and their values; a point counts ``w`` times."""
-    order = np.argsort(p, kind="stable")
-    w = np.ones(len(p)) if w is None else w
-    levels: list[list[float]] = []
-    for x, v, n in zip(p[order], y[order].astype(float), w[order].astype(float), strict=True):
-        levels.append([x, v, n])
-        while len(levels) > 1 and levels[-2][1] >= levels[-1][1]:
-            _, v2, w2 = levels.pop()
-            levels[-1][1] = (levels[-1][1] * levels[-1][2] + v2 * w2) / (levels[-1][2] + w2)
-            levels[-1][2] += w2
-    return np.array([x for x, _, _ in levels]), np.array([v for _, v, _ in levels])
-
-
-def step(starts: np.ndarray, values: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return values[np.clip(np.searchsorted(starts, p, side="right") - 1, 0, len(values) - 1)]
+def pooled(pools: list, more) -> list:
+    """``pools`` (first score, last score, sum of labels, weight), of ascending means, with further ones behind them: neighbours merge
+    until means ascend again."""
+    for pool in more:
+        pools.append(tuple(pool))
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            b, a = pools.pop(), pools.pop()
+            pools.append((a[0], b[1], a[2] + b[2], a[3] + b[3]))
+    return pools
+
+
+def isotonic_pools(rows: DataFrame, cell: str, label: str, score: str) -> DataFrame:
+    """(cell, xs, ys): the isotonic regression of labels on scores, exactly, as ends of pools and their means. Labels are counted by
+    distinct score and pooled within ranges of (cell, score); the pools of neighbouring ranges, which are far fewer than scores, are
+    merged by cell. Merging pools in any order that keeps neighbours gives the same result."""
+    from evidara.operators import ranking
+    from evidara.operators.graph import _shared
+
+    known = rows.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    tied = _shared(known.groupBy(cell, F.col(score).cast("double").alias("first")).agg(F.sum(F.col(label).cast("double")).alias("total"), F.count("*").cast("double").alias("weight")))
+    kind, fields = dict(rows.dtypes)[cell], ["first", "last", "total", "weight"]
+
+    def within(batches):
+        at, held = None, []
+        for pdf in batches:
+            for key, part in pdf.groupby(cell, sort=False, dropna=False):
+                if held and not (key == at or key != key and at != at):
+                    yield told(at, held)
+                    held = []
+                at, held = key, pooled(held, zip(part["first"], part["first"], part["total"], part["weight"], strict=True))
+        if held:
+            yield told(at, held)
+
+    def told(key, held) -> pd.DataFrame:
+        return pd.DataFrame([(None if key != key else key, *pool) for pool in held], columns=[cell, *fields])
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = pooled([], pdf.sort_values("first")[fields].itertuples(index=False))
+        ends = [[x for pool in held for x in pool[:2]], [pool[2] / pool[3] for pool in held for _ in range(2)]]
+        return pd.DataFrame([(pdf[cell].iloc[0], *ends)], columns=[cell, "xs", "ys"])
+
+    n = max(1, -(-tied.count() // ranking.ROWS))
+    parts = tied.repartitionByRange(n, cell, "first").sortWithinPartitions(cell, "first").mapInPandas(within, f"`{cell}` {kind}, first double, last double, total double, weight double")
+    return parts.groupBy(cell).applyInPandas(across, f"`{cell}` {kind}, xs array<double>, ys array<double>")
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -153,28 +181,30 @@ def score_counts(rows: DataFrame, cell: str, label: str, score: str, digits: int
 
 
 def calibrate(validation: DataFrame, test: DataFrame, cell: str, label: str, score: str, method: str) -> DataFrame:
-    """Test rows with ``calibrated``: a calibrator (isotonic, platt or temperature) fitted on counts of each cell's validation
-    scores and applied as an expression. Cells without both classes there keep their scores."""
-
-    def one(key, fit: pd.DataFrame) -> pd.DataFrame:
-        y, p, w = fit.y.to_numpy(float), fit.p.to_numpy(float), fit.w.to_numpy(float)
-        slope = shift = starts = values = None
-        if 0 < y @ w < w.sum():
-            if method == "isotonic":
-                starts, values = isotonic(y, p, w)
-            elif method == "platt":
-                slope, shift = platt(y, p, w)
-            else:
-                slope, shift = 1 / temperature(y, p, w), 0.0
-        return pd.DataFrame([(key[0], slope, shift, starts, values)], columns=[cell, "__slope", "__shift", "__starts", "__values"])
-
-    kind = dict(validation.dtypes)[cell]
-    fitted = score_counts(renewed(validation), cell, label, score).groupBy(cell).applyInPandas(one, f"`{cell}` {kind}, __slope double, __shift double, __starts array<double>, __values array<double>")
-    s = F.col(score).cast("double")
-    inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), s))
-    z = F.col("__slope") * F.log(inside / (1 - inside)) + F.col("__shift")
-    stepped = F.element_at("__values", F.greatest(F.lit(1), F.size(F.filter("__starts", lambda x: x <= s))))
-    made = F.when(F.col("__slope").isNotNull(), 1 / (1 + F.exp(-z))).when(F.col("__starts").isNotNull(), stepped).otherwise(s)
+    """Test rows with ``calibrated``: a calibrator fitted on each cell's validation scores and applied as an expression. isotonic is exact:
+    constant over a pool, in proportion between pools, and as at the ends beyond them. platt and temperature are fitted on counts
+    of scores to four decimals. Cells without both classes there keep their scores."""
+    fit_rows, s = renewed(validation), F.col(score).cast("double")
+    if method == "isotonic":
+        both = fit_rows.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(cell).agg(F.count_distinct(label).alias("__k")).filter("__k > 1").select(cell)
+        fitted = isotonic_pools(fit_rows.join(both, cell, "left_semi"), cell, label, score).withColumnsRenamed({"xs": "__xs", "ys": "__ys"})
+        i = F.size(F.filter("__xs", lambda x: x <= s))
+        x0, x1, y0, y1 = (F.get(c, i - k) for c in ("__xs", "__ys") for k in (1, 0))
+        made = F.when(i == 0, F.get("__ys", F.lit(0))).when(i == F.size("__xs"), y0).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
+        made = F.when(F.col("__xs").isNotNull() & s.isNotNull() & ~F.isnan(s), made).otherwise(s)
+    else:
+
+        def one(key, fit: pd.DataFrame) -> pd.DataFrame:
+            y, p, w = fit.y.to_numpy(float), fit.p.to_numpy(float), fit.w.to_numpy(float)
+            slope = shift = None
+            if 0 < y @ w < w.sum():
+                slope, shift = platt(y, p, w) if method == "platt" else (1 / temperature(y, p, w), 0.0)
+            return pd.DataFrame([(key[0], slope, shift)], columns=[cell, "__slope", "__shift"])
+
+        fitted = score_counts(fit_rows, cell, label, score).groupBy(cell).applyInPandas(one, f"`{cell}` {dict(validation.dtypes)[cell]}, __slope double, __shift double")
+        inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), s))
+        z = F.col("__slope") * F.log(inside / (1 - inside)) + F.col("__shift")
+        made = F.when(F.col("__slope").isNotNull(), 1 / (1 + F.exp(-z))).otherwise(s)
     return test.join(fitted, cell, "left").withColumn("calibrated", made).select(*test.columns, "calibrated")
 
 

@@ -435,3 +435,21 @@ def paired_auc_means(spark, sf_dir):
     """The mean difference over genes."""
     found = paired.paired_means(paired.paired_draws(_urgent_arms(spark, sf_dir), "base", n=200))
     return found.select("arm", "genes", "n", "n_benign", *[F.round(c, 9).alias(c) for c in ("auc", "auc_reference", "delta")])
+
+
+@query("calibrated_isotonic", """
+with l as (select doc_id, lang, quality as y, n_chars % 97 / 97.0::double as s from documents join labels using (doc_id)),
+e as (select * from l where doc_id % 2 = 0 and lang in (select lang from l where doc_id % 2 = 0 group by 1 having count(distinct y) > 1)),
+t as (select lang, s, sum(y) as y, count(*) as w from e group by all),
+c as (select *, sum(y) over v as cy, sum(w) over v as cw from t window v as (partition by lang order by s)),
+m as (select a.lang, a.s as sa, b.s as sb, (b.cy - a.cy + a.y)::double / (b.cw - a.cw + a.w)::double as v from c a join c b on a.lang = b.lang and a.s <= b.s),
+g as (select i.lang, i.s, m.sa, min(m.v) as v from c i join m on i.lang = m.lang and m.sa <= i.s and m.sb >= i.s group by all),
+f as (select lang, s, max(v) as v from g group by all),
+q as (select q.lang, q.s, max(case when f.s <= q.s then f.s end) as lo, min(case when f.s > q.s then f.s end) as hi from (select distinct lang, s from l where doc_id % 2 = 1) q join f using (lang) group by all),
+z as (select q.lang, q.s, case when lo is null then b.v when hi is null then a.v else a.v + (b.v - a.v) * (q.s - lo) / (hi - lo) end as calibrated
+  from q left join f a on a.lang = q.lang and a.s = lo left join f b on b.lang = q.lang and b.s = hi)
+select doc_id, l.lang, l.s as score, coalesce(calibrated, l.s) as calibrated from l left join z on z.lang = l.lang and z.s = l.s where doc_id % 2 = 1""")
+def calibrated_isotonic(spark, sf_dir):
+    """Scores of one half of the documents by the isotonic regression of the other half, against its min-max formula."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", F.col("quality").alias("label"), (F.col("n_chars") % 97 / 97.0).alias("score"))
+    return resample.calibrate(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), "lang", "label", "score", "isotonic").drop("label")
