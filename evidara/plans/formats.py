@@ -22,16 +22,13 @@ def _place(spark: SparkSession, name: str) -> str:
 
 
 def _lines(rows: DataFrame, line: Column, name: str, header: str | None = None) -> str:
-    """``rows`` as text lines, with a header file that sorts first."""
-    path = _place(rows.sparkSession, name)
+    """``rows`` as text lines, as many files as tasks write; a header is a file of its own, the first by path."""
+    path, spark = _place(rows.sparkSession, name), rows.sparkSession
     rows.select(line.cast("string").alias("value")).write.text(f"{path}/rows")
     if header is None:
         return f"{path}/rows"
-    spark = rows.sparkSession
     spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{path}/head")
-    # header and rows in one file each way: the header is the first line by path
-    spark.read.text([f"{path}/head", f"{path}/rows"]).select("value", (F.col("value") != header).cast("int").alias("o")).repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(f"{path}/all")
-    return f"{path}/all"
+    return f"{path}/*"
 
 
 def _xml(rows: DataFrame, element: Column, name: str) -> str:
