@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from evidara.functions.arrays import cosine
 from evidara.functions.text import TOKEN, token_parts, tokens
 from evidara.operators.graph import _shared
 from evidara.operators.ranking import top_k_by_group
 
 K1, B, FUSION = 1.5, 0.75, 60
+#: Rows of a block of vectors and of queries, and queries of one matrix product.
+BLOCK_VECTORS, BLOCK_QUERIES, STRIP = 8192, 4096, 128
+#: More than a cosine of a matrix product can differ from one summed in order, for vectors whose squares sum to between these.
+ERROR, SQUARES = 1e-9, (1e-200, 1e200)
 
 
 def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,12 +59,60 @@ def search_all_then_any(scored: DataFrame, queries: DataFrame, k: int, key: str,
     return top_k_by_group(ranked, [query], "order", key, k).drop("order", "n_all")
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", query: str = "query_id", blocks: int = 64) -> DataFrame:
+def _best_of_cell(xq: np.ndarray, xv: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the queries, rows of the vectors and cosines of each query's k largest positive cosines, ties by ``order``. A matrix
+    product finds the vectors within its error of the k-th; their cosines are summed in order, so that copies tie."""
+    squares = lambda x: sum((x[:, c] * x[:, c] for c in range(x.shape[1])), np.zeros(len(x)))
+    sq, sv = squares(xq), squares(xv)
+    nq, nv = np.sqrt(sq), np.sqrt(sv)
+    plain = lambda s: (s > SQUARES[0]) & (s < SQUARES[1])
+    rough = (xq @ xv.T) / (nq[:, None] * nv)
+    odd = ~(plain(sq)[:, None] & plain(sv)) | np.isnan(rough)  # judged by the sums alone
+    rough[odd] = -np.inf
+    least = np.maximum(np.partition(rough, -k, axis=1)[:, -k] if k < len(xv) else -np.inf, 0.0)
+    i, j = np.nonzero(odd | (rough >= least[:, None] - ERROR) if k < len(xv) else odd | (rough >= -ERROR))
+    dot = np.zeros(len(i))
+    for c in range(xq.shape[1]):
+        dot += xq[i, c] * xv[j, c]
+    size = nq[i] * nv[j]
+    score = dot / size
+    good = ~(size <= 0) & ~(score <= 0)
+    i, j, score = i[good], j[good], score[good]
+    by = np.lexsort((order[j], np.where(np.isnan(score), -np.inf, -score), i))
+    i, j, score = i[by], j[by], score[by]
+    first = np.searchsorted(i, i)  # where the query's rows start
+    kept = np.arange(len(i)) - first < k
+    return i[kept], j[kept], score[kept]
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", query: str = "query_id") -> DataFrame:
     """The k vectors of largest positive cosine with each query vector, ties by key. ``queries`` is a stated set that is held
-    against all rows in blocks: rows are dealt to blocks by key and every block gets the queries."""
-    q = queries.select(query, F.col(vector).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-    dealt = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block"))
-    scored = dealt.join(q, "__block").select(query, key, cosine(F.col("__q"), F.col(vector)).alias("score")).filter("score > 0")
+    against all rows: vectors and queries are dealt to blocks, and each pair of blocks (a cell) is one matrix product in numpy that
+    gives k vectors a query. Blocks hold the same number of rows however many there are. A vector that is null or holds a null
+    has no cosine."""
+    whole = lambda c: c.isNotNull() & ~F.exists(c, lambda x: x.isNull()) & (F.size(c) > 0)
+    v, q = vectors.select(key, F.col(vector).cast("array<double>").alias("__x")).filter(whole(F.col("__x"))), queries.select(query, F.col(vector).cast("array<double>").alias("__x")).filter(whole(F.col("__x")))
+    n_v, n_q = -(-v.count() // BLOCK_VECTORS) or 1, -(-q.count() // BLOCK_QUERIES) or 1
+    dealt = lambda rows, c, own, n, other, m: rows.withColumn(own, F.pmod(F.xxhash64(c, "__x"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    v, q = dealt(v, key, "__v", n_v, "__q", n_q), dealt(q, query, "__q", n_q, "__v", n_v)
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.empty(len(left), np.int64)
+        order[pc.sort_indices(left, sort_keys=[(key, "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(left))
+        out = []
+        sizes_v, sizes_q = (pc.list_value_length(t["__x"]).to_numpy() for t in (left, right))
+        matrix = lambda t, at, d: pc.list_flatten(t["__x"].take(pa.array(at))).to_numpy().reshape(-1, d)
+        for d in np.intersect1d(sizes_v, sizes_q):
+            at_v, at_q = np.flatnonzero(sizes_v == d), np.flatnonzero(sizes_q == d)
+            xv, xq = matrix(left, at_v, d), matrix(right, at_q, d)
+            for s in range(0, len(xq), STRIP):
+                with np.errstate(all="ignore"):
+                    i, j, score = _best_of_cell(xq[s : s + STRIP], xv, order[at_v], k)
+                out.append(pa.table([right[query].take(pa.array(at_q[s + i])), left[key].take(pa.array(at_v[j])), pa.array(score)], names=[query, key, "score"]))
+        return pa.concat_tables(out) if out else pa.table([right[query].slice(0, 0), left[key].slice(0, 0), pa.array([], pa.float64())], names=[query, key, "score"])
+
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    scored = v.groupBy("__v", "__q").cogroup(q.groupBy("__v", "__q")).applyInArrow(cell, schema)
     return top_k_by_group(scored, [query], "score", key, k)
 
 
