@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidara.operators.graph import _shared
+from evidara.operators.skew import attach
 
 #: Rows of a range, about.
 ROWS = 250_000
@@ -113,10 +114,10 @@ def top_k_by_group(rows: DataFrame, groups: Sequence[str], score: str, key: str,
 
 def zscore(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], train: DataFrame | None = None) -> DataFrame:
     """Columns less their group's mean over its sample deviation (population rows: those of ``train`` where given); 0 where a
-    value is null or the group does not vary."""
+    value is null or the group does not vary. A group of many rows is dealt over tasks."""
     fitted = train if train is not None else rows
     stats = fitted.groupBy(*groups).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns])
-    joined = rows.join(stats, list(groups), "left") if groups else rows.join(F.broadcast(stats))
+    joined = attach(rows, stats, list(groups), how="left") if groups else rows.join(F.broadcast(stats))
     made = {f"z_{c}": F.coalesce(F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")), F.lit(0.0)) for c in columns}
     return joined.withColumns(made).drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
 
