@@ -2,7 +2,8 @@
 
 Neighbours are found in boxes. Space is cut into boxes of ``EDGE``; an atom is at home in one and a guest in each box that is within
 reach of it, eight at most when the reach is under half an edge. Boxes are grouped apart, so a task holds the atoms around one box
-and never a structure, however large it is; residues are joined to their neighbours along the chain by windows.
+and never a structure, however large it is; most structures fit into a few. Inside a box atoms are looked up in cells as wide as the
+reach. Residues are joined to their neighbours along the chain by windows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGE = 24.0
+from evidara.operators.graph import _shared
+from evidara.operators.skew import attach
+
+EDGE = 96.0
+#: Residues whose distances to all others around are taken at once.
+STRIP = 128
 # Radii of elements in angstroms, that of any other, the probe's, and the largest area of each residue (Tien et al.
 # 2013, theoretical) with that of any other.
 RADII = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "SE": 1.9}
@@ -42,33 +48,71 @@ def sphere(n: int) -> np.ndarray:
 
 
 def boxed(points: DataFrame, reach: float, edge: float = EDGE) -> DataFrame:
-    """``points`` (x, y, z and more) with box and whether each is at home there, in every box within ``reach``."""
-    cell = lambda c, by: F.floor((F.col(c) + by) / edge)
-    out = points
-    for c in ("x", "y", "z"):
-        out = out.withColumn(f"box_{c}", F.explode(F.sequence(cell(c, -reach), cell(c, reach))))
+    """``points`` (structure, x, y, z and more) with box and whether each is at home there, in every box within ``reach``. Boxes are
+    numbered from the least coordinates of a structure; those beyond its largest are nobody's home and are left out."""
+    axes = ("x", "y", "z")
+    span = points.groupBy("structure").agg(*[f(c).alias(f"__{n}_{c}") for c in axes for f, n in ((F.min, "from"), (F.max, "to"))])
+    out = attach(points, span, "structure")
+    cell = lambda c, by: F.floor((F.col(c) - F.col(f"__from_{c}") + by) / edge)
+    last = lambda c: F.floor((F.col(f"__to_{c}") - F.col(f"__from_{c}")) / edge)
+    for c in axes:
+        out = out.withColumn(f"box_{c}", F.explode(F.sequence(F.greatest(cell(c, -reach), F.lit(0)), F.least(cell(c, reach), last(c)))))
     home = (F.col("box_x") == cell("x", 0)) & (F.col("box_y") == cell("y", 0)) & (F.col("box_z") == cell("z", 0))
-    return out.withColumn("home", home)
+    return out.withColumn("home", home).drop(*[f"__{n}_{c}" for c in axes for n in ("from", "to")])
 
 
 BOX = ["structure", "box_x", "box_y", "box_z"]
 
 
-def exposed(xyz: np.ndarray, radius: np.ndarray, home: np.ndarray, points: np.ndarray, strip: int = 256) -> np.ndarray:
+def neighbours(xyz: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``own`` and rows of ``xyz`` of all pairs that stand in the same cell or in adjoining ones, by place; cells are
+    ``reach`` wide, so no pair within it is left out. A row pairs with itself."""
+    cell = np.floor((xyz - xyz.min(axis=0)) / reach).astype(np.int64) + 1
+    wide = cell.max(axis=0) + 2
+    key = (cell[:, 0] * wide[1] + cell[:, 1]) * wide[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    lined, mine = key[order], key[own]
+    at, to = [], []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            middle = mine + (dx * wide[1] + dy) * wide[2]
+            first = np.searchsorted(lined, middle - 1, "left")
+            n = np.searchsorted(lined, middle + 1, "right") - first
+            at.append(np.repeat(np.arange(len(own)), n))
+            to.append(order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    at, to = np.concatenate(at), np.concatenate(to)
+    by = np.argsort(at, kind="stable")
+    return at[by], to[by]
+
+
+def exposed(xyz: np.ndarray, radius: np.ndarray, home: np.ndarray, points: np.ndarray, strip: int = 4096) -> np.ndarray:
     """Area of each atom of ``home`` that no other atom's sphere covers; ``radius`` includes the probe."""
     at = np.nonzero(home)[0]
-    out = np.empty(len(at))
-    for i in range(0, len(at), strip):
-        own = at[i : i + strip]
-        apart = ((xyz[own, None] - xyz[None]) ** 2).sum(axis=2)
-        close = apart < (radius[own, None] + radius[None]) ** 2
-        close[np.arange(len(own)), own] = False
-        for k, atom in enumerate(own):
-            near = np.nonzero(close[k])[0]
-            surface = xyz[atom] + radius[atom] * points
-            covered = (((surface[:, None] - xyz[near][None]) ** 2).sum(axis=2) < radius[near] ** 2).any(axis=1)
-            out[i + k] = 4 * math.pi * radius[atom] ** 2 * (1 - covered.mean())
-    return out
+    hidden = np.zeros(len(at))
+    for s in range(0, len(at), strip):
+        own = at[s : s + strip]
+        i, j = neighbours(xyz, own, 2 * radius.max())
+        close = (((xyz[own[i]] - xyz[j]) ** 2).sum(axis=1) < (radius[own[i]] + radius[j]) ** 2) & (own[i] != j)
+        i, j = i[close], j[close]
+        starts = np.searchsorted(i, np.arange(len(own) + 1))
+        # as many atoms at a time as have some thousands of neighbours
+        for a, b in _runs(starts, 4096):
+            mine, near = own[i[starts[a] : starts[b]]], j[starts[a] : starts[b]]
+            surface = xyz[mine][:, None] + radius[mine][:, None, None] * points - xyz[near][:, None]
+            covered = (surface**2).sum(axis=2) < radius[near][:, None] ** 2
+            some = a + np.nonzero(np.diff(starts[a : b + 1]))[0]
+            if len(some):
+                hidden[s + some] = np.logical_or.reduceat(covered, starts[some] - starts[a], axis=0).mean(axis=1)
+    return 4 * math.pi * radius[at] ** 2 * (1 - hidden)
+
+
+def _runs(starts: np.ndarray, most: int):
+    """Cuts a list of ranges, given by where they start, into runs of ``most`` items at most, or of one range."""
+    a = 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + most, "right")) - 1)
+        yield a, b
+        a = b
 
 
 def one_of_each(atoms: DataFrame) -> DataFrame:
@@ -153,15 +197,16 @@ def contacts(points: DataFrame, near: float = 8.0, far: float = 12.0, half: floa
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         home = np.nonzero(pdf.home.to_numpy(bool))[0]
-        ca, cb, out = pdf[["x", "y", "z"]].to_numpy(float), pdf[["cb_x", "cb_y", "cb_z"]].to_numpy(float), []
-        for i in home:
-            apart, toward = ((cb - cb[i]) ** 2).sum(axis=1), cb[i] - ca[i]
-            around = ((ca - ca[i]) ** 2).sum(axis=1) <= half**2
-            around[i] = False
-            up = int(((ca - ca[i]) @ toward > 0)[around].sum()) if (toward**2).sum() >= 1e-12 else 0
-            out.append((int((apart <= near**2).sum()) - 1, int((apart <= far**2).sum()) - 1, up))
-        if not out:
-            return pd.DataFrame([], columns=["structure", "position", "contacts_near", "contacts_far", "half_sphere_up"])
+        ca, cb, out = pdf[["x", "y", "z"]].to_numpy(float), pdf[["cb_x", "cb_y", "cb_z"]].to_numpy(float), np.zeros((len(home), 3), int)
+        square = lambda a, i: ((a - a[i][:, None]) ** 2).sum(axis=2)
+        for s in range(0, len(home), STRIP):
+            i = home[s : s + STRIP]
+            apart, toward, away = square(cb, i), cb[i] - ca[i], ca - ca[i][:, None]
+            around = square(ca, i) <= half**2
+            around[np.arange(len(i)), i] = False
+            ahead = away[:, :, 0] * toward[:, :1] + away[:, :, 1] * toward[:, 1:2] + away[:, :, 2] * toward[:, 2:] > 0
+            up = np.where((toward**2).sum(axis=1) >= 1e-12, (ahead & around).sum(axis=1), 0)
+            out[s : s + STRIP] = np.column_stack([(apart <= near**2).sum(axis=1) - 1, (apart <= far**2).sum(axis=1) - 1, up])
         made = pd.DataFrame(out, columns=["contacts_near", "contacts_far", "half_sphere_up"])
         return pdf.loc[home, ["structure", "position"]].reset_index(drop=True).join(made)
 
@@ -173,8 +218,9 @@ def contacts(points: DataFrame, near: float = 8.0, far: float = 12.0, half: floa
 def residue_features(atoms: DataFrame) -> DataFrame:
     """structure, position, residue, confidence, area, exposure (of the residue's largest area), contacts, half sphere and backbone
     of each residue of ``atoms`` (structure, line, atom, residue, position, x, y, z, b_factor)."""
-    kept = one_of_each(atoms)
-    points = residue_points(kept)
+    # written: atoms and residues are read by several steps, and would be read from their files and made again for each
+    kept = _shared(one_of_each(atoms))
+    points = _shared(residue_points(kept))
     area = surface_areas(kept).groupBy("structure", "position").agg(F.sum("area").alias("area"))
     largest = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in LARGEST.items() for v in pair]), F.col("residue")), F.lit(OTHER_AREA))
     key = ["structure", "position"]

@@ -92,3 +92,22 @@ def test_models_of_other_isoforms_are_named(spark):
     features = spark.createDataFrame([("m", 1, "A"), ("m", 2, "C"), ("o", 1, "A"), ("o", 9, "C")], "structure string, position int, residue string")
     sequences = spark.createDataFrame([("m", "AC"), ("o", "AC")], "structure string, sequence string")
     assert [tuple(r) for r in structure.mismatched(features, sequences).collect()] == [("o", 1)]
+
+
+def test_few_boxes_and_pairs_by_cells(spark):
+    """A structure smaller than a box is one box, wherever it stands; cells leave out no pair within reach, in strips as well."""
+    rows = chain(60, 3, 25.0)
+    atoms = structure.one_of_each(spark.createDataFrame(rows, ATOMS))
+    placed = structure.boxed(atoms, 6.6)
+    assert placed.select(*structure.BOX).distinct().count() == 1 and placed.filter("home").count() == placed.count() == atoms.count()
+    small = structure.boxed(atoms, 6.6, 20.0)
+    assert small.filter("home").count() == atoms.count() and small.groupBy(*structure.BOX).agg({"home": "max"}).count() <= 27
+    xyz = np.random.default_rng(5).uniform(-30, 30, (700, 3))
+    own = np.arange(0, 700, 3)
+    i, j = structure.neighbours(xyz, own, 6.6)
+    near = ((xyz[own][:, None] - xyz) ** 2).sum(axis=2) < 6.6**2
+    assert (np.diff(i) >= 0).all() and {(a, b) for a, b in zip(i.tolist(), j.tolist()) if near[a, b]} == set(map(tuple, np.argwhere(near).tolist()))
+    radius = np.random.default_rng(6).uniform(1.5, 3.3, 700)
+    home = np.arange(700) % 5 > 0
+    whole = structure.exposed(xyz, radius, home, structure.sphere(40))
+    assert np.array_equal(whole, structure.exposed(xyz, radius, home, structure.sphere(40), strip=37))
