@@ -127,3 +127,36 @@ def test_sentences_and_masking():
     ]
     assert not any(verdicts.category(e) for e in evidence)
     assert passages.split_sentences(None) == [] and passages.mask_conclusions(None) == ("", 0, [])
+
+
+def test_needles_leave_out_no_pattern():
+    """What the parts in lower case skip, the patterns do not find, in any case and with letters that patterns fold."""
+    import random
+    import re
+
+    from evidara.functions import passages as P
+    from evidara.functions import verdicts
+
+    words = [w for k in P.KINDS.values() for w in re.sub(r"[()?:|.]", " ", k).split()]
+    words += "This variant was classified as Likely Pathogenic BENIGN VUS uncertain significance . ! PM2 pp3_strong BS1 not met no effect PMID: 12345 evidence data is insufficient to classify \n \u017f \u0130 \u212a Loss-of-function de novo clas\u017fified".split(" ")
+    draw = random.Random(2)
+    for _ in range(300):
+        text = " ".join(draw.choice(words) for _ in range(draw.randrange(1, 60)))
+        units = P.evidence_units(text)
+        for start, end, body, role, kinds, side, codes, _, _ in units:
+            assert kinds == [k for k, p in P._KINDS.items() if p.search(body)] and side == P.polarity(body)
+            assert (role == "conclusion") == (verdicts.category(body) is not None)
+            assert codes == sorted({c if s is None else f"{c}_{s}" for c, s, _, _, met in P.find_codes(body, require_context=False) if met})
+        assert P.mask_conclusions(text)[2] == [c for _, _, b in P.split_sentences(text) if (c := verdicts.category(b))]
+
+
+def test_results_of_few_texts_are_held():
+    """A batch of Arrow is answered in slices, so that the results of one are held and not those of 10,000 texts."""
+    import pandas as pd
+
+    from evidara.functions import passages as P
+
+    batch = pd.Series(["One. Two benign ones."] * 1000)
+    for made in (P._masked(iter([batch])), P._records(P.evidence_units, P.UNIT_FIELDS)(iter([batch]))):
+        sizes = [len(part) for part in made]
+        assert sum(sizes) == 1000 and max(sizes) <= P.SLICE
