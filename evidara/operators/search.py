@@ -24,16 +24,19 @@ ERROR, SQUARES = 1e-9, (1e-200, 1e200)
 
 
 def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf), written once: tokens are read word by word in plain columns, so texts are gone over a single time."""
-    words = documents.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("word"))
+    """(key, term, tf, length), written once: tokens are read word by word in plain columns, so texts are gone over a single time.
+    Texts are dealt by key first, and all that follows counts where they are; length is the document's number of tokens."""
+    dealt = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).repartition(key)
+    words = dealt.select(key, F.explode(F.regexp_extract_all("__t", F.lit(TOKEN), F.lit(0))).alias("word"))
     counted = words.groupBy(key, F.lower("word").alias("word")).agg(F.count("*").alias("times"))
     each = counted.select(key, "times", F.explode(token_parts(F.col("word"))).alias("term"))
-    return _shared(each.groupBy(key, "term").agg(F.sum("times").alias("tf")))
+    terms = each.groupBy(key, "term").agg(F.sum("times").alias("tf"))
+    return _shared(terms.withColumn("length", F.sum("tf").over(Window.partitionBy(key))))
 
 
 def postings(terms: DataFrame, key: str) -> DataFrame:
     """(term, key, tf, length) from ``tokenised``: one row for each term of each document."""
-    return terms.join(terms.groupBy(key).agg(F.sum("tf").alias("length")), key).select("term", key, "length", "tf")
+    return terms.select("term", key, "length", "tf").filter(F.col(key).isNotNull())
 
 
 def corpus_figures(documents: DataFrame, terms: DataFrame) -> DataFrame:

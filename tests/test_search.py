@@ -40,3 +40,14 @@ def test_vector_top_compares_blocks_not_pairs_of_rows(spark):
     rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 7)).alias("embedding"))
     plan = search.vector_top(rows, rows.withColumnRenamed("vec_id", "query_id"), 2, "vec_id")._jdf.queryExecution().toString()
     assert "Join" not in plan  # a join makes a row of each pair
+
+
+def test_terms_know_their_documents_length(spark):
+    """Texts are dealt by key once; rows of one key are one document, and a document's terms carry its number of tokens."""
+    from evidara.operators import search
+
+    docs = spark.createDataFrame([(1, "Alpha beta-gamma alpha"), (1, "delta"), (2, "alpha"), (3, ""), (4, None), (None, "alpha beta")], "d long, text string")
+    terms = search.tokenised(docs, "d", "text")
+    got = sorted((r.d, r.term, r.tf, r.length) for r in search.postings(terms, "d").collect())
+    assert got == [(1, "alpha", 2, 6), (1, "beta", 1, 6), (1, "beta-gamma", 1, 6), (1, "delta", 1, 6), (1, "gamma", 1, 6), (2, "alpha", 1, 1)]
+    assert search.corpus_figures(docs, terms).first() == (6, 9 / 6)
