@@ -216,10 +216,18 @@ def side_table_files(spark, sf_dir):
 
 @query("run_summary_files", "select s_suppkey as run, s_acctbal as auc from supplier")
 def run_summary_files(spark, sf_dir):
-    """Summaries of runs anywhere under a folder, a JSON file each."""
-    path = _place(spark, "runs")
-    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"), F.col("s_acctbal").alias("auc"), F.col("s_suppkey").alias("folder")).write.partitionBy("folder").json(path)
-    return delimited.run_summaries(spark, path, "run long, auc double", "*.json").select("run", "auc")
+    """Summaries of runs anywhere under a folder, in JSON files of about 1,000 runs each: as many files as runs would
+    be opened and renamed one by one."""
+    path, runs = _place(spark, "runs"), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"), F.col("s_acctbal").alias("auc"))
+    _summaries(runs, path)
+    return delimited.run_summaries(spark, path, "run long, auc double", "part-*").select("run", "auc")
+
+
+def _summaries(runs: DataFrame, path: str, each: int = 1000) -> None:
+    """``runs`` as arrays of JSON objects, about ``each`` of them a file, in a folder of its own."""
+    files = -(-runs.count() // each) or 1
+    dealt = runs.groupBy(F.pmod(F.xxhash64("run"), F.lit(files)).alias("folder")).agg(F.to_json(F.collect_list(F.struct(*runs.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    dealt.write.partitionBy("folder").text(path)
 
 
 @query("question_lines", "select item_id, text from benchmark")

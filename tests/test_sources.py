@@ -143,3 +143,18 @@ def test_upsert_adds_once(spark, tmp_path):
     add(rows, 0)
     add(spark.createDataFrame([(3,)], "k int"), 1)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == [1, 2, 3]
+
+
+def test_run_summaries_are_few_files(spark, tmp_path):
+    """Runs share files, of about a given number; none is lost, nulls stay, and a file of one run is read as well."""
+    from evidara.plans import formats
+    from evidara.sources import delimited
+
+    runs = spark.range(1, 901).selectExpr("id as run", "case when id % 7 > 0 then id / 4 end as auc")
+    formats._summaries(runs, str(tmp_path / "runs"), 100)
+    files = list((tmp_path / "runs").rglob("part-*"))
+    assert 5 <= len(files) <= 9
+    (tmp_path / "runs" / "own").mkdir()
+    (tmp_path / "runs" / "own" / "part-one").write_text('{\n "run": 901,\n "auc": 0.5\n}')
+    got = {r.run: r.auc for r in delimited.run_summaries(spark, str(tmp_path / "runs"), "run long, auc double", "part-*").collect()}
+    assert got == {i: i / 4 if i % 7 else None for i in range(1, 901)} | {901: 0.5}
