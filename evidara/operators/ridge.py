@@ -1,8 +1,10 @@
 """Ridge regressions of every assay, each fold predicted by a model of the other folds.
 
 A model needs sums of products of its training rows only, and these are differences of sums over folds. They are gathered by
-Spark, solved once an assay for all penalties, and brought back to blocks of rows, which give the predictions and the leave-one-out
-errors that choose the penalty. No task holds an assay: what one takes at once is a block, or the sums of an assay's folds.
+Spark, solved once an assay for all penalties, and brought back to the rows, whose leave-one-out errors choose the penalty. What is
+chosen is a few numbers for each fold of an assay, joined to the rows, which predict themselves. No task holds an assay: what one
+takes at once is a batch or a block of rows, or the sums of an assay's folds. Only numbers of rows go through Python, and of these
+only sums come back.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from evidara.operators.graph import _shared
 from evidara.operators.skew import attach
 
 #: Rows of a block, about, and cells (assay, fold) whose sums a task keeps before it passes them on.
 BLOCK, CELLS = 20_000, 256
+#: Numbers of a table that may go to every task.
+SENT = 1_000_000
 
 #: Penalties of the published comparison: 13 from a thousandth to a thousand, evenly on a log scale.
 ALPHAS = tuple(10 ** (i / 2 - 3) for i in range(13))
@@ -34,28 +38,45 @@ def _usable(features: Sequence[str], target: str, fold: str):
     return usable
 
 
-def _sums(placed: DataFrame, assay: str, fold: str, p: int) -> DataFrame:
-    """(assay, fold, sums): of the products of (1, features, target), less the assay's means, over usable rows."""
+def _cells(*codes: pa.Array) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The distinct values of the columns, taken together, with the places of the rows that have them."""
+    found = [pc.dictionary_encode(c, null_encoding="encode") for c in codes]
+    at = np.zeros(len(codes[0]), np.int64)
+    for c in found:
+        at = at * len(c.dictionary) + c.indices.to_numpy()
+    order = np.argsort(at, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+        yield tuple(c.dictionary[c.indices[int(places[0])].as_py()].as_py() for c in found), places
+
+
+def _numbers(batch: pa.RecordBatch, p: int) -> np.ndarray:
+    return np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(p + 1)])
+
+
+def _sums(placed: DataFrame, p: int) -> DataFrame:
+    """(a, f, m): sums of the products of (1, features, target), less the assay's means, over usable rows."""
     kinds = dict(placed.dtypes)
     width = p + 2
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for pdf in batches:
-            for cell, part in pdf.groupby(["a", "f"], sort=False):
-                z = np.column_stack([np.ones(len(part)), np.stack(part["z"].to_numpy())])
-                held[cell] = held.get(cell, 0.0) + z.T @ z
+        for batch in batches:
+            z = np.column_stack([np.ones(batch.num_rows), _numbers(batch, p)])
+            for cell, places in _cells(batch.column("a"), batch.column("f")):
+                mine = z[places]
+                held[cell] = held.get(cell, 0.0) + mine.T @ mine
             if len(held) > CELLS:
-                yield table(held)
+                yield table(held, batch.schema)
                 held = {}
         if held:
-            yield table(held)
+            yield table(held, batch.schema)
 
-    def table(held: dict) -> pd.DataFrame:
-        return pd.DataFrame([(*cell, m.ravel()) for cell, m in held.items()], columns=["a", "f", "m"])
+    def table(held: dict, schema: pa.Schema) -> pa.RecordBatch:
+        keys = [pa.array([cell[i] for cell in held], schema.field(c).type) for i, c in enumerate("af")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array([m.ravel() for m in held.values()], pa.list_(pa.float64()))], names=["a", "f", "m"])
 
-    rows = placed.filter("__ok").select(F.col(assay).alias("a"), F.col(fold).alias("f"), F.col("__z").alias("z"))
-    parts = rows.mapInPandas(partial, f"a {kinds[assay]}, f {kinds[fold]}, m array<double>").select("a", "f", F.posexplode("m").alias("i", "v"))
+    rows = placed.filter("ok").select("a", "f", *[f"z{i}" for i in range(p + 1)])
+    parts = rows.mapInArrow(partial, f"a string, f {kinds['f']}, m array<double>").select("a", "f", F.posexplode("m").alias("i", "v"))
     cells = parts.groupBy("a", "f", "i").agg(F.sum("v").alias("v")).groupBy("a", "f").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m"))
     return cells.select("a", "f", F.slice(F.col("m.v"), 1, width * width).alias("m"))
 
@@ -84,70 +105,108 @@ def _models(sums: DataFrame, p: int) -> DataFrame:
     return sums.groupBy("a").applyInPandas(one, f"a {kinds['a']}, f {kinds['f']}, n long, mean array<double>, level double, values array<double>, vectors array<double>, along array<double>")
 
 
+def _gaps(a: pa.Array, f: pa.Array, z: np.ndarray, models: dict[str, list[dict]], alphas: np.ndarray) -> Iterator[tuple]:
+    """(assay, fold, errors): for each model of an assay, the squared leave-one-out errors of those rows that it was trained on."""
+    p = z.shape[1] - 1
+    cells: dict[str, list] = {}
+    for (assay, fold), places in _cells(a, f):
+        cells.setdefault(assay, []).append((fold, places))
+    for assay, parts in cells.items():
+        for m in models.get(assay, ()):
+            own = m["f"]
+            train = [places for fold, places in parts if fold != own and (fold == fold or own == own)]
+            if m["n"] < 3 or not train:
+                continue
+            x = z[np.concatenate(train)]
+            shrink = 1 / (np.array(m["values"])[:, None] + alphas)
+            inside = (x[:, :p] - np.array(m["mean"])) @ np.array(m["vectors"]).reshape(p, p)
+            gap = (x[:, p] - m["level"])[:, None] - inside @ (shrink * np.array(m["along"])[:, None])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gap = gap / (1 - inside**2 @ shrink - 1 / m["n"])
+            yield assay, m["f"], (gap**2).sum(axis=0)
+
+
+def _errors(placed: DataFrame, centres: DataFrame, models: DataFrame, p: int, alphas: np.ndarray) -> DataFrame:
+    """(a, f, e): the sums of squared leave-one-out errors for each penalty. Few models go to all tasks; many meet blocks of rows."""
+    kind = dict(models.dtypes)["f"]
+    out = f"a string, f {kind}, e array<double>"
+    used = placed.filter("ok")
+
+    def table(found: list[tuple], fold: pa.DataType) -> pa.Table:
+        columns = [pa.array([a for a, _, _ in found], pa.string()), pa.array([f for _, f, _ in found], fold), pa.array([e for _, _, e in found], pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(columns, names=["a", "f", "e"])
+
+    if models.count() * (p + 2) ** 2 <= SENT:
+        by: dict[str, list[dict]] = {}
+        for m in models.toArrow().to_pylist():
+            by.setdefault(m["a"], []).append(m)
+        sent = models.sparkSession.sparkContext.broadcast(by)
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            for batch in batches:
+                for a, f, e in _gaps(batch.column("a"), batch.column("f"), _numbers(batch, p), sent.value, alphas):
+                    held[a, f] = held.get((a, f), 0.0) + e
+            if held:
+                yield from table([(*cell, e) for cell, e in held.items()], batch.schema.field("f").type).to_batches()
+
+        found = used.select("a", "f", *[f"z{i}" for i in range(p + 1)]).mapInArrow(one, out)
+    else:
+        blocks = F.ceil(F.col("n") / BLOCK)
+        # any deal does that is the same whenever a row is read
+        dealt = attach(used, centres.select("a", blocks.alias("blocks")), "a").withColumn("b", F.floor(F.col("u") * F.col("blocks")))
+        spread = models.join(centres.select("a", blocks.alias("blocks")), "a").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+        def two(left: pa.Table, right: pa.Table) -> pa.Table:
+            batch, mine = left.combine_chunks(), right.to_pylist()
+            if not batch.num_rows or not mine:
+                return table([], right.schema.field("f").type)
+            one_chunk = batch.to_batches()[0]
+            return table(list(_gaps(one_chunk.column("a"), one_chunk.column("f"), _numbers(one_chunk, p), {mine[0]["a"]: mine}, alphas)), right.schema.field("f").type)
+
+        found = dealt.groupBy("a", "b").cogroup(spread.groupBy("a", "b")).applyInArrow(two, out)
+    return found.groupBy("a", "f").agg(F.array(*[F.sum(F.get("e", F.lit(i))) for i in range(len(alphas))]).alias("e"))
+
+
 def out_of_fold_ridge(rows: DataFrame, assay: str, features: Sequence[str], target: str, fold: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """Rows with ``predicted`` and ``alpha``: a ridge model of the assay's other folds, with an intercept, whose penalty has the least
     squared leave-one-out error over its training rows (the first of equal ones). Rows that lack the target, a feature or the fold, or
     hold values that are not finite, train nothing; those without target are predicted all the same. A model of fewer than three rows
-    predicts nothing. Rows of a null assay form one. Memory: a block of ``BLOCK`` rows, and K * (p + 2)^2 sums of an assay."""
+    predicts nothing. Rows of a null assay form one. ``rows`` are read four times, so they should be a written table. Memory: a batch,
+    or a block of about ``BLOCK`` rows, and K * (p + 2)^2 sums of an assay; models of up to ``SENT`` numbers go to every task."""
     features, alphas, p = list(features), np.array([float(a) for a in alphas]), len(features)
-    usable = _usable(features, target, fold)
     doubles = [F.col(c).cast("double") for c in (*features, target)]
     # the assay goes by one column that is never null, so that joins and groups see null as a value
-    keyed = rows.withColumns({"__ok": usable, "__a": F.coalesce(F.concat(F.lit("="), F.col(assay).cast("string")), F.lit("null"))})
-    centres = keyed.groupBy("__a").agg(F.count("*").alias("__n"), F.array(*[F.coalesce(F.avg(F.when(F.col("__ok"), c)), F.lit(0.0)) for c in doubles]).alias("__c"))
-    placed = attach(keyed, centres, "__a").withColumn("__z", F.zip_with(F.array(*doubles), "__c", lambda x, c: x - c))
-    placed = _shared(placed.withColumn("__f", F.col(fold)))
-    models = _models(_sums(placed, "__a", "__f", p), p)
-    blocks = F.ceil(F.col("__n") / BLOCK)
-    # rows of a written table have the same number whenever they are read
-    dealt = placed.withColumn("__b", F.pmod(F.monotonically_increasing_id(), blocks)).drop("__n")
-    sizes = centres.select(F.col("__a").alias("a"), blocks.alias("blocks"), F.col("__c").alias("c"))
-    spread = models.join(sizes, "a").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-
-    added = [StructField("__by", ArrayType(DoubleType())), StructField("__errors", ArrayType(DoubleType())), StructField("__key", dealt.schema["__a"].dataType), StructField("__fold", dealt.schema["__f"].dataType)]
-    names, out = rows.columns, StructType([*[StructField(f.name, f.dataType) for f in rows.schema], *added])
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        count = left.num_rows
-        z = np.array([[np.nan if v is None else v for v in r] for r in left.column("__z").to_pylist()], dtype=float).reshape(count, p + 1)
-        ok = left.column("__ok").to_numpy(zero_copy_only=False).astype(bool)
-        folds = left.column("__f").to_pylist()
-        by: list = [None] * count
-        fits = []
-        whole = np.isfinite(z[:, :p]).all(axis=1)
-        for m in right.to_pylist():
-            if m["n"] < 3:
-                continue
-            mine = np.array([f == m["f"] for f in folds], dtype=bool)
-            shrink = 1 / (np.array(m["values"])[:, None] + alphas)
-            away, vectors = z[:, :p] - np.array(m["mean"]), np.array(m["vectors"]).reshape(p, p)
-            turned, pull = away @ vectors, shrink * np.array(m["along"])[:, None]
-            asked = np.flatnonzero(mine & whole)
-            # row by row, not as one product, so that equal features have equal predictions wherever they stand
-            for i, values in zip(asked, np.einsum("ip,pa->ia", away[asked], vectors @ pull) + (m["level"] + m["c"][-1]), strict=True):
-                by[i] = values.tolist()
-            train = ok & ~mine
-            inside = turned[train]
-            gap = (z[train, p] - m["level"])[:, None] - inside @ pull
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gap = gap / (1 - inside**2 @ shrink - 1 / m["n"])
-            fits.append((m["a"], m["f"], (gap**2).sum(axis=0).tolist()))
-        plain, list_of = left.select(names), pa.list_(pa.float64())
-        key, fold_type = right.schema.field("a").type, right.schema.field("f").type
-        upper = [*plain.columns, pa.array(by, list_of), pa.nulls(count, list_of), left.column("__a"), left.column("__f")]
-        lower = [*[pa.nulls(len(fits), f.type) for f in plain.schema], pa.nulls(len(fits), list_of)]
-        lower += [pa.array([e for _, _, e in fits], list_of), pa.array([a for a, _, _ in fits], key), pa.array([f for _, f, _ in fits], fold_type)]
-        joined = [pa.chunked_array([*(c.chunks if isinstance(c, pa.ChunkedArray) else [c]), e]) for c, e in zip(upper, lower, strict=True)]
-        return pa.Table.from_arrays(joined, names=[f.name for f in out.fields])
-
-    left, right = dealt.groupBy("__a", "__b"), spread.groupBy("a", "b")
-    scored = _shared(left.cogroup(right).applyInArrow(one, out))
-    errors = scored.filter(F.col("__errors").isNotNull()).groupBy("__key", "__fold").agg(F.array(*[F.sum(F.get("__errors", F.lit(i))) for i in range(len(alphas))]).alias("e"))
-    picked = errors.select("__key", "__fold", F.coalesce(F.nullif(F.array_position("e", F.array_min("e")), F.lit(0)), F.lit(1)).cast("int").alias("__pick"))
-    table = F.array(*[F.lit(float(a)) for a in alphas])
-    told = attach(scored.filter(F.col("__errors").isNull()), picked, ["__key", "__fold"], how="left")
-    at = F.col("__pick") - 1
-    return told.select(*names, F.get("__by", at).alias("predicted"), F.when(F.col("__by").isNotNull(), F.get(table, at)).alias("alpha"))
+    key = F.coalesce(F.concat(F.lit("="), F.col(assay).cast("string")), F.lit("null"))
+    plain = rows.select(key.alias("a"), F.col(fold).alias("f"), _usable(features, target, fold).alias("ok"), F.rand(1).alias("u"), *[d.alias(f"x{i}") for i, d in enumerate(doubles)])
+    means = [F.coalesce(F.avg(F.when(F.col("ok"), F.col(f"x{i}"))), F.lit(0.0)) for i in range(p + 1)]
+    centres = _shared(plain.groupBy("a").agg(F.count("*").alias("n"), F.array(*means).alias("c")))
+    placed = _met(plain, centres.select("a", "c"), ["a"], p + 2).select("a", "f", "ok", "u", *[(F.col(f"x{i}") - F.get("c", F.lit(i))).alias(f"z{i}") for i in range(p + 1)])
+    models = _shared(_models(_sums(placed, p), p))
+    errors = _errors(placed, centres, models, p, alphas)
+    picked = errors.select("a", "f", F.coalesce(F.nullif(F.array_position("e", F.array_min("e")), F.lit(0)), F.lit(1)).cast("int").alias("pick"))
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [np.array(v).reshape(p, p) @ (np.array(along) / (np.array(e) + alphas[i - 1])) for v, along, e, i in zip(pdf["vectors"], pdf["along"], pdf["values"], pdf["pick"], strict=True)]
+            yield pd.DataFrame({"__key": pdf["a"], "__fold": pdf["f"], "__w": made, "__alpha": alphas[pdf["pick"].to_numpy() - 1], "__m": [np.array(m) + np.array(c)[:p] for m, c in zip(pdf["mean"], pdf["c"], strict=True)], "__level": pdf["level"] + pdf["c"].str[-1]})
+
+    known = models.filter("n >= 3").join(picked, ["a", "f"]).join(centres.drop("n"), "a")
+    fits = _shared(known.mapInPandas(weights, f"__key string, __fold {dict(models.dtypes)['f']}, __w array<double>, __alpha double, __m array<double>, __level double"))
+    told = _met(rows.withColumns({"__key": key, "__fold": F.col(fold)}), fits, ["__key", "__fold"], 2 * p + 3, how="left")
+    whole = F.lit(True)
+    for d in doubles[:p]:
+        whole = whole & d.isNotNull() & (F.abs(d) < float("inf"))
+    away = F.zip_with(F.zip_with(F.array(*doubles[:p]), "__m", lambda x, m: x - m), "__w", lambda x, w: x * w)
+    predicted = F.aggregate(away, F.lit(0.0), lambda s, x: s + x) + F.col("__level")
+    return told.select(*rows.columns, F.when(whole, predicted).alias("predicted"), F.when(whole, F.col("__alpha")).alias("alpha"))
+
+
+def _met(many: DataFrame, one: DataFrame, keys: list[str], width: int, how: str = "inner") -> DataFrame:
+    """``many`` joined to a written table of one row for each of ``keys``, which goes to all tasks where it is small."""
+    if one.count() * width <= SENT:
+        return many.join(F.broadcast(one), keys, how)
+    return attach(many, one, keys, how=how)
 
 
 def against_published(ours: DataFrame, published: DataFrame, assay: str) -> DataFrame:
@@ -156,7 +215,7 @@ def against_published(ours: DataFrame, published: DataFrame, assay: str) -> Data
     from evidara.operators.metrics import spearman
     from evidara.operators.ranking import exact_quantiles
 
-    joined = ours.join(published, assay, "left").withColumn("gap", F.col("spearman") - F.col("published"))
+    joined = _shared(ours.join(published, assay, "left").withColumn("gap", F.col("spearman") - F.col("published")))
     both = joined.filter(F.col("gap").isNotNull())
     within = lambda most: F.avg((F.abs("gap") <= most).cast("double"))
     least = lambda c: F.when(F.col("compared") >= 3, c)

@@ -90,3 +90,21 @@ def test_published_and_arms(spark, rows):
     table = ridge.individual_and_combined(frame(spark, rows).filter("assay is not null"), "assay", ["x0", "x1", "x2"], "y", "fold", "fold", ALPHAS)
     found = {r.assay: r for r in table.collect()}
     assert set(found) == {"a", "b", "c", "only"} and found["a"].individual > 0.5 and found["only"].individual is None and found["a"].gain == pytest.approx(found["a"].combined - found["a"].individual)
+
+
+def test_rows_are_not_written_or_dealt(spark, monkeypatch):
+    held, write = [], ridge._shared
+    monkeypatch.setattr(ridge, "_shared", lambda df: held.append(write(df)) or held[-1])
+    rows = spark.sql("select id, cast(id % 3 as int) as fold, if(id % 2 = 0, 'a', 'b') as assay, id * 1.0D as x, id * 3.0D as y from range(600)")
+    done = ridge.out_of_fold_ridge(rows, "assay", ["x"], "y", "fold", [1e-9])
+    assert max(h.count() for h in held) <= 6 and all(r.predicted == pytest.approx(r.y, abs=1e-5) for r in done.collect())
+
+
+def test_many_models_meet_blocks(spark, rows, monkeypatch):
+    features = [f"x{i}" for i in range(6)]
+    ask = lambda: {r["id"]: (r["predicted"], r["alpha"]) for r in ridge.out_of_fold_ridge(frame(spark, rows), "assay", features, "y", "fold", ALPHAS).collect()}
+    want = ask()
+    monkeypatch.setattr(ridge, "SENT", 0)
+    monkeypatch.setattr(ridge, "BLOCK", 37)
+    got = ask()
+    assert set(got) == set(want) and all(got[i][1] == want[i][1] and got[i][0] == (v if v is None else pytest.approx(v, rel=1e-9)) for i, (v, _) in want.items())
