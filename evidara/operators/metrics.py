@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from evidara.operators.graph import _shared
 from evidara.operators.ranking import average_ranks, exact_quantiles, matched, running, tie_counts
 
+#: Rows of a table that may go to every task.
+SENT = 500_000
+
 
 def _on(groups: Sequence[str]):
     return lambda a, b: a.join(b, list(groups)) if groups else a.join(F.broadcast(b))  # without groups b is one row
@@ -137,14 +140,20 @@ def brier(rows: DataFrame, groups: Sequence[str], label: str, share: str) -> Dat
 
 
 def spearman(rows: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks, by group, over rows that have both. Rows are counted by distinct pair first, and the mean rank
-    is known, so sums over pairs give the result."""
-    both = _shared(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__w")))
-    ranked = lambda c: average_ranks(both, groups, c, "__w").select(*groups, c, (F.col("rank") - (F.col("n") + 1) / 2).alias(f"{c}r"))
-    joined = matched(matched(both, ranked("__x"), [*groups, "__x"]), ranked("__y"), [*groups, "__y"])
-    moment = lambda a, b: F.sum(F.col("__w") * F.col(a) * F.col(b))
-    xx, yy = moment("__xr", "__xr"), moment("__yr", "__yr")
-    return joined.groupBy(*groups).agg(F.when((xx > 0) & (yy > 0), moment("__xr", "__yr") / F.sqrt(xx * yy)).alias("spearman"), F.sum("__w").alias("n"))
+    """Correlation of average ranks, by group, over rows that have both. The column of fewer values is ranked first and its ranks are
+    brought to the rows; the other's values then need only their number of rows and sums of those ranks, and are put in order once.
+    The mean rank is known, so sums over values give the result."""
+    both = _shared(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, F.col(x).alias("__x"), F.col(y).alias("__y")))
+    found = both.agg(F.approx_count_distinct("__x"), F.approx_count_distinct("__y")).first()
+    few, many = ("__x", "__y") if found[0] <= found[1] else ("__y", "__x")
+    centred = lambda rank: rank - (F.col("n") + 1) / 2
+    ranks = _shared(average_ranks(both, groups, few).select(*groups, few, centred(F.col("rank")).alias("__r"), "n"))
+    joined = matched(both, F.broadcast(ranks) if ranks.count() <= SENT else ranks, [*groups, few])
+    values = joined.groupBy(*groups, many).agg(F.count("*").alias("__w"), F.sum("__r").alias("__s"), F.sum(F.col("__r") * F.col("__r")).alias("__q"), F.max("n").alias("n"))
+    run = running(values, groups, many, {"__le": "__w"}).withColumn("__t", centred(F.col("__le") - (F.col("__w") - 1) / 2))
+    first, second = F.sum("__q"), F.sum(F.col("__w") * F.col("__t") * F.col("__t"))
+    told = run.groupBy(*groups).agg(F.when((first > 0) & (second > 0), F.sum(F.col("__s") * F.col("__t")) / F.sqrt(first * second)).alias("spearman"), F.sum("__w").alias("n"))
+    return _shared(told)  # one row a group, whatever reads it how often
 
 
 def risk_coverage(rows: DataFrame, groups: Sequence[str], confidence: str, correct: str, ordinal: str) -> DataFrame:

@@ -35,3 +35,18 @@ def test_null_groups_and_empty_tables(spark, monkeypatch):
     assert told(ranking.tie_counts(rows, ["g"], "s", {"rows": ranking.F.lit(1)}).select("g", "s", "n_rows", "le_rows")) == one and any(r[0] is None for r in one)
     assert ranking.tie_counts(rows.filter("false"), ["g"], "s", {"rows": ranking.F.lit(1)}).count() == 0
     assert metrics.spearman(rows, ["g"], "s", "w").count() == metrics.roc_auc(rows.withColumn("y", ranking.F.col("id") % 2), ["g"], "y", "s").count()
+
+
+def test_spearman_orders_one_column_and_ranks_the_other(spark, monkeypatch):
+    ordered, running = [], ranking.running
+    monkeypatch.setattr(metrics, "running", lambda *a, **k: ordered.append(a[2]) or running(*a, **k))
+    rows = spark.sql("select if(id % 11 = 0, null, id % 2) as g, id % 5 as few, cast(hash(id) % 97 as double) as many from range(400) union all select 0, null, 1.0D")
+    pdf = rows.toPandas().dropna(subset=["few", "many"])
+    want = {g: part.few.rank().corr(part.many.rank()) for g, part in pdf.fillna({"g": -1}).groupby("g")}
+    for limit in (metrics.SENT, 0):  # ranks that go to every task, and ranks that are joined
+        monkeypatch.setattr(metrics, "SENT", limit)
+        for x, y in (("few", "many"), ("many", "few")):
+            got = {-1 if r.g is None else r.g: r.spearman for r in metrics.spearman(rows, ["g"], x, y).collect()}
+            assert got.keys() == want.keys() and all(abs(got[g] - v) < 1e-12 for g, v in want.items())
+    assert ordered == ["__y", "__x"] * 2
+    assert metrics.spearman(rows, ["g"], "few", "many").inputFiles()[0].rsplit("/", 2)[1].startswith("graph-")  # written: read again, not ranked again
