@@ -127,14 +127,18 @@ def _median(rows: DataFrame, groups: Sequence[str], column: str, name: str) -> D
 
 
 def impute_medians(rows: DataFrame, columns: Sequence[str], groups: Sequence[str] = (), indicators: bool = True) -> DataFrame:
-    """Nulls as the median (of the group where given, then of all, then 0), with a flag for each column that had them."""
+    """Nulls as the median (of the group where given, then of all, then 0), with a flag for each column that had them. Medians are
+    found for columns that hold nulls only; ``rows`` are counted, so they should be a written table or a plain scan."""
+    nulls = rows.agg(*[F.count_if(F.col(c).isNull()) for c in columns]).first() if columns else ()
+    lacking = [c for c, n in zip(columns, nulls, strict=True) if n]
     out = rows
-    for c in columns:
+    for c in lacking:
         out = out.join(F.broadcast(_median(rows, [], c, f"__a_{c}")), how="left")  # one row
         if groups:
             out = out.join(_median(rows, groups, c, f"__g_{c}"), list(groups), "left")
     flags = {f"is_missing_{c}": F.col(c).isNull().cast("int") for c in columns} if indicators else {}
-    filled = {c: F.coalesce(F.col(c), *([F.col(f"__g_{c}")] if groups else []), F.col(f"__a_{c}"), F.lit(0.0)) for c in columns}
+    medians = lambda c: [F.col(f"__{k}_{c}") for k in ("ga" if groups else "a")] if c in lacking else []
+    filled = {c: F.coalesce(F.col(c), *medians(c), F.lit(0.0)) for c in columns}
     return out.withColumns(flags).withColumns(filled).drop(*[f"__{k}_{c}" for c in columns for k in "ag"])
 
 

@@ -50,3 +50,11 @@ def test_spearman_orders_one_column_and_ranks_the_other(spark, monkeypatch):
             assert got.keys() == want.keys() and all(abs(got[g] - v) < 1e-12 for g, v in want.items())
     assert ordered == ["__y", "__x"] * 2
     assert metrics.spearman(rows, ["g"], "few", "many").inputFiles()[0].rsplit("/", 2)[1].startswith("graph-")  # written: read again, not ranked again
+
+
+def test_no_medians_without_nulls(spark, monkeypatch):
+    asked, median = [], ranking._median
+    monkeypatch.setattr(ranking, "_median", lambda rows, groups, c, name: asked.append(c) or median(rows, groups, c, name))
+    rows = spark.sql("select * from values ('a', 1, 1), ('a', 3, null), ('a', 5, 4), ('b', 7, null) t(g, whole, part)")
+    got = ranking.impute_medians(rows, ["whole", "part"], ["g"])
+    assert set(asked) == {"part"} and sorted((r.whole, r.part, r.is_missing_whole, r.is_missing_part) for r in got.collect()) == [(1, 1, 0, 0), (3, 2.5, 0, 1), (5, 4, 0, 0), (7, 2.5, 0, 1)]
